@@ -12,6 +12,7 @@ from glyphmill.functions import paths
 from glyphmill.functions import text as T
 from glyphmill.functions.embedding import TrigramEmbedder
 from glyphmill.functions.packing import pack, pack_by_chars
+from glyphmill.functions.rows import explode_indexed
 from glyphmill.functions.tokens import CharCounter
 from glyphmill.operators import assembling, inference, reading, requests, retrieval, routing, segmenting
 from glyphmill.plans.profiles import SINGLE_FILE, TWO_FILES, KnownPairs, Profile
@@ -201,7 +202,7 @@ def extract_first_code(spark, sf_dir):
 
 @query
 def extract_header_impl(spark, sf_dir):
-    split = views.replies(spark, sf_dir).select("doc_id", T.header_and_implementation(F.col("reply")).alias("s"))
+    split = views.replies(spark, sf_dir, busy=True).select("doc_id", T.header_and_implementation(F.col("reply")).alias("s"))
     return split.select("doc_id", "s.header", "s.implementation")
 
 
@@ -222,13 +223,13 @@ def budget_split(spark, sf_dir):
 
 
 def _segmented(spark, sf_dir):
-    commented = views.sources(spark, sf_dir).withColumn("text", T.directives_to_comments(F.col("text")))
+    commented = views.sources(spark, sf_dir, busy=True).withColumn("text", T.directives_to_comments(F.col("text")))
     return segmenting.segment(commented)
 
 
 @query
 def segment_units(spark, sf_dir):
-    return _segmented(spark, sf_dir).select("doc_id", F.posexplode("units").alias("unit_ix", "text"))
+    return explode_indexed(_segmented(spark, sf_dir), ["doc_id"], "units", "unit_ix", "text")
 
 
 @query
@@ -238,7 +239,7 @@ def segment_skeleton(spark, sf_dir):
 
 def _batches(spark, sf_dir):
     units = views.lines(F.col("text"))
-    return views.documents(spark, sf_dir).select("doc_id", F.posexplode(pack_by_chars(units, LIMIT)).alias("batch_ix", "text"))
+    return explode_indexed(views.documents(spark, sf_dir), ["doc_id"], pack_by_chars(units, LIMIT), "batch_ix", "text")
 
 
 @query
@@ -249,13 +250,13 @@ def pack_units(spark, sf_dir):
 @query
 def pack_units_nonempty(spark, sf_dir):
     batches = pack(views.lines(F.col("text")), CharCounter(), LIMIT, drop_empty=True)
-    return views.documents(spark, sf_dir).select("doc_id", F.posexplode(batches).alias("batch_ix", "text"))
+    return explode_indexed(views.documents(spark, sf_dir), ["doc_id"], batches, "batch_ix", "text")
 
 
 @query
 def request_union(spark, sf_dir):
     """Whole files and cut ones as one table of pieces, from one pass."""
-    commented = views.sources(spark, sf_dir).withColumn("text", T.directives_to_comments(F.col("text")))
+    commented = views.sources(spark, sf_dir, busy=True).withColumn("text", T.directives_to_comments(F.col("text")))
     return segmenting.plan_pieces(commented, CharCounter(), WHOLE_LIMIT).select("doc_id", "kind", "piece_ix", "code")
 
 
@@ -278,7 +279,7 @@ def _pair_history(spark, sf_dir):
 
 
 def _messages(df, keys, column):
-    return df.select(*keys, F.posexplode(column).alias("msg_ix", "m")).select(*keys, "msg_ix", "m.role", "m.content")
+    return explode_indexed(df, keys, column, "msg_ix", "m").select(*keys, "msg_ix", "m.role", "m.content")
 
 
 @query
@@ -307,7 +308,7 @@ def flatten_messages(spark, sf_dir):
 @query
 def embed_text(spark, sf_dir):
     vectors = retrieval.embed(views.documents(spark, sf_dir).select("doc_id", "text"), TrigramEmbedder())
-    return vectors.select("doc_id", F.posexplode("vec").alias("bucket", "w")).select(
+    return explode_indexed(vectors, ["doc_id"], "vec", "bucket", "w").select(
         "doc_id", "bucket", F.round("w", 9).alias("weight")
     )
 
@@ -425,10 +426,10 @@ def _job(prompts, **target):
 @query
 def migrate_single_file(spark, sf_dir):
     job = _job(PROMPTS, extension=".gd", spaces_to_tabs=True, snake_case_names=True, lower_folders=True)
-    return to_single_file(views.sources(spark, sf_dir).select("path", "text"), job)
+    return to_single_file(views.sources(spark, sf_dir, busy=True).select("path", "text"), job)
 
 
 @query
 def migrate_two_files(spark, sf_dir):
     job = _job(TWO_FILE_PROMPTS, header_extension=".h", implementation_extension=".cpp", camel_case_names=True)
-    return to_two_files(views.sources(spark, sf_dir).select("path", "text"), job)
+    return to_two_files(views.sources(spark, sf_dir, busy=True).select("path", "text"), job)

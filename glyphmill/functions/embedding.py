@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glyphmill.scratch import ship_package
+
 
 class Embedder:
     """Texts to vectors. ``load`` runs once per task and returns ``list[str] -> 2-d array``."""
@@ -17,6 +19,7 @@ class Embedder:
         raise NotImplementedError
 
     def as_column(self, text: Column) -> Column:
+        ship_package()
         embedder = self
 
         @F.pandas_udf("array<double>")

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glyphmill.scratch import ship_package
+
 # Fixed value: what stands between two units of a batch.
 SEPARATOR = "\n\n"
 
@@ -59,6 +61,8 @@ def pack_by_chars(units: Column, limit: int) -> Column:
 def pack_by_counter(units: Column, counter, limit: int) -> Column:
     """The same packing for counters whose counts do not add up: the whole batch is counted each time."""
 
+    ship_package()
+
     @F.pandas_udf("array<string>")
     def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         count = counter.load()

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glyphmill.functions.rows import let
+
 # The characters Python's str.strip() removes, the breaks
 # str.splitlines() knows, the fence, and the text used when a reply has no parts.
 PY_WS = (
@@ -42,7 +44,8 @@ def normalize_newlines(c: Column) -> Column:
 
 def directives_to_comments(c: Column) -> Column:
     """Prefix every preprocessor line with ``// `` and re-terminate the last line."""
-    return F.concat(F.regexp_replace(c, f"(?md)^({_INLINE_WS}*+#)", "// $1"), F.lit("\n"))
+    marked = F.regexp_replace(c, f"(?md)^({_INLINE_WS}*+#)", "// $1")
+    return F.concat(F.when(F.contains(c, F.lit("#")), marked).otherwise(c), F.lit("\n"))
 
 
 def convert_indent(c: Column, tabs_to_spaces: bool = False, spaces_to_tabs: bool = False) -> Column:
@@ -84,56 +87,63 @@ def header_and_implementation(
 ) -> Column:
     """Split a reply into ``struct<header, implementation>``.
 
-    Each line is tagged by what it is, and one ordered fold carries which part is
-    open (``h``, ``i`` or none) and whether a file-name comment has been seen,
-    after which fences no longer open or close anything.
+    Only marker lines change what a line belongs to: fences, and comments that end in a
+    file extension. The fold runs over the markers and cuts the lines between them into
+    runs of a part (``h``, ``i`` or none); once a comment has named a part, fences no
+    longer open or close anything.
     """
 
     def tag(line: Column) -> Column:
-        head = lstrip(line)
-        tail = rstrip(line)
+        head, tail = lstrip(line), rstrip(line)
         named = head.startswith("//")
+        plain = ~F.contains(line, F.lit(fence)) & ~F.contains(line, F.lit("//"))
         return (
-            F.when(head.startswith(fence), "fence")
+            F.when(plain, "text")
+            .when(head.startswith(fence), "fence")
             .when(named & tail.endswith(header_ext), "h")
             .when(named & tail.endswith(implementation_ext), "i")
             .otherwise("text")
         )
 
-    tagged = F.transform(lines_of(reply), lambda line: F.struct(tag(line).alias("tag"), line.alias("line")))
-    none = F.array().cast("array<string>")
-    zero = F.struct(
-        F.lit("").alias("part"), F.lit(False).alias("named"), none.alias("header"), none.alias("body")
-    )
+    def runs(lines: Column) -> Column:
+        markers = F.filter(
+            F.transform(lines, lambda line, i: F.struct(tag(line).alias("tag"), i.alias("at"))),
+            lambda m: m["tag"] != "text",
+        )
+        end = F.array(F.struct(F.lit("end").alias("tag"), F.size(lines).alias("at")))
+        zero = F.struct(
+            F.lit("").alias("part"), F.lit(False).alias("named"), F.lit(0).alias("since"),
+            F.array().cast("array<struct<part:string,since:int,n:int>>").alias("runs"),
+        )
 
-    def step(s: Column, x: Column) -> Column:
-        def state(part=None, named=None, header=None, body=None):
+        def step(s: Column, m: Column) -> Column:
+            run = F.array(F.struct(s["part"].alias("part"), s["since"].alias("since"), (m["at"] - s["since"]).alias("n")))
+            done = F.when((s["part"] != "") & (m["at"] > s["since"]), F.concat(s["runs"], run)).otherwise(s["runs"])
+            fenced = F.when(s["named"], s["part"]).when(s["part"] != "", "").when(
+                F.exists(s["runs"], lambda r: r["part"] == "h"), "i"
+            ).otherwise("h")
             return F.struct(
-                (s["part"] if part is None else part).alias("part"),
-                (s["named"] if named is None else named).alias("named"),
-                (s["header"] if header is None else header).alias("header"),
-                (s["body"] if body is None else body).alias("body"),
+                F.when(m["tag"] == "fence", fenced).otherwise(m["tag"]).alias("part"),
+                (s["named"] | m["tag"].isin("h", "i")).alias("named"),
+                (m["at"] + 1).alias("since"),
+                done.alias("runs"),
             )
 
-        opened = F.when(s["part"] != "", "").when(F.size(s["header"]) > 0, "i").otherwise("h")
-        return (
-            F.when((x["tag"] == "fence") & s["named"], s)
-            .when(x["tag"] == "fence", state(part=opened))
-            .when(x["tag"] != "text", state(part=x["tag"], named=F.lit(True)))
-            .when(s["part"] == "h", state(header=F.array_append(s["header"], x["line"])))
-            .when(s["part"] == "i", state(body=F.array_append(s["body"], x["line"])))
-            .otherwise(s)
-        )
+        return F.aggregate(F.concat(markers, end), zero, step, lambda s: s["runs"])
+
+    def parts(lines: Column, found: Column) -> Column:
+        def joined(part: str) -> Column:
+            own = F.filter(found, lambda r: r["part"] == part)
+            texts = F.transform(own, lambda r: F.array_join(F.slice(lines, r["since"] + 1, r["n"]), "\n"))
+            return strip(F.array_join(texts, "\n"))
 
-    def finish(s: Column) -> Column:
-        nothing = (F.size(s["header"]) == 0) & (F.size(s["body"]) == 0)
-        joined = lambda lines: strip(F.array_join(lines, "\n"))
+        nothing = F.size(found) == 0
         return F.struct(
-            F.when(nothing, strip(reply)).otherwise(joined(s["header"])).alias("header"),
-            F.when(nothing, F.lit(NO_IMPLEMENTATION)).otherwise(joined(s["body"])).alias("implementation"),
+            F.when(nothing, strip(reply)).otherwise(joined("h")).alias("header"),
+            F.when(nothing, F.lit(NO_IMPLEMENTATION)).otherwise(joined("i")).alias("implementation"),
         )
 
-    return F.aggregate(tagged, zero, step, finish)
+    return let(lines_of(reply), lambda lines: let(runs(lines), lambda found: parts(lines, found)))
 
 
 def camel_to_snake(c: Column) -> Column:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glyphmill.scratch import ship_package
+
 
 class CharCounter:
     """Characters. Additive, so packing never leaves the JVM."""
@@ -28,6 +30,7 @@ class EncodedCounter:
         raise NotImplementedError
 
     def count(self, c: Column) -> Column:
+        ship_package()
         counter = self
 
         @F.pandas_udf("long")

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphmill.scratch import ship_package
+from glyphmill.operators.requests import HISTORY
+from glyphmill.scratch import materialize, ship_package
 
 MALFORMED = "provider returned a malformed reply"
 
@@ -63,6 +64,14 @@ def check_reply(df: DataFrame, response: str = "response") -> DataFrame:
     return df.withColumn("error", F.coalesce(earlier, bad))
 
 
+def _complete(requests: DataFrame) -> DataFrame:
+    """What a request may leave out, as nulls."""
+    for name, kind in (("error", "string"), ("system", "string"), ("history", HISTORY)):
+        if name not in requests.columns:
+            requests = requests.withColumn(name, F.lit(None).cast(kind))
+    return requests
+
+
 def ask(requests: DataFrame, provider: Provider, keys: list[str]) -> DataFrame:
     """``keys`` plus ``response`` and ``error`` for each request row.
 
@@ -70,10 +79,7 @@ def ask(requests: DataFrame, provider: Provider, keys: list[str]) -> DataFrame:
     their keys, so the pieces of one large file land in many tasks, and a recomputed task
     gets the same rows again. Only keys and replies come back from Python.
     """
-    for name, kind in (("error", "string"), ("system", "string"), ("history", "array<struct<role:string,content:string>>")):
-        if name not in requests.columns:
-            requests = requests.withColumn(name, F.lit(None).cast(kind))
-
+    requests = _complete(requests)
     native = provider.as_column(F.col("user"))
     if native is not None:
         replied = requests.withColumn("response", F.when(F.col("error").isNull(), native))
@@ -141,14 +147,12 @@ def _answer(provider: Provider, batches: Iterator[pd.DataFrame], keys: list[str]
 def ask_resumable(requests: DataFrame, provider: Provider, keys: list[str], store: str) -> DataFrame:
     """Like ``ask``, with replies kept in a table at ``store``: a rerun asks only for what is missing.
 
-    A stored reply counts if the keys and a hash of the whole request agree.
+    A stored reply counts if the keys and a hash of the whole request agree. Errors are
+    stored too but asked for again.
     """
     spark = requests.sparkSession
-    for name, kind in (("error", "string"), ("system", "string"), ("history", "array<struct<role:string,content:string>>")):
-        if name not in requests.columns:
-            requests = requests.withColumn(name, F.lit(None).cast(kind))
     digest = F.sha2(F.to_json(F.struct("system", "history", "user")), 256)
-    tagged = requests.withColumn("request_hash", digest)
+    tagged = materialize(_complete(requests).withColumn("request_hash", digest), "requests")
     cols = [*keys, "request_hash"]
     schema = T.StructType(
         [T.StructField(f.name, f.dataType) for f in tagged.select(*cols).schema]

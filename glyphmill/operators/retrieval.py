@@ -86,9 +86,9 @@ def nearest(
         hits = _nearest_local(queries, known, k)
     else:
         hits = _nearest_in_cells(queries, known, k, pivots, group_rows)
-    w = Window.partitionBy("query_id").orderBy("distance", "known_id")
     if size <= max_local_bytes:
         return hits
+    w = Window.partitionBy("query_id").orderBy("distance", "known_id")
     return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(
         "query_id", "rank", "known_id", "distance"
     )
@@ -228,7 +228,6 @@ def attach_history(
     user_request: str,
     assistant_response: str,
     *,
-    keys: list[str],
     code: str = "code",
     max_local_bytes: int = MAX_LOCAL_BYTES,
 ) -> DataFrame:
@@ -252,7 +251,7 @@ def attach_history(
         return pieces.withColumn(
             "history", F.coalesce(example_messages(examples, user_request, assistant_response), F.array().cast(HISTORY))
         )
-    return _attach_by_join(pieces, vectors, embedder, k, user_request, assistant_response, keys, code, max_local_bytes)
+    return _attach_by_join(pieces, vectors, embedder, k, user_request, assistant_response, code, max_local_bytes)
 
 
 def _examples_local(spark, vectors: DataFrame, embedder: Embedder, k: int):
@@ -279,10 +278,11 @@ def _examples_local(spark, vectors: DataFrame, embedder: Embedder, k: int):
     return examples
 
 
-def _attach_by_join(pieces, vectors, embedder, k, user_request, assistant_response, keys, code, max_local_bytes):
+def _attach_by_join(pieces, vectors, embedder, k, user_request, assistant_response, code, max_local_bytes):
     """The way for a known side too large to send: nearest in cells, then equi-joins."""
     vectors = materialize(vectors.withColumn("id", F.col("id").cast("long")), "known-vectors")
-    numbered = pieces.withColumn("_piece", F.xxhash64(*keys))
+    # Written before it is used twice, which also makes the numbers stay with their rows.
+    numbered = materialize(pieces.withColumn("_piece", F.monotonically_increasing_id()), "pieces")
     queries = embed(
         numbered.filter(F.col(code).isNotNull()).select(F.col("_piece").alias("query_id"), F.col(code).alias("text")),
         embedder,

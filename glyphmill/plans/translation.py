@@ -60,8 +60,7 @@ def requests_for(sources: DataFrame, job: Translation) -> DataFrame:
     pieces = pieces.withColumn("piece_ix", F.coalesce("piece_ix", F.lit(-1)))
     if p.known is not None:
         pieces = attach_history(
-            pieces, job.known, job.embedder, p.known.count, p.known.user_request, p.known.assistant_response,
-            keys=PIECE_KEYS,
+            pieces, job.known, job.embedder, p.known.count, p.known.user_request, p.known.assistant_response
         )
     return render_prompt(pieces, p.prompts).withColumn("system", F.lit(p.prompts.get("system")).cast("string"))
 
@@ -81,7 +80,7 @@ def _outputs(gathered: DataFrame, *files: tuple[Column, Column]) -> DataFrame:
     bad = F.array(F.struct(files[0][0].alias("dest_path"), F.lit(None).alias("content"))).cast(row)
     return gathered.select(
         "path", F.when(failed, FAILED).otherwise(OK).alias("status"), "error",
-        F.inline(F.when(failed, bad).otherwise(good)),
+        F.inline_outer(F.when(failed, bad).otherwise(good)),
     )
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glyphmill.functions.rows import spread
+
 ROOT = "/corpus"
 
 
@@ -12,8 +14,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+def documents(spark: SparkSession, sf_dir: str, busy: bool = False) -> DataFrame:
+    """The documents; ``busy`` work gets them spread over all cores if the files alone would not."""
+    found = table(spark, sf_dir, "documents")
+    return spread(found, "doc_id") if busy else found
 
 
 def lines(text: Column) -> Column:
@@ -24,7 +28,7 @@ def _text(*parts) -> Column:
     return F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
 
 
-def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sources(spark: SparkSession, sf_dir: str, busy: bool = False) -> DataFrame:
     """``doc_id, path, text``: one C# file per document, one method per line.
 
     Blocks, expression bodies and bodyless methods take turns; braces stand in strings
@@ -59,10 +63,10 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
         ROOT + "/", place, "/", F.initcap("source"), "/MyDoc", ident, "Source_file",
         F.when(eleventh == 0, ".txt").when(eleventh == 1, "").otherwise(".cs"),
     )
-    return documents(spark, sf_dir).select("doc_id", path.alias("path"), text.alias("text"))
+    return documents(spark, sf_dir, busy).select("doc_id", path.alias("path"), text.alias("text"))
 
 
-def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+def replies(spark: SparkSession, sf_dir: str, busy: bool = False) -> DataFrame:
     """``doc_id, reply``: documents in five shapes of model reply."""
     t, fifth = F.col("text"), F.col("doc_id") % 5
     reply = (
@@ -72,7 +76,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(fifth == 3, _text("```\n", t))
         .otherwise(_text("// A.h\n", t, "\n```\n  // A.cpp\n", F.col("source"), "\n"))
     )
-    return documents(spark, sf_dir).select("doc_id", reply.alias("reply"))
+    return documents(spark, sf_dir, busy).select("doc_id", reply.alias("reply"))
 
 
 def pairs(spark: SparkSession, sf_dir: str, asked: str = "user", answered: str = "assistant") -> DataFrame:

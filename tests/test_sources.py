@@ -1,0 +1,122 @@
+import os
+
+from pyspark.sql import functions as F
+
+from glyphmill.operators import reading, routing
+from glyphmill.scratch import scratch_dir
+from glyphmill.sources import files, pairs, tree
+
+
+def make(root, names):
+    for name, content in names.items():
+        path = os.path.join(root, name)
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(path, "wb") as f:
+            f.write(content)
+
+
+NAMES = {
+    "top.cs": b"class A { }",
+    "Assets/empty.cs": b"",
+    "Assets/.hidden/.x.cs": b"x",
+    "Assets/_under/a b%20c#.cs": "é\r\nb\rc".encode(),
+    "Assets/deep/er/est/bad.cs": b"ok \xff\xfe",
+    "Library/skip.cs": b"no",
+    "LibraryExtra/skip.cs": b"no",
+    "Assets/Library/kept.cs": b"yes",
+    "Assets/README": b"text",
+}
+
+
+def test_every_file_is_listed(spark, tmp_path):
+    make(tmp_path, NAMES)
+    os.symlink(tmp_path / "Assets", tmp_path / "linked")
+    os.makedirs(tmp_path / "none")
+    rows = tree.list_tree(spark, str(tmp_path) + "/").collect()
+    assert {r["rel_path"]: r["length"] for r in rows} == {n: len(c) for n, c in NAMES.items()}
+    assert all(r["path"] == f"{tmp_path}/{r['rel_path']}" for r in rows)
+    by_uri = tree.list_tree(spark, tmp_path.as_uri()).collect()
+    assert {r["rel_path"] for r in by_uri} == set(NAMES)
+
+
+def test_missing_names(spark, tmp_path):
+    make(tmp_path, NAMES)
+    names = tree.top_level_names(spark, str(tmp_path))
+    missing = routing.missing_names(names, ["Assets", "ProjectSettings", "top.cs"]).collect()
+    assert [r["name"] for r in missing] == ["ProjectSettings"]
+
+
+def test_ignored_prefixes_and_routes(spark, tmp_path):
+    make(tmp_path, NAMES)
+    root = str(tmp_path)
+    kept = routing.ignore_locations(tree.list_tree(spark, root), root, ["Library"])
+    assert {r["rel_path"] for r in kept.collect()} == {n for n in NAMES if not n.startswith("Library")}
+    assert routing.ignore_locations(kept, root, None) is kept
+    routed = routing.route_by_extension(kept, {".cs": "s", "": "other", ".txt": None})
+    assert {r["strategy"] for r in routed.filter("rel_path = 'Assets/README'").collect()} == {"other"}
+    assert routed.filter("strategy = 's'").count() == 6
+
+
+def test_contents_become_text_or_errors(spark, tmp_path):
+    make(tmp_path, NAMES)
+    listed = tree.list_tree(spark, str(tmp_path))
+    gone = listed.limit(1).select(F.lit(str(tmp_path) + "/gone.cs").alias("path"), F.lit("gone.cs").alias("rel_path"), "length")
+    rows = {r["rel_path"]: r for r in reading.decode_text(tree.read_contents(listed.unionByName(gone))).collect()}
+    assert rows["Assets/empty.cs"]["error"] == "file is empty"
+    assert rows["Assets/deep/er/est/bad.cs"]["error"] == "file is not valid UTF-8"
+    assert rows["Assets/_under/a b%20c#.cs"]["text"] == "é\nb\nc"
+    assert rows["gone.cs"]["error"].startswith("cannot read:")
+    assert all((r["text"] is None) == (r["error"] is not None) for r in rows.values())
+
+
+def test_one_file_per_row(spark, tmp_path):
+    root = str(tmp_path / "out")
+    make(root, {"a/1.txt": b"old and longer"})
+    rows = [(f"{root}/a/1.txt", "né\n"), (f"{root}/b/c/2.txt", ""), ("", "nowhere"), (f"{root}/a/1.txt/x", "blocked")]
+    done = files.write_files(spark.createDataFrame(rows, "dest_path string, content string")).collect()
+    state = {r["dest_path"]: (r["bytes"], r["error"] is None) for r in done}
+    assert state[rows[0][0]] == (4, True) and state[rows[1][0]] == (0, True) and state[""] == (0, True)
+    assert state[rows[3][0]] == (0, False)
+    assert open(rows[0][0], encoding="utf-8").read() == "né\n"
+    assert sorted(os.listdir(f"{root}/a")) == ["1.txt"]
+
+
+def test_colliding_destinations(spark):
+    rows = [("b", "d1"), ("a", "d1"), ("c", "d2")]
+    got = routing.mark_collisions(spark.createDataFrame(rows, "path string, dest_path string")).collect()
+    assert {r["path"]: r["wins"] for r in got} == {"a": True, "b": False, "c": True}
+
+
+def test_pairs_from_files(spark, tmp_path):
+    path = str(tmp_path / "p.yaml")
+    with open(path, "w") as f:
+        f.write("translations:\n  - title: t\n    source: |\n      a\n    target: b\n  - source: c\n    target: d\n")
+    assert [tuple(r) for r in pairs.read_pairs(spark, path).collect()] == [("a\n", "b"), ("c", "d")]
+    with open(path, "w") as f:
+        f.write("other: 1\n")
+    assert pairs.read_pairs(spark, path).count() == 0
+    for missing in ("x.yaml", "x.json", "x.parquet"):
+        assert pairs.read_pairs(spark, str(tmp_path / missing)).count() == 0
+    table = str(tmp_path / "t.parquet")
+    spark.createDataFrame([("s", "t", 1)], "source string, target string, extra int").write.parquet(table)
+    assert [tuple(r) for r in pairs.read_pairs(spark, table).collect()] == [("s", "t")]
+
+
+def test_numbering_follows_the_order(spark):
+    df = spark.range(1000).select(F.pmod(F.xxhash64("id"), F.lit(50)).alias("a"), "id").repartition(7)
+    rows = pairs.number_in_order(df, ["a", "id"], "n").collect()
+    ordered = sorted(rows, key=lambda r: (r["a"], r["id"]))
+    assert [r["n"] for r in ordered] == list(range(1, 1001))
+
+
+def test_upsert_keeps_the_newest(spark):
+    old = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "id long, source string, target string")
+    new = spark.createDataFrame([(2, "B", None), (3, "c", "z")], "id long, source string, target string")
+    got = {r["id"]: (r["source"], r["target"]) for r in pairs.upsert(old, new).collect()}
+    assert got == {1: ("a", "x"), 2: ("B", None), 3: ("c", "z")}
+
+
+def test_scratch_follows_the_session(spark):
+    base = spark.conf.get("spark.checkpoint.dir")
+    a, b = scratch_dir(spark, "x"), scratch_dir(spark, "x")
+    assert a.startswith(base) and a != b
