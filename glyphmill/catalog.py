@@ -63,7 +63,7 @@ def corpus_scan(spark, sf_dir):
     folder = F.concat(F.lit("Assets/"), F.col("source"), F.when(F.col("doc_id") % 13 == 0, "/.cache/").otherwise("/"))
     name = F.concat(F.lit("Doc.v"), F.col("doc_id"), F.when(F.col("doc_id") % 11 == 0, "").otherwise(".cs"))
     content = F.when(F.col("doc_id") % 50 == 0, "").otherwise(F.col("text"))
-    tree_of = views.documents(spark, sf_dir).select(F.concat(folder, name).alias("dest_path"), content.alias("content"))
+    tree_of = views.documents(spark, sf_dir, busy=True).select(F.concat(folder, name).alias("dest_path"), content.alias("content"))
     listed = tree.list_tree(spark, _written_tree(spark, tree_of, "scan"))
     return listed.select("rel_path", paths.extension(F.col("rel_path")).alias("ext"), "length")
 
@@ -111,7 +111,7 @@ def known_pairs_upsert(spark, sf_dir):
 @query
 def file_sink(spark, sf_dir):
     """One file per document, read back as bytes."""
-    out = views.documents(spark, sf_dir).select(
+    out = views.documents(spark, sf_dir, busy=True).select(
         F.concat("source", F.lit("/"), "doc_id", F.lit(".txt")).alias("dest_path"), F.col("text").alias("content")
     )
     listed = tree.list_tree(spark, _written_tree(spark, out, "sink"))
@@ -342,7 +342,7 @@ def rag_requests(spark, sf_dir):
         known=KnownPairs(None, None, EXAMPLES, USER_REQUEST, ASSISTANT_RESPONSE),
     )
     job = Translation(profile, "/", "/out", known=_numbered_pairs(spark, sf_dir))
-    docs = views.documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("path"), "text")
+    docs = views.documents(spark, sf_dir, busy=True).select(F.col("doc_id").cast("string").alias("path"), "text")
     asked = requests_for(docs, job)
     chat = requests.assemble_messages(F.col("user"), F.col("system"), F.col("history"))
     return _messages(asked.withColumn("doc_id", F.col("path").cast("long")), ["doc_id"], chat)

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glyphmill.functions.rows import fold, let, take
+
 # Lexical elements. Quantifiers over alternations are possessive: Java matches those
 # in a loop, while the backtracking forms recurse and overflow on long texts.
 _COMMENT = r"//[^\n]*+|/\*(?s:.*?)(?:\*/|\z)"
@@ -72,11 +74,11 @@ def method_spans(parts: Column) -> Column:
         F.lit(0).alias("base"),
         F.lit(False).alias("arrow"),
         F.lit(False).alias("kept"),
-        F.array().cast(f"array<{SPAN}>").alias("spans"),
+        F.array().cast(f"array<{SPAN}>").alias("out"),
     )
 
     def step(s: Column, piece: Column) -> Column:
-        end = F.right(piece, F.lit(1))
+        opens, shuts, ends = piece.endswith("{"), piece.endswith("}"), piece.endswith(";")
         stack, ix = s["stack"], s["ix"]
         depth = F.length(stack)
         popped = F.when(depth > 0, F.substr(stack, F.lit(1), depth - 1)).otherwise(stack)
@@ -84,29 +86,27 @@ def method_spans(parts: Column) -> Column:
         def span(first, kept):
             return F.array(F.struct(first.alias("first"), ix.alias("last"), kept.alias("kept")))
 
-        def state(stack, first=F.lit(-1), base=F.lit(0), arrow=F.lit(False), kept=F.lit(False), spans=s["spans"]):
+        def state(stack, first=F.lit(-1), base=F.lit(0), arrow=F.lit(False), kept=F.lit(False), out=s["out"]):
             return F.struct(
                 stack.alias("stack"), (ix + 1).alias("ix"), first.alias("first"), base.alias("base"),
-                arrow.alias("arrow"), kept.alias("kept"), spans.alias("spans"),
+                arrow.alias("arrow"), kept.alias("kept"), out.alias("out"),
             )
 
         # Inside a method only the depth matters.
-        after = F.when(end == "{", F.concat(stack, F.lit(_BLK))).when(end == "}", popped).otherwise(stack)
-        closes = F.when(s["arrow"], (end == ";") & (depth <= s["base"])).otherwise(
-            (end == "}") & (depth <= s["base"] + 1)
-        )
+        after = F.when(opens, F.concat(stack, F.lit(_BLK))).when(shuts, popped).otherwise(stack)
+        closes = F.when(s["arrow"], ends & (depth <= s["base"])).otherwise(shuts & (depth <= s["base"] + 1))
         inside = F.when(
-            closes, state(after, spans=F.concat(s["spans"], span(s["first"], s["kept"])))
+            closes, state(after, out=F.concat(s["out"], span(s["first"], s["kept"])))
         ).otherwise(state(after, s["first"], s["base"], s["arrow"], s["kept"]))
 
         shape = F.regexp_replace(piece, _OPAQUE, " ")
         in_type = F.right(stack, F.lit(1)).isin(_CLS, _TYP)
-        method = in_type & end.isin("{", ";") & shape.rlike(_METHOD)
+        method = in_type & (opens | ends) & shape.rlike(_METHOD)
         in_other_type = F.instr(stack, _TYP) > 0
         arrow = F.instr(shape, "=>") > 0
-        one_piece = state(stack, spans=F.concat(s["spans"], span(ix, in_other_type)))
+        one_piece = state(stack, out=F.concat(s["out"], span(ix, in_other_type)))
         opened = state(
-            F.when(end == "{", F.concat(stack, F.lit(_BLK))).otherwise(stack), ix, depth, arrow, in_other_type
+            F.when(opens, F.concat(stack, F.lit(_BLK))).otherwise(stack), ix, depth, arrow, in_other_type
         )
         block = (
             F.when(shape.rlike(_CLASS), _CLS)
@@ -115,10 +115,10 @@ def method_spans(parts: Column) -> Column:
             .otherwise(_BLK)
         )
         outside = (
-            F.when(end == "}", state(popped))
-            .when(method & (end == ";"), one_piece)
+            F.when(shuts, state(popped))
+            .when(method & ends, one_piece)
             .when(method, opened)
-            .when(end == "{", state(F.concat(stack, block)))
+            .when(opens, state(F.concat(stack, block)))
             .otherwise(state(stack))
         )
         return F.when(s["first"] >= 0, inside).otherwise(outside)
@@ -127,9 +127,9 @@ def method_spans(parts: Column) -> Column:
         unclosed = F.array(
             F.struct(s["first"].alias("first"), (s["ix"] - 1).alias("last"), s["kept"].alias("kept"))
         )
-        return F.when(s["first"] >= 0, F.concat(s["spans"], unclosed)).otherwise(s["spans"])
+        return F.when(s["first"] >= 0, F.concat(s["out"], unclosed)).otherwise(s["out"])
 
-    return F.aggregate(parts, zero, step, finish)
+    return let(fold(parts, zero, ["stack", "ix", "first", "base", "arrow", "kept"], step), finish)
 
 
 def method_units(parts: Column, spans: Column) -> Column:
@@ -137,7 +137,7 @@ def method_units(parts: Column, spans: Column) -> Column:
 
     def unit(span: Column) -> Column:
         head = F.regexp_replace(F.get(parts, span["first"]), _LEAD, "")
-        tail = F.slice(parts, span["first"] + 2, span["last"] - span["first"])
+        tail = take(parts, span["first"] + 1, span["last"] - span["first"])
         # An unclosed last method runs to the end of the text; nothing trails a closed one.
         return F.regexp_replace(F.concat(head, F.array_join(tail, "")), r"\s++\z", "")
 
@@ -156,6 +156,6 @@ def class_skeleton(parts: Column, cut: Column) -> Column:
         start = F.when(i > 0, F.get(cut, i - 1)["last"] + 1).otherwise(F.lit(0))
         stop = F.coalesce(F.get(cut, i)["first"], F.size(parts))
         lead = F.coalesce(F.regexp_extract(F.get(parts, F.get(cut, i)["first"]), _LEAD, 0), F.lit(""))
-        return F.concat(F.array_join(F.slice(parts, start + 1, stop - start), ""), lead)
+        return F.concat(F.array_join(take(parts, start, stop - start), ""), lead)
 
     return F.array_join(F.transform(F.sequence(F.lit(0), F.size(cut)), gap), "")

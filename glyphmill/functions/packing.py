@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from glyphmill.functions.rows import fold, let, take
 from glyphmill.scratch import ship_package
 
 # Fixed value: what stands between two units of a batch.
@@ -26,10 +27,10 @@ def pack_by_chars(units: Column, limit: int) -> Column:
     The fold carries lengths and index ranges only; texts are cut once at the end.
     """
     zero = F.struct(
-        F.array().cast(f"array<{_RANGE}>").alias("done"),
         F.lit(0).alias("first"),
         F.lit(0).alias("n"),
         F.lit(0).cast("long").alias("size"),
+        F.array().cast(f"array<{_RANGE}>").alias("out"),
     )
 
     def range_of(s: Column) -> Column:
@@ -38,24 +39,27 @@ def pack_by_chars(units: Column, limit: int) -> Column:
     def step(s: Column, unit: Column) -> Column:
         grown = s["size"] + len(SEPARATOR) + F.length(unit)
         joins = F.struct(
-            s["done"].alias("done"), s["first"].alias("first"), (s["n"] + 1).alias("n"), grown.alias("size")
+            s["first"].alias("first"), (s["n"] + 1).alias("n"), grown.alias("size"), s["out"].alias("out")
         )
         starts = F.struct(
-            F.concat(s["done"], range_of(s)).alias("done"),
             (s["first"] + s["n"]).alias("first"),
             F.lit(1).alias("n"),
             F.length(unit).cast("long").alias("size"),
+            F.concat(s["out"], range_of(s)).alias("out"),
         )
         return F.when(grown < limit, joins).otherwise(starts)
 
     def finish(s: Column) -> Column:
-        return F.when(s["size"] > 0, F.concat(s["done"], range_of(s))).otherwise(s["done"])
+        return let(s, lambda s: F.when(s["size"] > 0, F.concat(s["out"], range_of(s))).otherwise(s["out"]))
 
-    def text(r: Column, ix: Column) -> Column:
-        body = F.array_join(F.slice(units, r["first"] + 1, r["n"]), SEPARATOR)
-        return F.when((ix == 0) & (r["n"] > 0), F.concat(F.lit(SEPARATOR), body)).otherwise(body)
+    def batches(units: Column) -> Column:
+        def text(r: Column, ix: Column) -> Column:
+            body = F.array_join(take(units, r["first"], r["n"]), SEPARATOR)
+            return F.when((ix == 0) & (r["n"] > 0), F.concat(F.lit(SEPARATOR), body)).otherwise(body)
 
-    return F.transform(F.aggregate(units, zero, step, finish), text)
+        return F.transform(finish(fold(units, zero, ["first", "n", "size"], step)), text)
+
+    return let(units, batches)
 
 
 def pack_by_counter(units: Column, counter, limit: int) -> Column:

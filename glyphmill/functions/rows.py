@@ -13,6 +13,40 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def take(array: Column, start: Column, n: Column) -> Column:
+    """``n`` elements from index ``start``, in time that depends on ``n`` alone.
+
+    ``slice`` copies the whole array first, which adds up when many ranges are cut from one.
+    """
+    picked = F.transform(F.sequence(start, start + n - 1), lambda i: F.get(array, i))
+    return F.when(n > 0, picked).otherwise(F.slice(F.array(F.get(array, F.lit(0))), 1, 0))
+
+
+def fold(array: Column, zero: Column, fields: list[str], step: Callable[[Column, Column], Column], chunk: int = 512) -> Column:
+    """``aggregate`` for a state struct of ``fields`` plus an array ``out`` that grows.
+
+    Each step of an aggregate copies its state, and with it all that is in ``out``. Folding
+    chunk by chunk, with the results of a chunk kept apart until its end, keeps that linear
+    for any realistic length.
+    """
+
+    def whole(state: Column, part: Column) -> Column:
+        start = F.struct(*[state[f].alias(f) for f in fields], zero["out"].alias("out"))
+        return let(
+            F.aggregate(part, start, step),
+            lambda r: F.struct(*[r[f].alias(f) for f in fields], F.concat(state["out"], r["out"]).alias("out")),
+        )
+
+    def chunked(items: Column) -> Column:
+        n = F.size(items)
+        last = F.greatest(F.floor((n - 1) / chunk).cast("int"), F.lit(0))
+        return F.transform(
+            F.sequence(F.lit(0), last), lambda c: take(items, c * chunk, F.least(F.lit(chunk), n - c * chunk))
+        )
+
+    return F.aggregate(let(array, chunked), zero, whole)
+
+
 def explode_indexed(df: DataFrame, keep: list[str], array: Column | str, index: str, value: str) -> DataFrame:
     """One row per element of a computed array, with its index.
 

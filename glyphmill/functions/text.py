@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glyphmill.functions.rows import let
+from glyphmill.functions.rows import let, take
 
 # The characters Python's str.strip() removes, the breaks
 # str.splitlines() knows, the fence, and the text used when a reply has no parts.
@@ -134,7 +134,7 @@ def header_and_implementation(
     def parts(lines: Column, found: Column) -> Column:
         def joined(part: str) -> Column:
             own = F.filter(found, lambda r: r["part"] == part)
-            texts = F.transform(own, lambda r: F.array_join(F.slice(lines, r["since"] + 1, r["n"]), "\n"))
+            texts = F.transform(own, lambda r: F.array_join(take(lines, r["since"], r["n"]), "\n"))
             return strip(F.array_join(texts, "\n"))
 
         nothing = F.size(found) == 0
