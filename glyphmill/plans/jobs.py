@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from glyphmill.functions.embedding import Embedder, SentenceModelEmbedder
@@ -101,13 +101,18 @@ def run(
     )
     if profile.known is not None:
         job.known = known_pairs(spark, profile, pairs_path)
+        log.info("%d known pairs", job.known.count())
         job.embedder = embedder or SentenceModelEmbedder(profile.known.embedding)
 
-    files = route_by_extension(ignore_locations(list_tree(spark, source), source, profile.ignore), profile.strategies)
+    found, routed = Observation(), Observation()
+    listed = list_tree(spark, source).observe(found, F.count(F.lit(1)).alias("n"))
+    files = route_by_extension(ignore_locations(listed, source, profile.ignore), profile.strategies)
     dest = F.lit(None).cast("string")
     for name in {s for s in profile.strategies.values() if s}:
         dest = F.when(F.col("strategy") == name, job.destination(main_extension(profile, name))).otherwise(dest)
-    files = materialize(mark_collisions(files.withColumn("dest_path", dest)), "files")
+    files = materialize(files.withColumn("dest_path", dest).observe(routed, F.count(F.lit(1)).alias("n")), "routed")
+    log.info("found %d files, %d to migrate", found.get["n"], routed.get["n"])
+    files = materialize(mark_collisions(files), "files")
     losers = files.filter(~F.col("wins")).select(
         "path", "dest_path", F.lit(SKIPPED).alias("status"),
         F.lit("another file has the same destination").alias("error"),

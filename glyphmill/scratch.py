@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:  # only outside a cluster, such as in tests
-        base = tempfile.mkdtemp(prefix="glyphmill-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="glyphmill-"))
+        base = sc.getCheckpointDir()
     return f"{base.rstrip('/')}/glyphmill/{label}-{uuid.uuid4().hex}"
 
 

@@ -21,8 +21,10 @@ def _filesystem(location: str):
     """The file system of a path or URI, and the path inside it."""
     from pyarrow import fs
 
-    if "://" in location or location.startswith("file:"):
-        return fs.FileSystem.from_uri(location)
+    if location.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + location.removeprefix("file:").lstrip("/")
+    if "://" in location:
+        return fs.FileSystem.from_uri(location.replace("s3a://", "s3://", 1))
     return fs.LocalFileSystem(), location
 
 
