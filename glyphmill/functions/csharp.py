@@ -23,7 +23,8 @@ _STRING = (
 )
 _CHAR = r"'(?:\\[^\n]|[^'\\\n])[^'\n]{0,8}'"
 _DIRECTIVE = r"#[^\n]*+"
-_OPAQUE = f"{_COMMENT}|{_STRING}|{_CHAR}|{_DIRECTIVE}"
+# The look-ahead only makes the many positions that start nothing cheap.
+_OPAQUE = f"""(?=[/"'@$#])(?:{_COMMENT}|{_STRING}|{_CHAR}|{_DIRECTIVE})"""
 _PIECE = f"""(?:[^{{}};/"'@$#]++|{_OPAQUE}|[/"'@$])*+(?:[{{}};]|\\z)"""
 _LEAD = rf"^(?:\s++|{_COMMENT}|{_DIRECTIVE})*+"
 
@@ -48,8 +49,10 @@ _CLASS = rf"^\s*+{_ATTRIBUTES}{_MODIFIERS}class\b"
 _OTHER_TYPE = rf"^\s*+{_ATTRIBUTES}{_MODIFIERS}(?:struct|interface|record|enum)\b"
 _NAMESPACE = r"^\s*+namespace\b"
 
-# Kinds of open block on the stack: namespace, class, other type, anything else.
+# Kinds of open block on the stack: namespace, class, other type, anything else. Kinds of
+# piece are these, a method with a body of statements or of one expression, and the rest.
 _NS, _CLS, _TYP, _BLK = "n", "c", "t", "b"
+_BODY, _ARROW, _PLAIN = "m", "a", ""
 
 SPAN = "struct<first:int,last:int,kept:boolean>"
 
@@ -69,7 +72,6 @@ def method_spans(parts: Column) -> Column:
     """
     zero = F.struct(
         F.lit("").alias("stack"),
-        F.lit(0).alias("ix"),
         F.lit(-1).alias("first"),
         F.lit(0).alias("base"),
         F.lit(False).alias("arrow"),
@@ -77,9 +79,9 @@ def method_spans(parts: Column) -> Column:
         F.array().cast(f"array<{SPAN}>").alias("out"),
     )
 
-    def step(s: Column, piece: Column) -> Column:
+    def step(s: Column, piece: Column, ix: Column) -> Column:
         opens, shuts, ends = piece.endswith("{"), piece.endswith("}"), piece.endswith(";")
-        stack, ix = s["stack"], s["ix"]
+        stack = s["stack"]
         depth = F.length(stack)
         popped = F.when(depth > 0, F.substr(stack, F.lit(1), depth - 1)).otherwise(stack)
 
@@ -88,7 +90,7 @@ def method_spans(parts: Column) -> Column:
 
         def state(stack, first=F.lit(-1), base=F.lit(0), arrow=F.lit(False), kept=F.lit(False), out=s["out"]):
             return F.struct(
-                stack.alias("stack"), (ix + 1).alias("ix"), first.alias("first"), base.alias("base"),
+                stack.alias("stack"), first.alias("first"), base.alias("base"),
                 arrow.alias("arrow"), kept.alias("kept"), out.alias("out"),
             )
 
@@ -99,37 +101,47 @@ def method_spans(parts: Column) -> Column:
             closes, state(after, out=F.concat(s["out"], span(s["first"], s["kept"])))
         ).otherwise(state(after, s["first"], s["base"], s["arrow"], s["kept"]))
 
-        shape = F.regexp_replace(piece, _OPAQUE, " ")
-        in_type = F.right(stack, F.lit(1)).isin(_CLS, _TYP)
-        method = in_type & (opens | ends) & shape.rlike(_METHOD)
-        in_other_type = F.instr(stack, _TYP) > 0
-        arrow = F.instr(shape, "=>") > 0
-        one_piece = state(stack, out=F.concat(s["out"], span(ix, in_other_type)))
-        opened = state(
-            F.when(opens, F.concat(stack, F.lit(_BLK))).otherwise(stack), ix, depth, arrow, in_other_type
-        )
-        block = (
-            F.when(shape.rlike(_CLASS), _CLS)
-            .when(shape.rlike(_OTHER_TYPE), _TYP)
-            .when(shape.rlike(_NAMESPACE), _NS)
-            .otherwise(_BLK)
-        )
+        in_type = stack.endswith(_CLS) | stack.endswith(_TYP)
+        in_other_type = F.contains(stack, F.lit(_TYP))
+        shape = F.when(piece.rlike("[/\"'@$#]"), F.regexp_replace(piece, _OPAQUE, " ")).otherwise(piece)
+
+        def kind(shape: Column) -> Column:
+            return (
+                F.when(in_type & shape.rlike(_METHOD), F.when(F.contains(shape, F.lit("=>")), _ARROW).otherwise(_BODY))
+                .when(ends, _PLAIN)
+                .when(shape.rlike(_CLASS), _CLS)
+                .when(shape.rlike(_OTHER_TYPE), _TYP)
+                .when(shape.rlike(_NAMESPACE), _NS)
+                .otherwise(_BLK)
+            )
+
+        def enter(kind: Column) -> Column:
+            method = kind.isin(_BODY, _ARROW)
+            inner = F.when(opens, F.concat(stack, F.lit(_BLK))).otherwise(stack)
+            return (
+                F.when(kind == _PLAIN, s)
+                .when(method & ends, state(stack, out=F.concat(s["out"], span(ix, in_other_type))))
+                .when(method, state(inner, ix, depth, kind == _ARROW, in_other_type))
+                .otherwise(state(F.concat(stack, kind)))
+            )
+
         outside = (
             F.when(shuts, state(popped))
-            .when(method & ends, one_piece)
-            .when(method, opened)
-            .when(opens, state(F.concat(stack, block)))
-            .otherwise(state(stack))
+            .when(opens & stack.endswith(_BLK), state(F.concat(stack, F.lit(_BLK))))
+            .when(opens | ends, let(shape, lambda shape: let(kind(shape), enter)))
+            .otherwise(s)
         )
-        return F.when(s["first"] >= 0, inside).otherwise(outside)
+        # Most pieces are statements of some body: they change nothing.
+        statement = ends & ~s["arrow"] & ((s["first"] >= 0) | stack.endswith(_BLK))
+        return F.when(statement, s).when(s["first"] >= 0, inside).otherwise(outside)
 
     def finish(s: Column) -> Column:
         unclosed = F.array(
-            F.struct(s["first"].alias("first"), (s["ix"] - 1).alias("last"), s["kept"].alias("kept"))
+            F.struct(s["first"].alias("first"), (F.size(parts) - 1).alias("last"), s["kept"].alias("kept"))
         )
         return F.when(s["first"] >= 0, F.concat(s["out"], unclosed)).otherwise(s["out"])
 
-    return let(fold(parts, zero, ["stack", "ix", "first", "base", "arrow", "kept"], step), finish)
+    return let(fold(parts, zero, ["stack", "first", "base", "arrow", "kept"], step), finish)
 
 
 def method_units(parts: Column, spans: Column) -> Column:

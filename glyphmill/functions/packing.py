@@ -36,7 +36,7 @@ def pack_by_chars(units: Column, limit: int) -> Column:
     def range_of(s: Column) -> Column:
         return F.array(F.struct(s["first"].alias("first"), s["n"].alias("n")))
 
-    def step(s: Column, unit: Column) -> Column:
+    def step(s: Column, unit: Column, _: Column) -> Column:
         grown = s["size"] + len(SEPARATOR) + F.length(unit)
         joins = F.struct(
             s["first"].alias("first"), (s["n"] + 1).alias("n"), grown.alias("size"), s["out"].alias("out")

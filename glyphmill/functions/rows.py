@@ -22,27 +22,31 @@ def take(array: Column, start: Column, n: Column) -> Column:
     return F.when(n > 0, picked).otherwise(F.slice(F.array(F.get(array, F.lit(0))), 1, 0))
 
 
-def fold(array: Column, zero: Column, fields: list[str], step: Callable[[Column, Column], Column], chunk: int = 512) -> Column:
+def fold(
+    array: Column, zero: Column, fields: list[str], step: Callable[[Column, Column, Column], Column], chunk: int = 512
+) -> Column:
     """``aggregate`` for a state struct of ``fields`` plus an array ``out`` that grows.
 
-    Each step of an aggregate copies its state, and with it all that is in ``out``. Folding
-    chunk by chunk, with the results of a chunk kept apart until its end, keeps that linear
-    for any realistic length.
+    ``step`` takes the state, an element and its index. Each step of an aggregate copies
+    its state, and with it all that is in ``out``. Folding chunk by chunk, with the results
+    of a chunk kept apart until its end, keeps that linear for any realistic length.
     """
 
     def whole(state: Column, part: Column) -> Column:
         start = F.struct(*[state[f].alias(f) for f in fields], zero["out"].alias("out"))
         return let(
-            F.aggregate(part, start, step),
+            F.aggregate(part, start, lambda s, x: step(s, x["item"], x["at"])),
             lambda r: F.struct(*[r[f].alias(f) for f in fields], F.concat(state["out"], r["out"]).alias("out")),
         )
 
     def chunked(items: Column) -> Column:
-        n = F.size(items)
-        last = F.greatest(F.floor((n - 1) / chunk).cast("int"), F.lit(0))
-        return F.transform(
-            F.sequence(F.lit(0), last), lambda c: take(items, c * chunk, F.least(F.lit(chunk), n - c * chunk))
+        last = F.size(items) - 1
+        item = lambda i: F.struct(F.get(items, i).alias("item"), i.alias("at"))
+        chunks = F.transform(
+            F.sequence(F.lit(0), last, F.lit(chunk)),
+            lambda c: F.transform(F.sequence(c, F.least(c + chunk - 1, last)), item),
         )
+        return F.when(last >= 0, chunks).otherwise(F.slice(F.array(F.array(item(F.lit(0)))), 1, 0))
 
     return F.aggregate(let(array, chunked), zero, whole)
 
