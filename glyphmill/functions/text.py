@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glyphmill.functions.rows import let, take
+from glyphmill.functions.rows import fold, let
 
 # The characters Python's str.strip() removes, the breaks
 # str.splitlines() knows, the fence, and the text used when a reply has no parts.
@@ -21,6 +21,7 @@ FENCE = "```"
 NO_IMPLEMENTATION = "SEE HEADER FOR FULL RESPONSE"
 TAB_WIDTH_SPACES = "    "
 
+_RARE_BREAK = "[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 # A character class of PY_WS without the newline, for line-wise patterns.
 _INLINE_WS = "[" + PY_WS.replace("\n", "") + "]"
 
@@ -76,10 +77,9 @@ def first_code_block(reply: Column, fence: str = FENCE) -> Column:
     return strip(F.when(reply.rlike(pattern), F.regexp_extract(reply, pattern, 1)).otherwise(reply))
 
 
-def lines_of(c: Column) -> Column:
-    """``str.splitlines``: no trailing empty element, all Unicode breaks."""
-    parts = F.split(c, LINE_BREAK)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+def one_break(c: Column) -> Column:
+    """Every line break that ``str.splitlines`` knows as a newline."""
+    return F.when(c.rlike(_RARE_BREAK), F.regexp_replace(c, LINE_BREAK, "\n")).otherwise(c)
 
 
 def header_and_implementation(
@@ -87,63 +87,58 @@ def header_and_implementation(
 ) -> Column:
     """Split a reply into ``struct<header, implementation>``.
 
-    Only marker lines change what a line belongs to: fences, and comments that end in a
-    file extension. The fold runs over the markers and cuts the lines between them into
-    runs of a part (``h``, ``i`` or none); once a comment has named a part, fences no
-    longer open or close anything.
+    Only marker lines change what follows belongs to: fences, and comments that end in a
+    file extension. One pattern finds the markers and cuts the reply between them; a fold
+    over the markers, which are few, gives each stretch its part (``h``, ``i`` or none).
+    Once a comment has named a part, fences no longer open or close anything.
     """
+    named_line = f"//[^\n]*(?:{re.escape(header_ext)}|{re.escape(implementation_ext)}){_INLINE_WS}*+"
+    marker = f"(?md)^{_INLINE_WS}*+(?:{re.escape(fence)}[^\n]*+|{named_line})(?:\n|\\z)"
 
-    def tag(line: Column) -> Column:
-        head, tail = lstrip(line), rstrip(line)
-        named = head.startswith("//")
-        plain = ~F.contains(line, F.lit(fence)) & ~F.contains(line, F.lit("//"))
-        return (
-            F.when(plain, "text")
-            .when(head.startswith(fence), "fence")
-            .when(named & tail.endswith(header_ext), "h")
-            .when(named & tail.endswith(implementation_ext), "i")
-            .otherwise("text")
-        )
+    def labels(text: Column, stretches: Column) -> Column:
+        """For each marker, the part that the stretch after it belongs to."""
 
-    def runs(lines: Column) -> Column:
-        markers = F.filter(
-            F.transform(lines, lambda line, i: F.struct(tag(line).alias("tag"), i.alias("at"))),
-            lambda m: m["tag"] != "text",
-        )
-        end = F.array(F.struct(F.lit("end").alias("tag"), F.size(lines).alias("at")))
+        def tag(line: Column) -> Column:
+            bare = strip(line)
+            return F.when(bare.startswith(fence), "fence").when(bare.endswith(header_ext), "h").otherwise("i")
+
+        markers = F.transform(F.regexp_extract_all(text, F.lit(marker), F.lit(0)), tag)
         zero = F.struct(
-            F.lit("").alias("part"), F.lit(False).alias("named"), F.lit(0).alias("since"),
-            F.array().cast("array<struct<part:string,since:int,n:int>>").alias("runs"),
+            F.lit("").alias("part"), F.lit(False).alias("named"), F.lit(False).alias("headed"),
+            F.array().cast("array<string>").alias("out"),
         )
 
-        def step(s: Column, m: Column) -> Column:
-            run = F.array(F.struct(s["part"].alias("part"), s["since"].alias("since"), (m["at"] - s["since"]).alias("n")))
-            done = F.when((s["part"] != "") & (m["at"] > s["since"]), F.concat(s["runs"], run)).otherwise(s["runs"])
-            fenced = F.when(s["named"], s["part"]).when(s["part"] != "", "").when(
-                F.exists(s["runs"], lambda r: r["part"] == "h"), "i"
-            ).otherwise("h")
+        def step(s: Column, tag: Column, at: Column) -> Column:
+            opened = F.when(s["part"] != "", "").when(s["headed"], "i").otherwise("h")
+            part = F.when(tag != "fence", tag).when(s["named"], s["part"]).otherwise(opened)
+            filled = (part == "h") & (F.get(stretches, at + 1) != "")
             return F.struct(
-                F.when(m["tag"] == "fence", fenced).otherwise(m["tag"]).alias("part"),
-                (s["named"] | m["tag"].isin("h", "i")).alias("named"),
-                (m["at"] + 1).alias("since"),
-                done.alias("runs"),
+                part.alias("part"), (s["named"] | (tag != "fence")).alias("named"),
+                (s["headed"] | filled).alias("headed"), F.concat(s["out"], F.array(part)).alias("out"),
             )
 
-        return F.aggregate(F.concat(markers, end), zero, step, lambda s: s["runs"])
+        return fold(markers, zero, ["part", "named", "headed"], step)["out"]
 
-    def parts(lines: Column, found: Column) -> Column:
+    def parts(stretches: Column, labels: Column) -> Column:
         def joined(part: str) -> Column:
-            own = F.filter(found, lambda r: r["part"] == part)
-            texts = F.transform(own, lambda r: F.array_join(take(lines, r["since"], r["n"]), "\n"))
-            return strip(F.array_join(texts, "\n"))
-
-        nothing = F.size(found) == 0
-        return F.struct(
-            F.when(nothing, strip(reply)).otherwise(joined("h")).alias("header"),
-            F.when(nothing, F.lit(NO_IMPLEMENTATION)).otherwise(joined("i")).alias("implementation"),
+            own = F.transform(labels, lambda label, i: F.when(label == part, F.get(stretches, i + 1)))
+            return F.array_join(own, "")
+
+        def result(found: Column) -> Column:
+            nothing = (found["h"] == "") & (found["i"] == "")
+            return F.struct(
+                F.when(nothing, strip(reply)).otherwise(strip(found["h"])).alias("header"),
+                F.when(nothing, F.lit(NO_IMPLEMENTATION)).otherwise(strip(found["i"])).alias("implementation"),
+            )
+
+        return let(F.struct(joined("h").alias("h"), joined("i").alias("i")), result)
+
+    def split(text: Column) -> Column:
+        return let(
+            F.split(text, marker), lambda stretches: let(labels(text, stretches), lambda found: parts(stretches, found))
         )
 
-    return let(lines_of(reply), lambda lines: let(runs(lines), lambda found: parts(lines, found)))
+    return let(one_break(reply), split)
 
 
 def camel_to_snake(c: Column) -> Column:
