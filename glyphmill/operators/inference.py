@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -19,7 +20,7 @@ class Provider:
     """What answers requests. Subclass and implement ``reply``; ``open`` loads the model in the task.
 
     ``partitions`` sets how widely requests are spread, ``threads`` how many are in flight
-    per task, ``timeout_sec`` how long one may take, waiting included.
+    per task, ``timeout_sec`` how long one may take.
     """
 
     partitions: int | None = None
@@ -102,46 +103,64 @@ def ask(requests: DataFrame, provider: Provider, keys: list[str]) -> DataFrame:
 def _answer(provider: Provider, batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     from concurrent.futures import ThreadPoolExecutor
 
+    def new_pool():
+        return ThreadPoolExecutor(max_workers=max(1, provider.threads))
+
     try:
         provider.open()
         broken = None
     except Exception as e:
         broken = f"provider failed to start: {e}"
-    pool = ThreadPoolExecutor(max_workers=max(1, provider.threads)) if broken is None else None
-
-    def plain(history):
-        if history is None:
-            return []
-        return [dict(m) if isinstance(m, dict) else m.asDict() for m in history]
-
-    def outcome(row, future):
-        if future is None:
-            return None, row.error if isinstance(row.error, str) else broken
-        try:
-            return future.result(timeout=provider.timeout_sec), None
-        except TimeoutError:
-            future.cancel()
-            return None, f"query timed out after {provider.timeout_sec} s"
-        except Exception as e:
-            return None, f"query failed: {e}"
-
+    pool = new_pool()
     try:
         for pdf in batches:
-            rows = list(pdf.itertuples(index=False))
-            flights = [
-                None
-                if pool is None or isinstance(r.error, str)
-                else pool.submit(provider.reply, r.user, r.system, plain(r.history))
-                for r in rows
-            ]
-            done = [outcome(r, f) for r, f in zip(rows, flights)]
+            rows, begun = list(pdf.itertuples(index=False)), {}
+
+            def call(i):
+                begun[i] = time.monotonic()
+                return provider.reply(rows[i].user, rows[i].system, _plain(rows[i].history))
+
+            earlier = [r.error if isinstance(r.error, str) else broken for r in rows]
+            flights = {i: pool.submit(call, i) for i, e in enumerate(earlier) if e is None}
+            done = []
+            for i in range(len(rows)):
+                if i not in flights:
+                    done.append((None, earlier[i]))
+                elif _settled(flights[i], i, begun, provider.timeout_sec):
+                    failure = flights[i].exception()
+                    done.append((None, f"query failed: {failure}") if failure else (flights[i].result(), None))
+                else:
+                    done.append((None, f"query timed out after {provider.timeout_sec} s"))
+                    # Its thread may never come back: those still waiting move to new threads.
+                    pool.shutdown(wait=False, cancel_futures=True)
+                    pool = new_pool()
+                    flights.update({j: pool.submit(call, j) for j, f in flights.items() if f.cancelled()})
             out = pdf[keys].copy()
-            out["response"] = [d[0] for d in done]
-            out["error"] = [d[1] for d in done]
+            out["response"] = [reply for reply, _ in done]
+            out["error"] = [error for _, error in done]
             yield out
     finally:
-        if pool is not None:
-            pool.shutdown(wait=False, cancel_futures=True)
+        pool.shutdown(wait=False, cancel_futures=True)
+
+
+def _settled(flight, i: int, begun: dict[int, float], timeout: float | None) -> bool:
+    """Wait for a query until it is done, or until its time, counted from its start, is over."""
+    from concurrent.futures import wait
+
+    while not flight.done():
+        left = None
+        if timeout is not None:
+            left = begun[i] + timeout - time.monotonic() if i in begun else 0.05
+            if left <= 0:
+                return False
+        wait([flight], timeout=left)
+    return True
+
+
+def _plain(history) -> list[dict]:
+    if history is None:
+        return []
+    return [m if isinstance(m, dict) else m.asDict() for m in history]
 
 
 def ask_resumable(requests: DataFrame, provider: Provider, keys: list[str], store: str) -> DataFrame:

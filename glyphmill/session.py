@@ -6,13 +6,11 @@ from pyspark.sql import SparkSession
 
 
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
-    """Adaptive execution on, UTC, and Arrow batches small enough for long texts."""
+    """Adaptive execution on, UTC, Arrow for pandas."""
     return (
         builder.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        # A batch is held in memory on both sides: 1,000 texts, not the default 10,000.
-        .config("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     )

@@ -58,6 +58,21 @@ def test_a_slow_query_times_out_and_the_rest_go_on(spark):
     assert [k for k, r in rows.items() if r["error"] is None] == [k for k in rows if k != 1]
 
 
+def test_one_thread_is_not_held_up_by_stuck_queries(spark):
+    def slow(user, system, history):
+        if user in ("q1", "q2"):
+            time.sleep(4)
+        if user == "q3":
+            raise TimeoutError("its own")
+        return user
+
+    provider = FunctionProvider(slow, partitions=1, threads=1, timeout_sec=0.4)
+    rows = {r["key"]: r for r in ask(requests(spark, 8), provider, ["key"]).collect()}
+    assert {k: r["error"] for k, r in rows.items() if r["error"]} == {
+        1: "query timed out after 0.4 s", 2: "query timed out after 0.4 s", 3: "query failed: its own",
+    }
+
+
 class Broken(Provider):
     def open(self):
         raise RuntimeError("no model")
