@@ -5,31 +5,32 @@ from pyspark.sql import functions as F
 
 from glyphmill.operators.segmenting import segment
 
-PLAIN = '''using System;
+PLAIN = '''using Game.World;
 
-public class Revenue
+public class Door
 {
-    internal double? amount;
-    internal List<string> names;
+    private bool open;
+    private List<Key> keys;
 
-    public Revenue(string source)
+    public Door(int locks)
     {
-        this.source = source;
-#if EDITOR
-        this.names = null;
+        open = locks == 0;
+#if DEBUG
+        keys = null;
 #endif
     }
 
-#region Setters
-    public void SetAmount(double amount, string currency)
+#region Moving
+    public void Push(float force, Key key)
     {
-        this.amount = amount;
+        open = force > 1;
     }
 #endregion
 
-    public void SetNames(List<string> names)
+    public bool Fits(List<Key> tried)
     {
-        if (names != null) { this.names = names; }
+        if (tried != null) { return keys == tried; }
+        return false;
     }
 }'''
 
@@ -105,13 +106,12 @@ def squeeze(s):
 def test_methods_and_skeleton_of_a_plain_class(spark):
     units, skeleton = cut(spark, PLAIN)
     assert units == [
-        "public void SetAmount(double amount, string currency)\n    {\n        this.amount = amount;\n    }",
-        "public void SetNames(List<string> names)\n    {\n        if (names != null) { this.names = names; }\n    }",
+        "public void Push(float force, Key key)\n    {\n        open = force > 1;\n    }",
+        "public bool Fits(List<Key> tried)\n    {\n        if (tried != null) { return keys == tried; }\n        return false;\n    }",
     ]
     assert squeeze(skeleton) == squeeze(
-        "using System; public class Revenue { internal double? amount; internal List<string> names; "
-        "public Revenue(string source) { this.source = source; #if EDITOR this.names = null; #endif } "
-        "#region Setters #endregion }"
+        "using Game.World; public class Door { private bool open; private List<Key> keys; "
+        "public Door(int locks) { open = locks == 0; #if DEBUG keys = null; #endif } #region Moving #endregion }"
     )
 
 

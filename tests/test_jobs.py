@@ -34,18 +34,18 @@ def sources(spark, *rows):
 
 
 def translated(user, system, history):
-    return f"TRANSLATED {user}"
+    return f"DONE {user}"
 
 
 def test_small_and_large_files_in_one_go(spark):
     df = sources(spark, ("/src/a/Small.cs", "class A { }"), ("/src/a/Long.cs", LONG), ("/src/Bad.cs", None, "file is empty"))
     rows = {r["path"]: r for r in to_single_file(df, job(config(), FunctionProvider(translated), 300)).collect()}
-    assert rows["/src/a/Small.cs"]["content"] == "TRANSLATED full"
+    assert rows["/src/a/Small.cs"]["content"] == "DONE full"
     assert rows["/src/a/Small.cs"]["dest_path"] == "/out/a/Small.gd"
     batches = rows["/src/a/Long.cs"]["content"].split("\n\n")
-    assert batches[0] == "TRANSLATED class_only"
+    assert batches[0] == "DONE class_only"
     # Twelve methods of about 60 characters, four to a batch.
-    assert batches[1:] == ["TRANSLATED methods_only"] * 3
+    assert batches[1:] == ["DONE methods_only"] * 3
     assert rows["/src/Bad.cs"]["status"] == "failed" and rows["/src/Bad.cs"]["error"] == "file is empty"
     assert rows["/src/Bad.cs"]["content"] is None
 

@@ -28,13 +28,13 @@ def test_earlier_errors_stay(spark):
 
 def test_examples_in_order_and_replacement_order(spark):
     examples = F.array(
-        F.struct(F.lit("Hello, world!").alias("source"), F.lit("One").alias("target")),
+        F.struct(F.lit("print 1").alias("source"), F.lit("echo 1").alias("target")),
         F.struct(F.lit("has ${TARGET}").alias("source"), F.lit("Two").alias("target")),
     )
-    got = one(spark, R.example_messages(examples, "'${SOURCE}' is '${TARGET}'", "!OK!"))
+    got = one(spark, R.example_messages(examples, "${SOURCE} -> ${TARGET}", "fine"))
     assert [tuple(m) for m in got] == [
-        ("user", "'Hello, world!' is 'One'"), ("assistant", "!OK!"),
-        ("user", "'has Two' is 'Two'"), ("assistant", "!OK!"),
+        ("user", "print 1 -> echo 1"), ("assistant", "fine"),
+        ("user", "has Two -> Two"), ("assistant", "fine"),
     ]
 
 

@@ -81,16 +81,16 @@ class LengthEmbedder(Embedder):
         return lambda texts: [[float(len(t))] for t in texts]
 
 
-PAIRS = [(1, "Hello, world!", "One"), (2, "Sator arepo tenet opera rotas", "Two"), (3, "x", "Three")]
+PAIRS = [(1, "grey horses run", "One"), (2, "nine blue parrots whistle loudly", "Two"), (3, "x", "Three")]
 
 
 @pytest.mark.parametrize("limit", [64 << 20, 0])
 def test_history_of_pieces(spark, limit):
     known = spark.createDataFrame(PAIRS, "id long, source string, target string")
-    pieces = spark.createDataFrame([("a", "Sator arepo tenet opera"), ("b", "y"), ("c", None)], "path string, code string")
+    pieces = spark.createDataFrame([("a", "nine blue parrots whistle"), ("b", "y"), ("c", None)], "path string, code string")
     got = attach_history(pieces, known, TrigramEmbedder(), 1, "${SOURCE}=${TARGET}", "ok", max_local_bytes=limit)
     rows = {r["path"]: [tuple(m) for m in r["history"]] for r in got.collect()}
-    assert rows["a"] == [("user", "Sator arepo tenet opera rotas=Two"), ("assistant", "ok")]
+    assert rows["a"] == [("user", "nine blue parrots whistle loudly=Two"), ("assistant", "ok")]
     assert rows["c"] == []
     two = attach_history(pieces, known, LengthEmbedder(), 2, "${TARGET}", "ok", max_local_bytes=limit)
     rows = {r["path"]: [m["content"] for m in r["history"]] for r in two.collect()}

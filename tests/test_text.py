@@ -136,13 +136,13 @@ def test_extension_and_stem(column_of):
 
 
 def test_destination_paths(column_of):
-    source = ["/T/source/Assets/sub/SomeFile.cs", "/T/source/Top_Level.cs"]
+    source = ["/in/Top/Rooms/HallLamp.cs", "/in/Front_Door.cs"]
 
     def dest(**how):
-        return column_of(source, lambda c: paths.destination_path(c, "/T/source/", "/T/dest", ".gd", **how))
+        return column_of(source, lambda c: paths.destination_path(c, "/in/", "/made", ".gd", **how))
 
-    assert dest() == ["/T/dest/Assets/sub/SomeFile.gd", "/T/dest/Top_Level.gd"]
-    assert dest(camel_case=True) == ["/T/dest/Assets/sub/SomeFile.gd", "/T/dest/TopLevel.gd"]
-    assert dest(snake_case=True) == ["/T/dest/Assets/sub/some_file.gd", "/T/dest/top_level.gd"]
-    assert dest(lower_folders=True) == ["/T/dest/assets/sub/SomeFile.gd", "/T/dest/Top_Level.gd"]
-    assert dest(camel_case=True, snake_case=True)[1] == "/T/dest/TopLevel.gd"
+    assert dest() == ["/made/Top/Rooms/HallLamp.gd", "/made/Front_Door.gd"]
+    assert dest(camel_case=True) == ["/made/Top/Rooms/HallLamp.gd", "/made/FrontDoor.gd"]
+    assert dest(snake_case=True) == ["/made/Top/Rooms/hall_lamp.gd", "/made/front_door.gd"]
+    assert dest(lower_folders=True) == ["/made/top/rooms/HallLamp.gd", "/made/Front_Door.gd"]
+    assert dest(camel_case=True, snake_case=True)[1] == "/made/FrontDoor.gd"
