@@ -10,21 +10,22 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from glyphmill.scratch import ship_package
+from glyphmill.worker import kept, key_of
 
 
 class Embedder:
-    """Texts to vectors. ``load`` runs once per task and returns ``list[str] -> 2-d array``."""
+    """Texts to vectors. ``load`` runs once per task process and returns ``list[str] -> 2-d array``."""
 
     def load(self):
         raise NotImplementedError
 
     def as_column(self, text: Column) -> Column:
         ship_package()
-        embedder = self
+        embedder, key = self, key_of(self)
 
         @F.pandas_udf("array<double>")
         def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            encode = embedder.load()
+            encode = kept(key, embedder.load)
             for texts in batches:
                 yield pd.Series(list(encode(texts.fillna("").tolist())), index=texts.index)
 

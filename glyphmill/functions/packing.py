@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from glyphmill.functions.rows import fold, let, take
 from glyphmill.scratch import ship_package
+from glyphmill.worker import kept, key_of
 
 # Fixed value: what stands between two units of a batch.
 SEPARATOR = "\n\n"
@@ -66,10 +67,11 @@ def pack_by_counter(units: Column, counter, limit: int) -> Column:
     """The same packing for counters whose counts do not add up: the whole batch is counted each time."""
 
     ship_package()
+    key = key_of(counter)
 
     @F.pandas_udf("array<string>")
     def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        count = counter.load()
+        count = kept(key, counter.load)
 
         def fold(texts):
             if texts is None:

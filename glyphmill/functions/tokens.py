@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from glyphmill.scratch import ship_package
+from glyphmill.worker import kept, key_of
 
 
 class CharCounter:
@@ -26,16 +27,16 @@ class EncodedCounter:
     additive = False
 
     def load(self):
-        """Return ``str -> int``; called in the task."""
+        """Return ``str -> int``; called once per task process."""
         raise NotImplementedError
 
     def count(self, c: Column) -> Column:
         ship_package()
-        counter = self
+        counter, key = self, key_of(self)
 
         @F.pandas_udf("long")
         def n_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            size = counter.load()
+            size = kept(key, counter.load)
             for texts in batches:
                 yield texts.map(size, na_action="ignore").astype("Int64")
 

@@ -12,12 +12,13 @@ from pyspark.sql import types as T
 
 from glyphmill.operators.requests import HISTORY
 from glyphmill.scratch import materialize, ship_package
+from glyphmill.worker import kept, key_of
 
 MALFORMED = "provider returned a malformed reply"
 
 
 class Provider:
-    """What answers requests. Subclass and implement ``reply``; ``open`` loads the model in the task.
+    """What answers requests. Subclass and implement ``reply``; ``open`` loads the model, once per process.
 
     ``partitions`` sets how widely requests are spread, ``threads`` how many are in flight
     per task, ``timeout_sec`` how long one may take.
@@ -94,21 +95,26 @@ def ask(requests: DataFrame, provider: Provider, keys: list[str]) -> DataFrame:
         + [T.StructField("response", T.StringType()), T.StructField("error", T.StringType())]
     )
 
+    key = key_of(provider)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from _answer(provider, batches, keys)
+        yield from _answer(provider, key, batches, keys)
 
     return check_reply(asked.repartition(n, *keys).mapInPandas(run, schema))
 
 
-def _answer(provider: Provider, batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+def _answer(provider: Provider, key: str, batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     from concurrent.futures import ThreadPoolExecutor
 
     def new_pool():
         return ThreadPoolExecutor(max_workers=max(1, provider.threads))
 
-    try:
+    def opened():
         provider.open()
-        broken = None
+        return provider
+
+    try:
+        provider, broken = kept(key, opened), None
     except Exception as e:
         broken = f"provider failed to start: {e}"
     pool = new_pool()

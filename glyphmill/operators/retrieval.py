@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from glyphmill.functions.embedding import Embedder
 from glyphmill.operators.requests import HISTORY, example_messages
 from glyphmill.scratch import materialize, ship_package
+from glyphmill.worker import kept, key_of
 
 TIE_DIGITS = 9
 MAX_LOCAL_BYTES = 64 << 20
@@ -260,11 +261,13 @@ def _examples_local(spark, vectors: DataFrame, embedder: Embedder, k: int):
         (local["id"].to_numpy(), _matrix(local["vec"]), local["source"].tolist(), local["target"].tolist())
     )
 
+    key = key_of(embedder)
+
     @F.pandas_udf("array<struct<source:string,target:string>>")
     def examples(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         ids, matrix, sources, targets = shared.value
         place = {known_id: i for i, known_id in enumerate(ids)}
-        encode = embedder.load()
+        encode = kept(key, embedder.load)
         for texts in batches:
             out = [None] * len(texts)
             asked = [i for i, t in enumerate(texts) if isinstance(t, str)]

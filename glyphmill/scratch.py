@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import sys
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
-from pyspark import cloudpickle
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,8 +28,18 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_shipped: set[str] = set()
+
+
 def ship_package() -> None:
-    """Send this package's task code by value, so workers need no installed copy."""
-    package = sys.modules["glyphmill"]
-    if package.__name__ not in cloudpickle.list_registry_pickle_by_value():
-        cloudpickle.register_pickle_by_value(package)
+    """Put this package on the path of the task processes, once per application."""
+    sc = SparkContext.getOrCreate()
+    if sc.applicationId in _shipped:
+        return
+    here = Path(__file__).parent
+    packed = Path(tempfile.mkdtemp(prefix="glyphmill-")) / f"{here.name}.zip"
+    with zipfile.ZipFile(packed, "w") as z:
+        for source in sorted(here.rglob("*.py")):
+            z.write(source, f"{here.name}/{source.relative_to(here)}")
+    sc.addPyFile(str(packed))
+    _shipped.add(sc.applicationId)

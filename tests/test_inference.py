@@ -73,6 +73,27 @@ def test_one_thread_is_not_held_up_by_stuck_queries(spark):
     }
 
 
+class Counted(Provider):
+    partitions = 16
+
+    def __init__(self, log):
+        self.log = log
+
+    def open(self):
+        with open(self.log, "a") as f:
+            f.write(f"{os.getpid()}\n")
+
+    def reply(self, user, system, history):
+        return user
+
+
+def test_a_model_is_loaded_once_per_process(spark, tmp_path):
+    log = str(tmp_path / "opened")
+    assert ask(requests(spark), Counted(log), ["key"]).filter("error is null").count() == 200
+    opened = open(log).read().split()
+    assert len(opened) == len(set(opened)) < 16
+
+
 class Broken(Provider):
     def open(self):
         raise RuntimeError("no model")
