@@ -185,3 +185,17 @@ def test_profiles(tmp_path):
         load_profile("nope")
     with pytest.raises(ProfileError, match="llm"):
         from_config({"prompts": {}})
+
+
+def test_a_project_without_sources_and_a_rerun(spark, tmp_path):
+    source, dest = str(tmp_path / "src"), str(tmp_path / "out")
+    for name in ("Assets/readme.txt", "ProjectSettings/x.asset"):
+        os.makedirs(os.path.dirname(f"{source}/{name}"), exist_ok=True)
+        open(f"{source}/{name}", "w").close()
+    how = dict(provider=IdentityProvider(), counter=CharCounter())
+    assert jobs.run(spark, "godot-mono", source + "/", dest + "/", **how).count() == 0
+    project(source)
+    for _ in range(2):  # a second run overwrites the first
+        report = jobs.run(spark, "godot-mono", source + "/", dest + "/", **how, reply_store=str(tmp_path / "replies"))
+        assert report.filter("status = 'ok'").count() == 3
+        assert sorted(os.listdir(dest + "/assets/code")) == ["FooBar.cs", "Long.cs", "foo_bar.cs"]
