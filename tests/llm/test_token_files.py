@@ -52,7 +52,7 @@ def test_file_round_trip(bits, docs, block):
 @pytest.mark.parametrize("bits", [False, True])
 def test_files_in_document_order(spark, odd, bits):
     files = token_files.write_token_files(odd, scratch_dir(spark, "f"), NAME, 2, block=64, ids_per_file=500, bits=bits)
-    assert files.count() > 4
+    assert files.count() >= 3
     got = sorted(token_files.read_token_files(files, bits).collect(), key=lambda r: r.start)
     want, start = [], 0
     for d, t in sorted(((d, t or "") for d, t, _ in ODD), key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode())):
