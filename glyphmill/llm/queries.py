@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import common, hilbert, mixing, token_counts, token_files
+from glyphmill.llm import common, decontaminate, hilbert, mixing, token_counts, token_files
 from glyphmill.llm.common import table
 from glyphmill.scratch import materialize, scratch_dir
 
@@ -34,6 +34,16 @@ def op2_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(files)
 
 
+@query
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = decontaminate.find(docs, benchmark, keep=["doc_id"])
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 @query
 def op9_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -55,5 +65,7 @@ def op10_min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     cuts, sizes, targets = mixing.plan(sized, mixing.Weights())
     per_source = spark.createDataFrame([([s], sizes[s], targets[s]) for s in sizes], "sources array<string>, source_size long, target double")
     per_source = per_source.select(mixing.pattern_key(F.col("sources")).alias("key"), "source_size", "target")
+    # Written first: the join then knows that its rows are few.
+    given = materialize(cuts.join(per_source, "key"), "mix-cuts")
     taken = (F.col("size") * mixing.copies(F.col("draw"))).cast("long")
-    return sized.join(cuts, "key").join(per_source, "key").select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    return sized.join(given, "key").select("doc_id", "size", "source_size", "target", taken.alias("taken"))
