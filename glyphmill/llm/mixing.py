@@ -156,9 +156,9 @@ def _cuts(sized: DataFrame, budget: DataFrame) -> DataFrame:
     return level.join(last, "key", "left").select("key", "whole", F.coalesce("last", "at").alias("cut"))
 
 
-def copies(draw: Column) -> Column:
-    """Times that a document joined to its pattern's row of ``plan`` is taken."""
-    return F.col("whole") + F.when(draw <= F.col("cut"), 1).otherwise(0)
+def copies(draw: Column, given: Column) -> Column:
+    """Times that a document is taken; ``given`` has ``whole`` and ``cut`` of its pattern's row of ``plan``."""
+    return given["whole"] + F.when(draw <= given["cut"], 1).otherwise(0)
 
 
 def mix(docs: DataFrame, sources: Column, size: Column, weights: Weights, seed: int = 0, ident: str = "doc_id") -> DataFrame:
@@ -169,6 +169,6 @@ def mix(docs: DataFrame, sources: Column, size: Column, weights: Weights, seed:
     """
     place = draw(seed, F.col(ident))
     sized = materialize(docs.select(pattern_key(sources).alias("key"), sources.alias("sources"), place.alias("draw"), size.alias("size")), "mix-sizes")
-    cuts = materialize(plan(sized, weights)[0], "mix-cuts").select(F.col("key").alias("_mix_key"), F.col("whole"), F.col("cut"))
-    taken = docs.join(cuts, pattern_key(sources) == F.col("_mix_key")).withColumn("_copies", copies(place).cast("int"))
+    cuts = materialize(plan(sized, weights)[0], "mix-cuts").select(F.col("key").alias("_mix_key"), F.struct("whole", "cut").alias("_mix"))
+    taken = docs.join(cuts, pattern_key(sources) == F.col("_mix_key")).withColumn("_copies", copies(place, F.col("_mix")).cast("int"))
     return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).filter("_copies > 0").select(*[docs[c] for c in docs.columns])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import common, decontaminate, hilbert, mixing, token_counts, token_files
+from glyphmill.llm import common, decontaminate, hilbert, mixing, quality, token_counts, token_files
 from glyphmill.llm.common import table
 from glyphmill.scratch import materialize, scratch_dir
 
@@ -34,6 +34,12 @@ def op2_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(files)
 
 
+@query
+def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.judge(docs, "piece_bpe_32k.model", keep=["doc_id", "lang"])
+
+
 @query
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -67,5 +73,5 @@ def op10_min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_source = per_source.select(mixing.pattern_key(F.col("sources")).alias("key"), "source_size", "target")
     # Written first: the join then knows that its rows are few.
     given = materialize(cuts.join(per_source, "key"), "mix-cuts")
-    taken = (F.col("size") * mixing.copies(F.col("draw"))).cast("long")
+    taken = (F.col("size") * mixing.copies(F.col("draw"), F.struct("whole", "cut"))).cast("long")
     return sized.join(given, "key").select("doc_id", "size", "source_size", "target", taken.alias("taken"))

@@ -107,8 +107,8 @@ def test_query_over_a_table(spark):
 
 
 def test_mix_of_overlapping_sources(spark):
-    rows = [(i, ["a", "b"] if i % 3 == 0 else ["a"] if i % 3 == 1 else ["b"], "w " * (i % 7 + 1), "old") for i in range(600)]
-    docs = spark.createDataFrame(rows, "doc_id long, sources array<string>, text string, key string")
+    rows = [(i, ["a", "b"] if i % 3 == 0 else ["a"] if i % 3 == 1 else ["b"], "w " * (i % 7 + 1), "old", 1, "x") for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, sources array<string>, text string, key string, whole int, cut string")
     out = mixing.mix(docs, F.col("sources"), word_count(F.col("text")), mixing.Weights((1, 3), halves=2))
     assert out.columns == docs.columns
     counts = [r["count"] for r in out.groupBy("doc_id").count().collect()]
