@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import common, decontaminate, hilbert, mixing, quality, token_counts, token_files
+from glyphmill.llm import common, decontaminate, hilbert, mixing, quality, token_counts, token_files, url_filter
 from glyphmill.llm.common import table
 from glyphmill.scratch import materialize, scratch_dir
 
@@ -40,6 +40,21 @@ def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, "piece_bpe_32k.model", keep=["doc_id", "lang"])
 
 
+URL_RULES = [
+    url_filter.Rule("com/", "allow"), url_filter.Rule("example.com/en/", "block"), url_filter.Rule("www.example.com/en/", "allow"),
+    url_filter.Rule("net/es/", "block"), url_filter.Rule("net/fr/", "block"),
+]
+
+
+@query
+def op5_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages that a rule decides are the labelled addresses; the trees judge the others."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    verdict = url_filter.rule_of(url_filter.host_of(F.col("url")), url_filter.path_of(F.col("url")), URL_RULES)["verdict"]
+    labelled = pages.select("url", (verdict == "block").cast("int").alias("block")).filter("block is not null")
+    return url_filter.decide(pages, URL_RULES, url_filter.train(labelled))
+
+
 @query
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
