@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import common, decontaminate, hilbert, mixing, quality, token_counts, token_files, url_filter
+from glyphmill.llm import common, decontaminate, hilbert, mixing, pseudonyms, quality, token_counts, token_files, url_filter
 from glyphmill.llm.common import table
 from glyphmill.scratch import materialize, scratch_dir
 
@@ -40,6 +40,12 @@ def op3_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, "piece_bpe_32k.model", keep=["doc_id", "lang"])
 
 
+@query
+def op4_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pseudonyms.pseudonymise(docs, key="registered query")
+
+
 URL_RULES = [
     url_filter.Rule("com/", "allow"), url_filter.Rule("example.com/en/", "block"), url_filter.Rule("www.example.com/en/", "allow"),
     url_filter.Rule("net/es/", "block"), url_filter.Rule("net/fr/", "block"),
