@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import common, decontaminate, hilbert, mixing, pseudonyms, quality, token_counts, token_files, url_filter
+from glyphmill.llm import common, decontaminate, hilbert, mixing, near_dups, preferences, pseudonyms, quality, token_counts, token_files, url_filter
 from glyphmill.llm.common import table
 from glyphmill.scratch import materialize, scratch_dir
 
@@ -61,6 +61,11 @@ def op5_url_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.decide(pages, URL_RULES, url_filter.train(labelled))
 
 
+@query
+def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -71,6 +76,50 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation against itself with its neighbour's last answer; spans are shown as ``start+length``."""
+    pairs = preferences.examples(*preferences.with_other_answer(table(spark, sf_dir, "conversations")))
+    shown = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("+", s["start"].cast("string"), s["length"].cast("string"))), " ")
+    return pairs.withColumns({c: shown(F.col(c)) for c in ("chosen_spans", "rejected_spans")})
+
+
+SQL["op8_preferences"] = """
+with said as (
+    select distinct conv_id as pair_id, coalesce(turn, -4611686018427387904) as turn, coalesce(role, '') as role, coalesce(text, '') as text
+    from conversations where conv_id is not null
+), last as (
+    select pair_id, max(turn) as until, max_by(text, (turn, text)) as text from said where role = 'assistant' and turn > -4611686018427387904 group by pair_id
+), rejected as (
+    select s.* from said s left join last l using (pair_id) where l.until is null or s.turn < l.until
+    union
+    select l.pair_id, l.until, 'assistant', o.text from last l join last o on o.pair_id = xor(l.pair_id, 1)
+), both_sides as (select 'chosen' as side, * from said union all select 'rejected', * from rejected),
+at_turn as (
+    select pair_id, turn, list((role, text) order by role, text) filter (side = 'chosen') as c, list((role, text) order by role, text) filter (side = 'rejected') as r
+    from both_sides group by pair_id, turn
+), ends as (select pair_id, min(turn) filter (c is distinct from r) as cut from at_turn group by pair_id),
+parts as (
+    select b.pair_id, case when e.cut is null or b.turn < e.cut then 'prompt' else b.side end as part, b.turn, b.role, b.text
+    from both_sides b join ends e using (pair_id) where not (b.side = 'rejected' and (e.cut is null or b.turn < e.cut))
+), written as (
+    select *, '<|' || role || '|>
+' as head, text || '<|end|>
+' as body from parts
+), placed as (
+    select *, coalesce(sum(length(head) + length(body)) over (partition by pair_id, part order by turn, role, text rows between unbounded preceding and 1 preceding), 0) + length(head) as start
+    from written
+)
+select pair_id, count(distinct turn) filter (part = 'prompt') as n_prompt_turns,
+    coalesce(string_agg(head || body, '' order by turn, role, text) filter (part = 'prompt'), '') as prompt,
+    coalesce(string_agg(head || body, '' order by turn, role, text) filter (part = 'chosen'), '') as chosen,
+    coalesce(string_agg(head || body, '' order by turn, role, text) filter (part = 'rejected'), '') as rejected,
+    coalesce(string_agg(start::bigint || '+' || length(body), ' ' order by turn, role, text) filter (part = 'chosen' and role = 'assistant'), '') as chosen_spans,
+    coalesce(string_agg(start::bigint || '+' || length(body), ' ' order by turn, role, text) filter (part = 'rejected' and role = 'assistant'), '') as rejected_spans
+from placed group by pair_id
+"""
+
+
 @query
 def op9_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
