@@ -7,13 +7,28 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import hilbert, mixing
+from glyphmill.llm import decontaminate, hilbert, mixing, near_dups, quality
 from glyphmill.llm.common import table, word_count
 from glyphmill.scratch import materialize
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and lie in the fertility bands of their language."""
+    return quality.keep(docs, "piece_bpe_32k.model")
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each group of near-duplicates."""
+    return near_dups.deduplicate(docs)
+
+
+def drop_benchmark_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no window of the benchmark occurs."""
+    return decontaminate.remove_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the min-cost flow to the sources' targets takes them."""
     return mixing.mix(docs, F.array("source"), word_count(F.col("text")), mixing.Weights())
@@ -25,7 +40,9 @@ def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return hilbert.shard(sized, values=["source", "lang"], sizes=["size"], shards=40)
 
 
-STAGES: list[tuple[str, Stage]] = [("mixing", mix_sources), ("sharding", shard)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", keep_good), ("near-duplicates", drop_near_duplicates), ("decontamination", drop_benchmark_text), ("mixing", mix_sources), ("sharding", shard),
+]
 
 #: The quality rules depend on a tokenizer, which SQL cannot run.
 ORACLE_SQL: str | None = None

@@ -157,3 +157,13 @@ def judge(docs: DataFrame, vocabulary: str, group: str = "lang", rules: Bands =
     """
     columns = list(dict.fromkeys([*(keep or docs.columns), group]))
     return judged(materialize(measured(docs, vocabulary, text, columns), "quality"), group, rules)
+
+
+def keep(docs: DataFrame, vocabulary: str, group: str = "lang", rules: Bands = Bands(), text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept, with their columns as they were.
+
+    Texts are written once beside their measures, so that none is measured a second time when the bands are known.
+    """
+    plain = docs.select([F.col(c).alias(f"_in_{c}") for c in docs.columns])
+    judged_ = judge(plain, vocabulary, f"_in_{group}", rules, f"_in_{text}")
+    return judged_.filter("kept").select([F.col(f"_in_{c}").alias(c) for c in docs.columns])
