@@ -277,7 +277,8 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest(), ident: str = "do
         F.greatest(F.ceil(F.count("*") / forest.block), F.ceil(F.sum("n_shingles") / forest.block_shingles)).alias("blocks")
     )
     members = materialize(members.join(sizes, "component").select("node", "digest", "component", "blocks"), "members")
-    texts = given.withColumnRenamed("doc_id", "node").join(members, "node")
+    # Merged at any size: the members of a large table are too many to be sent to every task.
+    texts = given.withColumnRenamed("doc_id", "node").join(members.hint("merge"), "node")
     links = _paired(texts, F.col("component"), F.col("blocks"), _similar_sets(forest.per_cent))
     joined = connected(links)
     named = classes.select("digest", "node").join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
@@ -291,4 +292,4 @@ def near_duplicates(docs: DataFrame, forest: Forest = Forest(), ident: str = "do
 def deduplicate(docs: DataFrame, forest: Forest = Forest(), ident: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept: one document of each component, and every text without shingles."""
     gone = near_duplicates(docs, forest, ident, text).filter("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone, F.col(ident).eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone.hint("merge"), F.col(ident).eqNullSafe(F.col("_gone")), "left_anti")
