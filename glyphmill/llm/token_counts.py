@@ -18,12 +18,13 @@ def _counter(name: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if name.endswith(".model"):
             processor = vocab.pieces(name)
-            length = lambda text: len(processor.encode(text))
+            lengths = lambda texts: [len(processor.encode(t)) for t in texts]
         else:
             bpe = vocab.byte_bpe(name)
-            length = lambda text: len(bpe.encode(text)) // 4
+            lengths = lambda texts: [len(ids) // 4 for ids in bpe.encode(texts)]
         for batch in batches:
-            counts = [length(t.as_py().decode("utf-8", "replace")) for t in batch.column(1)]
+            texts = (t.as_py().decode("utf-8", "replace") for t in batch.column(1))
+            counts = [n for group in vocab.in_groups(texts, len) for n in lengths(group)]
             yield pa.record_batch([batch.column(0).cast(pa.binary()), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 
     return count

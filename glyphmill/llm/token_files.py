@@ -176,16 +176,18 @@ def _writer(root: str, tokenizer: str, end: bytes, block: int, ids_per_file: int
             made.append((part, len(made), f"{root}/{name}", len(writer.docs), writer.n_ids))
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                if writer is None:
-                    system.create_dir(folder, recursive=True)
-                    target = f"{folder}/.{uuid.uuid4().hex}.tmp" if staged else f"{folder}/part-{part:06d}-{len(made):05d}.planes"
-                    out = system.open_output_stream(target)
-                    writer = Writer(out, block, bits)
-                writer.add(doc, bpe.encode(text.as_py().decode("utf-8", "replace")) + end)
-                if writer.n_ids + writer.waiting_bytes // 4 >= ids_per_file:
-                    finish()
-                    writer = None
+            rows = zip(batch.column(0).to_pylist(), (t.as_py().decode("utf-8", "replace") for t in batch.column(1)))
+            for group in vocab.in_groups(rows, lambda row: len(row[1])):
+                for (doc, _), ids in zip(group, bpe.encode([t for _, t in group])):
+                    if writer is None:
+                        system.create_dir(folder, recursive=True)
+                        target = f"{folder}/.{uuid.uuid4().hex}.tmp" if staged else f"{folder}/part-{part:06d}-{len(made):05d}.planes"
+                        out = system.open_output_stream(target)
+                        writer = Writer(out, block, bits)
+                    writer.add(doc, ids + end)
+                    if writer.n_ids + writer.waiting_bytes // 4 >= ids_per_file:
+                        finish()
+                        writer = None
         if writer is not None:
             finish()
         names = ["part", "number", "path", "n_docs", "n_ids"]
