@@ -66,28 +66,29 @@ def route(patterns: dict[str, tuple[int, tuple]], quotas: dict, max_copies: int)
         for p in supply:
             while supply[p]:
                 # The shortest way from the pattern to a source with room; flow may be taken back on the way.
-                came, queue, end = {p: None}, deque([p]), None
+                came, queue, ends = {p: None}, deque([p]), []
                 seen: dict[object, str] = {}
-                while queue and end is None:
+                while queue and not ends:
                     at = queue.popleft()
                     for s in to[at]:
                         if s in seen:
                             continue
                         seen[s] = at
                         if room[s]:
-                            end = s
+                            ends.append(s)
                             break
                         for other in back[s]:
                             if other not in came:
                                 came[other] = s
                                 queue.append(other)
-                if end is None:
+                if not ends:
                     break
+                (end,) = ends
                 steps, s = [], end
                 while True:
                     at = seen[s]
                     steps.append((at, s, 1))
-                    if came[at] is None:
+                    if at == p:
                         break
                     s = came[at]
                     steps.append((at, s, -1))
