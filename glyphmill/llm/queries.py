@@ -66,6 +66,24 @@ def op6_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+SQL["op6_lsh_forest"] = r"""
+with recursive words as (
+    select row_number() over () as row, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+    from documents
+), starts as (select row, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from words where len(w) > 0),
+single as materialized (select distinct row, array_to_string(w[i:i + 4], ' ') as shingle from starts),
+sizes as (select row, count(*) as size from single group by row),
+common as (select a.row as a, b.row as b, count(*) as n from single a join single b using (shingle) where a.row <> b.row group by all),
+links as (
+    select c.a, c.b from common c join sizes x on x.row = c.a join sizes y on y.row = c.b where 100 * c.n >= 85 * (x.size + y.size - c.n)
+), reach as (select row as a, row as b from words union select r.a, l.b from reach r join links l on l.a = r.b),
+named as (select r.a, min(d.doc_id) as component_id from reach r join words d on d.row = r.b group by r.a)
+select d.doc_id, coalesce(s.size, 0)::bigint as n_shingles, n.component_id, coalesce(d.doc_id = n.component_id, d.doc_id is null and n.component_id is null) as kept
+from words d join named n on n.a = d.row left join sizes s on s.row = d.row
+"""
+
+
 @query
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
@@ -76,6 +94,27 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+SQL["op7_decontamination"] = r"""
+with words as (
+    select row_number() over () as row, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from documents
+), items as (
+    select item_id::varchar as item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+    from benchmark where text is not null
+), windows as (
+    select distinct item, least(len(w), 10) as n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') as x
+    from (select *, unnest(range(1, len(w) - least(len(w), 10) + 2)) as i from items where len(w) > 0)
+), lengths as (select w.row, w.w, l.n from words w, (select distinct n from windows) l where len(w.w) >= l.n),
+starts as (select row, w, n, unnest(range(1, len(w) - n + 2)) as i from lengths),
+tried as materialized (select row, i, n, array_to_string(w[i:i + n - 1], ' ') as x from starts),
+hits as (select t.row, t.i, t.n, h.item from tried t join windows h using (n, x)), covered as (select row, count(distinct spot) as n_hit from (select row, unnest(range(i, i + n)) as spot from hits) group by row),
+found as (select row, count(*) as n_items, string_agg(item, ',' order by item) as names from (select distinct row, item from hits) group by row)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from words left join covered using (row) left join found using (row)
+"""
+
+
 @query
 def op8_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation against itself with its neighbour's last answer; spans are shown as ``start+length``."""
@@ -145,3 +184,29 @@ def op10_min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = materialize(cuts.join(per_source, "key"), "mix-cuts")
     taken = (F.col("size") * mixing.copies(F.col("draw"), F.struct("whole", "cut"))).cast("long")
     return sized.join(given, "key").select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+SQL["op10_min_cost_flow"] = r"""
+with sized as (
+    select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, md5('0:' || coalesce(doc_id::varchar, 'null')) as draw from documents
+), sources as (
+    select source, sum(size)::bigint as s, [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1]::bigint as w from sized group by source
+), poured as (
+    select *, (sum(s) over ())::bigint as whole_size, coalesce(sum(2 * s) over (order by s / w::double, source nulls last rows between unbounded preceding and 1 preceding), 0)::bigint as caps,
+        (sum(w) over (order by s / w::double, source nulls last rows between current row and unbounded following))::bigint as shared
+    from sources
+), full_ones as (select *, w * (3 * whole_size - 2 * caps) > 4 * s * shared as capped from poured),
+targets as (
+    select source, s, case when capped then (2 * s)::double
+        else (w * (3 * whole_size - 2 * coalesce(sum(2 * s) filter (capped) over (), 0)::bigint))::double / (2 * sum(w) filter (not capped) over ())::double end as target
+    from full_ones
+), budgets as (
+    select *, case when s > 0 then round_even(target, 0)::bigint // s else 0 end as times, case when s > 0 then round_even(target, 0)::bigint % s else 0 end as rest from targets
+), peers as (select source, draw, sum(size) as size from sized group by all),
+ordered as (
+    select source, draw, size, coalesce(sum(size) over (partition by source order by draw rows between unbounded preceding and 1 preceding), 0) as below from peers
+)
+select d.doc_id, d.size::bigint as size, b.s as source_size, b.target,
+    (d.size * (b.times + (2 * o.below + o.size <= 2 * b.rest)::int))::bigint as taken
+from sized d join budgets b on d.source is not distinct from b.source join ordered o on o.source is not distinct from d.source and o.draw = d.draw
+"""
