@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,8 +64,36 @@ def pack_by_chars(units: Column, limit: int) -> Column:
     return let(units, batches)
 
 
+def counted_ranges(texts: list[str], count, limit: int) -> list[tuple[int, int]]:
+    """Index ranges of the batches of ``texts`` for any counter that does not shrink as text is added.
+
+    Every unit is counted once. Sums of those counts say where a batch should end; whole batches are counted only around
+    there, to correct for what joining adds or merges. A range that starts at 0 leads with the separator and may be
+    empty; any other takes its first unit unchecked.
+    """
+    between = count(SEPARATOR)
+    reach = np.cumsum([count(t) + between for t in texts])
+    out: list[tuple[int, int]] = []
+    start = least = 0
+    while start < len(texts):
+
+        def fits(stop: int, start=start) -> bool:
+            lead = SEPARATOR if not out else ""
+            return count(lead + SEPARATOR.join(texts[start:stop])) < limit
+
+        spent = reach[start - 1] if start else 0
+        stop = max(least, int(np.searchsorted(reach, spent + limit)))
+        while stop > least and not fits(stop):
+            stop -= 1
+        while stop < len(texts) and fits(stop + 1):
+            stop += 1
+        out.append((start, stop))
+        start, least = stop, stop + 1
+    return out
+
+
 def pack_by_counter(units: Column, counter, limit: int) -> Column:
-    """The same packing for counters whose counts do not add up: the whole batch is counted each time."""
+    """The same packing for counters whose counts do not add up."""
 
     ship_package()
     key = key_of(counter)
@@ -73,21 +102,18 @@ def pack_by_counter(units: Column, counter, limit: int) -> Column:
     def packed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         count = kept(key, counter.load)
 
-        def fold(texts):
+        def rendered(texts):
             if texts is None:
                 return None
-            done, current = [], ""
-            for text in texts:
-                grown = current + SEPARATOR + text
-                if count(grown) < limit:
-                    current = grown
-                else:
-                    done.append(current)
-                    current = text
-            return [*done, current] if current else done
+            texts = list(texts)
+            ranges = counted_ranges(texts, count, limit)
+            made = [SEPARATOR.join(texts[a:b]) for a, b in ranges]
+            if made and ranges[0][1]:
+                made[0] = SEPARATOR + made[0]
+            return made if not made or made[-1] else made[:-1]
 
         for column in batches:
-            yield column.map(fold)
+            yield column.map(rendered)
 
     return packed(units)
 

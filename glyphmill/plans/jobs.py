@@ -52,8 +52,8 @@ def counter_for(profile: Profile):
         return TokenizerFileCounter(settings["tokenizer_file"])
     if settings.get("max_tokens") and settings.get("model"):
         return TiktokenCounter(settings["model"])
-    if settings.get("context_length"):
-        raise ProfileError("counting this model's tokens needs 'tokenizer_file' or an explicit counter")
+    if settings.get("context_length") or settings.get("max_tokens"):
+        raise ProfileError("counting this profile's tokens needs 'model', 'tokenizer_file' or an explicit counter")
     return CharCounter()
 
 

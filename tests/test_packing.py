@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from glyphmill.functions.packing import pack, pack_by_chars
+from glyphmill.functions.packing import counted_ranges, pack, pack_by_chars
 from glyphmill.functions.tokens import CharCounter, EncodedCounter, TokenizerFileCounter
 from glyphmill.operators.segmenting import plan_pieces
 
@@ -50,7 +50,19 @@ def test_first_unit_too_large_sends_an_empty_batch(spark):
 def test_packing_by_a_counter(spark):
     units = groups(2)
     words = lambda s: len(s.split())
-    assert packed(spark, units, lambda u: pack(u, WordCounter(), 4)) == [model(g, 4, words) for g in units]
+    for limit in (1, 2, 4, 9):
+        assert packed(spark, units, lambda u: pack(u, WordCounter(), limit)) == [model(g, limit, words) for g in units]
+
+
+def test_batches_are_counted_only_near_their_ends():
+    calls = []
+
+    def count(text):
+        calls.append(text)
+        return len(text)
+
+    assert counted_ranges(["abcd"] * 1000, count, 600)[:2] == [(0, 99), (99, 199)]
+    assert len(calls) < 1000 + 60
 
 
 def test_no_limit_is_one_batch(spark):
