@@ -34,23 +34,21 @@ _READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 def planes_of(ids: np.ndarray, bits: bool) -> list[bytes]:
     """The planes of a block, lowest first; those above the highest id are left out."""
-    top = int(ids.max(initial=0))
-    by_byte = np.ascontiguousarray(ids.astype("<u4", copy=False)).view(np.uint8).reshape(-1, 4).T
+    top = int(ids.max(initial=0)).bit_length()
     if not bits:
-        return [np.ascontiguousarray(by_byte[i]).tobytes() for i in range(max(1, (top.bit_length() + 7) // 8))]
-    return [np.packbits((by_byte[i // 8] >> (i % 8)) & 1, bitorder="little").tobytes() for i in range(max(1, top.bit_length()))]
+        return [(ids >> np.uint32(8 * i)).astype(np.uint8).tobytes() for i in range(max(1, (top + 7) // 8))]
+    return [np.packbits((ids >> np.uint32(i)).astype(np.uint8) & 1, bitorder="little").tobytes() for i in range(max(1, top))]
 
 
 def ids_of(planes: list[bytes], n: int, bits: bool) -> np.ndarray:
     """The ids of a block from its planes."""
-    by_byte = np.zeros((4, n), np.uint8)
+    out = np.zeros(n, "<u4")
     for i, plane in enumerate(planes):
         raw = np.frombuffer(plane, np.uint8)
         if bits:
-            by_byte[i // 8] |= np.unpackbits(raw, count=n, bitorder="little") << (i % 8)
-        else:
-            by_byte[i] = raw
-    return np.ascontiguousarray(by_byte.T).view("<u4").reshape(-1)
+            raw = np.unpackbits(raw, count=n, bitorder="little")
+        out |= raw.astype("<u4") << np.uint32(i if bits else 8 * i)
+    return out
 
 
 class Writer:
@@ -205,10 +203,11 @@ def write_token_files(
 
     Returns the committed files in order, ``path, n_docs, n_ids, start``: what a lost or repeated task leaves behind is
     not in it. Rows are laid out by range, so files follow each other in document order; a null id comes first, rows with one id
-    are ordered by their text, a null text is empty. An empty table gives no file.
+    are ordered by the size of their text, then by the text; a null text is empty. An empty table gives no file.
     """
     rows = docs.select(F.col(ident).cast("long").alias("doc_id"), text_bytes(F.col(text)).alias("text"))
-    laid = rows.repartitionByRange("doc_id", F.crc32("text")).sortWithinPartitions("doc_id", "text")
+    size = F.octet_length("text")
+    laid = rows.repartitionByRange("doc_id", size).sortWithinPartitions("doc_id", size, "text")
     write = _writer(root, tokenizer, struct.pack("<I", end_id), block, ids_per_file, bits)
     manifest = materialize(arrow_stage(laid, write, _MANIFEST), "token-files")
     before = F.sum("n_ids").over(W.orderBy("part", "number").rowsBetween(W.unboundedPreceding, -1))  # one row per file

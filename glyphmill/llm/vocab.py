@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import os
 import re
@@ -63,7 +64,7 @@ class ByteBpe:
     with marks, digits or a line break behind it is put together from its pieces.
     """
 
-    def __init__(self, name: str, size: int = 600_000):
+    def __init__(self, name: str, size: int = 700_000):
         import tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -123,6 +124,16 @@ class ByteBpe:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
+        # Many small objects and no cycles: looking for some would cost a good part of the time.
+        collecting = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collecting:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > self.most:
             self.known, self.elder = {}, self.known
         runs, ends, heads = [], [], []
@@ -144,7 +155,7 @@ class ByteBpe:
         out, start = [], 0
         for t, head, end in zip(texts, heads, ends):
             own = ids[start:end]
-            out.append(self.whole(t) if head is None or blank and None in own else self.whole(head) + b"".join(own))
+            out.append(self.whole(t) if head is None or blank and None in own else (self._inner(head) if _plain(head) else self.whole(head)) + b"".join(own))
             start = end
         return out
 

@@ -55,7 +55,7 @@ def test_files_in_document_order(spark, odd, bits):
     assert files.count() >= 3
     got = sorted(token_files.read_token_files(files, bits).collect(), key=lambda r: r.start)
     want, start = [], 0
-    for d, t in sorted(((d, t or "") for d, t, _ in ODD), key=lambda x: (x[0] is not None, x[0] or 0, x[1].encode())):
+    for d, t in sorted(((d, t or "") for d, t, _ in ODD), key=lambda x: (x[0] is not None, x[0] or 0, len(x[1].encode()), x[1].encode())):
         want.append((d, start, len(ids(t)), crc(ids(t))))
         start += len(ids(t))
     assert [tuple(r) for r in got] == want
