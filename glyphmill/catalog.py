@@ -15,6 +15,7 @@ from glyphmill.functions.packing import pack, pack_by_chars
 from glyphmill.functions.rows import explode_indexed
 from glyphmill.functions.tokens import CharCounter
 from glyphmill.operators import assembling, inference, reading, requests, retrieval, routing, segmenting
+from glyphmill.plans import jobs
 from glyphmill.plans.profiles import SINGLE_FILE, TWO_FILES, KnownPairs, Profile
 from glyphmill.plans.translation import Translation, requests_for, to_single_file, to_two_files
 from glyphmill.scratch import materialize, scratch_dir
@@ -151,10 +152,10 @@ def destination_path(spark, sf_dir):
 @query
 def destination_collisions(spark, sf_dir):
     """Names that differ only in ways a destination does not: the smallest path wins."""
-    folder = F.concat(F.lit(views.ROOT + "/Assets/"), "lang")
-    path = F.concat(folder, F.lit("/"), F.when(F.col("doc_id") % 2 == 0, "FooBar").otherwise("foo_bar"), (F.col("doc_id") % 100).cast("string"), F.lit("."), "source")
-    named = views.documents(spark, sf_dir).select("doc_id", path.alias("path")).groupBy("path").agg(F.min("doc_id").alias("doc_id"))
-    placed = named.withColumn("dest_path", paths.destination_path(F.col("path"), views.ROOT, "/out", ".gd", snake_case=True))
+    name = F.when(F.col("doc_id") % 2 == 0, "FooBar").otherwise("foo_bar")
+    path = F.concat(F.lit(views.ROOT + "/Assets/"), name, F.floor(F.col("doc_id") / 2).cast("string"), F.lit("."), "source")
+    placed = views.documents(spark, sf_dir).select("doc_id", path.alias("path"))
+    placed = placed.withColumn("dest_path", paths.destination_path(F.col("path"), views.ROOT, "/out", ".gd", snake_case=True))
     return routing.mark_collisions(placed).select("doc_id", "path", "dest_path", "wins")
 
 
@@ -173,7 +174,7 @@ def snake_to_camel(spark, sf_dir):
 
 @query
 def macros_to_comments(spark, sf_dir):
-    return views.sources(spark, sf_dir).select("doc_id", T.directives_to_comments(F.col("text")).alias("text"))
+    return views.sources(spark, sf_dir, busy=True).select("doc_id", T.directives_to_comments(F.col("text")).alias("text"))
 
 
 @query
@@ -329,9 +330,9 @@ def knn_exact(spark, sf_dir):
 
 
 @query
-def knn_in_cells(spark, sf_dir):
+def knn_in_blocks(spark, sf_dir):
     """The same neighbours by the way taken when the known side is too large to send."""
-    return _neighbours(spark, sf_dir, max_local_bytes=0, pivots=16, group_rows=512)
+    return _neighbours(spark, sf_dir, max_local_bytes=0)
 
 
 @query
@@ -433,3 +434,42 @@ def migrate_single_file(spark, sf_dir):
 def migrate_two_files(spark, sf_dir):
     job = _job(TWO_FILE_PROMPTS, header_extension=".h", implementation_extension=".cpp", camel_case_names=True)
     return to_two_files(views.sources(spark, sf_dir, busy=True).select("path", "text"), job)
+
+
+def annotate(user, system, history):
+    if len(user) % 5 == 0:
+        raise ValueError("no fives")
+    return f"```cs\n// {system}\n{user}\n// {len(history)}\n```"
+
+
+@query
+def migrate_project(spark, sf_dir):
+    """A whole job on a project tree: ignored, empty, unrouted, colliding and refused files, and what was written."""
+    root, out = scratch_dir(spark, "project"), scratch_dir(spark, "migrated")
+    tenth = F.floor(F.col("doc_id") / 10).cast("string")
+    name = (
+        F.when(F.col("doc_id") % 10 == 0, F.concat(F.lit("FooBar"), tenth)).when(F.col("doc_id") % 10 == 1, F.concat(F.lit("foo_bar"), tenth))
+        .otherwise(F.concat(F.lit("Doc"), F.col("doc_id").cast("string")))
+    )
+    folder = F.when(F.col("doc_id") % 7 == 0, "Library/").otherwise("Assets/")
+    ending = F.when(F.col("doc_id") % 11 == 0, ".txt").otherwise(".cs")
+    content = F.when(F.col("doc_id") % 13 == 0, "").otherwise(F.col("text"))
+    tree_files = views.documents(spark, sf_dir).select(F.concat(folder, name, ending).alias("dest_path"), content.alias("content"))
+    settings = spark.createDataFrame([("ProjectSettings/x.asset", "")], "dest_path string, content string")
+    materialize(sink.write_files(tree_files.union(settings).withColumn("dest_path", F.concat(F.lit(root + "/"), "dest_path"))), "project-log")
+    pairs_at = scratch_dir(spark, "known") + ".parquet"
+    views.pairs(spark, sf_dir).select("source", "target").write.parquet(pairs_at)
+    profile = Profile(
+        prompts={"system": SYSTEM, "full": "${CODE}"}, provider=None, extension=".gd", snake_case_names=True, ignore=["Library"], strategies={".cs": SINGLE_FILE},
+        known=KnownPairs(None, None, EXAMPLES, USER_REQUEST, ASSISTANT_RESPONSE),
+    )
+    report = jobs.run(
+        spark, profile, root, out, provider=inference.FunctionProvider(annotate), counter=CharCounter(), embedder=TrigramEmbedder(), pairs_path=pairs_at
+    )
+    written = reading.decode_text(tree.read_contents(tree.list_tree(spark, out))).select(F.col("path").alias("dest_path"), F.col("text").alias("content"))
+    inside = lambda c, top: F.substring(c, len(top) + 2, F.length(c))
+    joined = report.join(written.withColumnRenamed("dest_path", "_at"), F.col("dest_path") == F.col("_at"), "left")
+    return joined.select(
+        inside(F.col("path"), root).alias("path"), inside(F.col("dest_path"), out).alias("dest_path"), "status", "error",
+        F.when(F.col("status") == "ok", F.col("content")).alias("content"),
+    )

@@ -18,10 +18,10 @@ v_bodies as (
   select doc_id, source, lang, list_transform(
     list_transform(ls, lambda l: regexp_replace(l, '[^A-Za-z0-9 ]', '', 'g')),
     lambda s, i: case (i-1)%3
-      when 0 then {_q('[Obsolete("use M{")]')}||chr(10)||'        public void M'||(i-1)||'(string s, int n = 0)'||chr(10)||'        {{'||chr(10)
-        ||'            // }} not a brace {{{{'||chr(10)||'            if (n > 0) {{ Log("'||s||' {{"); }}'||chr(10)||'        }}'
-      when 1 then 'internal static List<Dictionary<string, int>> M'||(i-1)||'<T>(T a) => Make(a, "'||s||'");'
-      else 'protected abstract string[] M'||(i-1)||'();' end) as bodies
+      when 0 then {_q('[TestCase(new[] { 1, 2 }), Obsolete("use M{")]')}||chr(10)||'        public void M'||(i-1)||'(string s, int n = 0)'||chr(10)||'        {{'||chr(10)
+        ||'            // }} not a brace {{{{'||chr(10)||'            if (n > 0) {{ Log($"{{names["{{"]}}", "'||s||' {{"); }}'||chr(10)||'        }}'
+      when 1 then 'internal static Dictionary<string, List<Dictionary<string, List<int>>>> M'||(i-1)||'<T>(T a) => Make(a, "'||s||'");'
+      else 'protected abstract (int, (int, (int, string)))[] M'||(i-1)||'();' end) as bodies
   from v_lines),
 v_cs as (
   select doc_id, bodies,
@@ -224,8 +224,8 @@ select doc_id, '/out/'||lower({_DIR})||'/'||{_SNAKE_NAME.format(_STEM)}||'.gd' a
     ),
     "destination_collisions": """
 with named as (
-  select min(doc_id) as doc_id, '/corpus/Assets/'||lang||'/'||case when doc_id%2=0 then 'FooBar' else 'foo_bar' end||(doc_id%100)||'.'||source as path,
-    '/out/Assets/'||lang||'/foo_bar'||(doc_id%100)||'.gd' as dest_path from documents group by 2, 3)
+  select doc_id, '/corpus/Assets/'||case when doc_id%2=0 then 'FooBar' else 'foo_bar' end||(doc_id//2)||'.'||source as path,
+    '/out/Assets/foo_bar'||(doc_id//2)||'.gd' as dest_path from documents)
 select doc_id, path, dest_path, path = min(path) over (partition by dest_path) as wins from named""",
     "camel_to_snake": f"""
 select p_partkey, {_SNAKE_NAME.format('name')} as name
@@ -290,7 +290,7 @@ select conv_id, turn, case when conv_id%2=0 then '[INST]Remember these rules:'||
         select="select doc_id, bucket::int as bucket, round(w, 9) as weight from dense where o = 'd'",
     ),
     "knn_exact": _KNN,
-    "knn_in_cells": _KNN,
+    "knn_in_blocks": _KNN,
     "rag_requests": _with(
         _pairs(), _TRIGRAMS,
         """
@@ -382,3 +382,19 @@ union all
 select path, 'ok', null, '/out/'||{_DIR}||'/'||{_CAMEL_NAME.format(_STEM)}||'.cpp', body
 from v_text t join whole w on w.doc_id = t.doc_id""",
 )
+
+SQL["migrate_project"] = """
+with files as (
+  select doc_id, 'Assets/'||case doc_id%10 when 0 then 'FooBar'||(doc_id//10) when 1 then 'foo_bar'||(doc_id//10) else 'Doc'||doc_id end||'.cs' as path,
+    'Assets/'||case when doc_id%10 < 2 then 'foo_bar'||(doc_id//10) else 'doc'||doc_id end||'.gd' as dest_path, case when doc_id%13 = 0 then '' else text end as text
+  from documents where doc_id%7 <> 0 and doc_id%11 <> 0),
+ranked as (select *, row_number() over (partition by dest_path order by path) as place from files),
+pairs as (
+  select count(*) as n from conversations u join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1 where u.role = 'user' and a.role = 'assistant'),
+outcome as (
+  select *, case when place > 1 then 'another file has the same destination' when text = '' then 'file is empty'
+    when length(text)%5 = 0 then 'query failed: no fives' end as error from ranked)
+select path, dest_path, case when place > 1 then 'skipped' when error is null then 'ok' else 'failed' end as status, error,
+  case when error is null then '// Answer with code only.'||chr(10)||text||chr(10)||'// '||(2 * least(n, 2)) end as content
+from outcome, pairs
+"""

@@ -53,7 +53,3 @@ def gather_replies(replies: DataFrame, parts: list[str], keys: list[str]) -> Dat
 def outcome_report(outcomes: DataFrame, by: list[str]) -> DataFrame:
     """How many units of work ended in each status."""
     return outcomes.groupBy(*by, "status").agg(F.count(F.lit(1)).alias("n"))
-
-
-def failures(outcomes: DataFrame) -> DataFrame:
-    return outcomes.filter(F.col("error").isNotNull())

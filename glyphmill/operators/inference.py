@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from glyphmill.operators.requests import HISTORY
+from glyphmill.operators.requests import HISTORY, assemble_messages
 from glyphmill.scratch import materialize, ship_package
 from glyphmill.worker import kept, key_of
 
@@ -20,20 +20,30 @@ MALFORMED = "provider returned a malformed reply"
 class Provider:
     """What answers requests. Subclass and implement ``reply``; ``open`` loads the model, once per process.
 
-    ``partitions`` sets how widely requests are spread, ``threads`` how many are in flight
-    per task, ``timeout_sec`` how long one may take.
+    ``requests_per_task`` sets how many requests make a task, ``threads`` how many are in flight
+    in a task, ``timeout_sec`` how long one may take. None of them changes a reply.
     """
 
-    partitions: int | None = None
+    requests_per_task: int = 256
     threads: int = 1
     timeout_sec: float | None = None
 
+    def identity(self) -> str:
+        """Names whatever a reply depends on besides the request: the class and its settings."""
+        knobs = ("requests_per_task", "threads", "timeout_sec")
+        settings = sorted((k, repr(v)) for k, v in vars(self).items() if k not in knobs)
+        return f"{type(self).__module__}.{type(self).__qualname__} {settings}"
+
     def open(self) -> None:
         pass
 
     def reply(self, user: str, system: str | None, history: list[dict]) -> str:
         raise NotImplementedError
 
+    def reply_to_messages(self, messages: list[dict]) -> str:
+        """For chat models: override this instead, and the conversation arrives assembled in the plan."""
+        raise NotImplementedError
+
     def as_column(self, user: Column) -> Column | None:
         """A native expression for the reply, if there is one: then no Python runs."""
         return None
@@ -52,8 +62,11 @@ class IdentityProvider(Provider):
 class FunctionProvider(Provider):
     """A plain function ``(user, system, history) -> str``."""
 
-    def __init__(self, fn: Callable, *, partitions=None, threads=1, timeout_sec=None):
-        self.fn, self.partitions, self.threads, self.timeout_sec = fn, partitions, threads, timeout_sec
+    def __init__(self, fn: Callable, *, requests_per_task=256, threads=1, timeout_sec=None):
+        self.fn, self.requests_per_task, self.threads, self.timeout_sec = fn, requests_per_task, threads, timeout_sec
+
+    def identity(self):
+        return f"{self.fn.__module__}.{self.fn.__qualname__}"
 
     def reply(self, user, system, history):
         return self.fn(user, system, history)
@@ -77,24 +90,32 @@ def _complete(requests: DataFrame) -> DataFrame:
 def ask(requests: DataFrame, provider: Provider, keys: list[str]) -> DataFrame:
     """``keys`` plus ``response`` and ``error`` for each request row.
 
-    Rows that already carry an error pass through unasked. Requests are spread by a hash of
-    their keys, so the pieces of one large file land in many tasks, and a recomputed task
-    gets the same rows again. Only keys and replies come back from Python.
+    Rows that already carry an error pass through unasked. Requests are written, counted and spread by
+    a hash of their keys into tasks of about ``requests_per_task``, so the pieces of one large file land in many
+    tasks, and a recomputed task gets the same rows again. Only keys and replies come back from Python.
     """
     requests = _complete(requests)
     native = provider.as_column(F.col("user"))
     if native is not None:
         replied = requests.withColumn("response", F.when(F.col("error").isNull(), native))
-        return replied.select(*keys, "response", "error")
+        return check_reply(replied.select(*keys, "response", "error"))
+
+    asked = materialize(requests.select(*keys, "user", "system", "history", "error"), "asked")
+    return _spread(asked, asked.count(), provider, keys)
+
 
+def _spread(asked: DataFrame, count: int, provider: Provider, keys: list[str]) -> DataFrame:
+    """``ask`` for written requests of a known number."""
     ship_package()
-    asked = requests.select(*keys, "user", "system", "history", "error")
-    n = provider.partitions or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(1, -(-count // max(1, provider.requests_per_task)))
     schema = T.StructType(
         [asked.schema[k] for k in keys]
         + [T.StructField("response", T.StringType()), T.StructField("error", T.StringType())]
     )
 
+    if type(provider).reply_to_messages is not Provider.reply_to_messages:
+        messages = assemble_messages(F.col("user"), F.col("system"), F.col("history"))
+        asked = asked.select(*keys, messages.alias("messages"), "error")
     key = key_of(provider)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -124,6 +145,8 @@ def _answer(provider: Provider, key: str, batches: Iterator[pd.DataFrame], keys:
 
             def call(i):
                 begun[i] = time.monotonic()
+                if hasattr(rows[i], "messages"):
+                    return provider.reply_to_messages(_plain(rows[i].messages))
                 return provider.reply(rows[i].user, rows[i].system, _plain(rows[i].history))
 
             earlier = [r.error if isinstance(r.error, str) else broken for r in rows]
@@ -169,14 +192,15 @@ def _plain(history) -> list[dict]:
     return [m if isinstance(m, dict) else m.asDict() for m in history]
 
 
-def ask_resumable(requests: DataFrame, provider: Provider, keys: list[str], store: str) -> DataFrame:
+def ask_resumable(requests: DataFrame, provider: Provider, keys: list[str], store: str, *, slice_requests: int = 20_000) -> DataFrame:
     """Like ``ask``, with replies kept in a table at ``store``: a rerun asks only for what is missing.
 
-    A stored reply counts if the keys and a hash of the whole request agree. Errors are
-    stored too but asked for again.
+    A stored reply counts if the keys, the provider and a hash of the whole request agree. Missing replies are asked for
+    and committed in slices of about ``slice_requests``, so a run that dies keeps all slices before. Errors of a
+    provider are stored and asked for again; rows that came with an error are neither asked nor stored.
     """
     spark = requests.sparkSession
-    digest = F.sha2(F.to_json(F.struct("system", "history", "user")), 256)
+    digest = F.sha2(F.concat(F.lit(provider.identity()), F.to_json(F.struct("system", "history", "user"))), 256)
     tagged = materialize(_complete(requests).withColumn("request_hash", digest), "requests")
     cols = [*keys, "request_hash"]
     schema = T.StructType(
@@ -185,12 +209,20 @@ def ask_resumable(requests: DataFrame, provider: Provider, keys: list[str], stor
     )
     spark.createDataFrame([], schema).write.mode("append").parquet(store)
     good = spark.read.schema(schema).parquet(store).filter(F.col("error").isNull())
-    ask(tagged.join(good.select(*cols), cols, "left_anti"), provider, cols).write.mode("append").parquet(store)
+    missing = tagged.filter(F.col("error").isNull()).join(good.select(*cols), cols, "left_anti")
+    missing = materialize(missing.select(*cols, "user", "system", "history", "error"), "missing")
+    count = missing.count()
+    slices = -(-count // slice_requests)
+    for k in range(slices):
+        part = missing.filter(F.pmod(F.xxhash64(*cols), F.lit(slices)) == k)
+        _spread(part, -(-count // slices), provider, cols).write.mode("append").parquet(store)
     # One row per request, a good reply before an error; the maximum combines before the shuffle.
     best = (
         spark.read.schema(schema).parquet(store)
         .groupBy(*cols)
         .agg(F.max(F.struct(F.col("error").isNull().alias("ok"), "response", "error")).alias("r"))
-        .select(*cols, "r.response", "r.error")
+        .select(*cols, F.col("r.response").alias("response"), F.col("r.error").alias("_error"))
     )
-    return tagged.select(*cols).join(best, cols, "left").drop("request_hash")
+    joined = tagged.select(*cols, "error").join(best, cols, "left")
+    response = F.when(F.col("error").isNull(), F.col("response"))
+    return joined.select(*keys, response.alias("response"), F.coalesce("error", "_error").alias("error"))

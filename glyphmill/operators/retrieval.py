@@ -3,12 +3,10 @@
 Distances are squared Euclidean, in double. Neighbours are ranked by the distance
 rounded to nine digits and then by id, so that ties come out the same everywhere.
 
-The known side is measured first. Below ``max_local_bytes`` it is sent to every task
-and the queries stay where they are: no shuffle. Above, both sides are cut into cells
-around a fixed number of pivots; each query gives an upper bound for its k-th distance
-from the cell summaries, and is compared only with the cells that bound cannot rule out.
-Cells and query groups are split by hash to a fixed size, so a crowded cell, such as one
-full of copies, is many groups and never one.
+Queries stay where they are, and no vector is shuffled. The known side is measured first. Below
+``max_local_bytes`` it is sent to every task. Above, it is written to a shared table, and every task streams
+that table block by block past a large group of its queries, with a running top k for each. All pairs are
+compared, in matrix products; what is held is a group, a block and k rows for each query.
 """
 
 from __future__ import annotations
@@ -17,7 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glyphmill.functions.embedding import Embedder
@@ -34,27 +32,42 @@ def _matrix(column) -> np.ndarray:
     return np.stack([np.asarray(v, dtype=np.float64) for v in column]) if len(column) else np.zeros((0, 0))
 
 
-def _top_k(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each query row: its index, the ids of its k nearest and their rounded distances.
+def _ranked(queries: np.ndarray, vectors: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each query the ids of its k nearest, in order, and their rounded distances, as two arrays of k columns.
 
     A matrix product finds all that could be among the k nearest, with slack for its
-    rounding; those are measured again by plain differences.
+    rounding; those are measured again by plain differences. With fewer than k vectors there are fewer columns.
     """
     norms = (vectors * vectors).sum(axis=1)
     scale = 1.0 + (norms.max() if len(norms) else 0.0)
     k = min(k, len(ids))
+    wide = min(len(ids), 2 * k + 8)
+    out_ids, out_far = np.zeros((len(queries), k), np.int64), np.zeros((len(queries), k))
     for start in range(0, len(queries), 512):
         block = queries[start : start + 512]
         own = (block * block).sum(axis=1)
         rough = own[:, None] + norms[None, :] - 2.0 * (block @ vectors.T)
-        slack = 1e-8 * (scale + own)
-        bounds = np.partition(rough, k - 1, axis=1)[:, k - 1] + slack
-        for i in range(len(block)):
-            near = np.nonzero(rough[i] <= bounds[i])[0]
-            gaps = vectors[near] - block[i]
-            exact = np.round((gaps * gaps).sum(axis=1), TIE_DIGITS)
-            order = np.lexsort((ids[near], exact))[:k]
-            yield start + i, ids[near][order], exact[order]
+        near = np.argpartition(rough, wide - 1, axis=1)[:, :wide]
+        held = np.sort(np.take_along_axis(rough, near, axis=1), axis=1)
+        bounds = held[:, k - 1] + 1e-8 * (scale + own)
+        gaps = vectors[near] - block[:, None, :]
+        ranked = _first(ids[near], np.round((gaps * gaps).sum(axis=2), TIE_DIGITS), k)
+        out_ids[start : start + 512], out_far[start : start + 512] = ranked
+        # More ties than were looked at: such a query is measured against all that its bound allows.
+        for i in np.flatnonzero((held[:, -1] <= bounds) & (wide < len(ids))):
+            tied = np.flatnonzero(rough[i] <= bounds[i])
+            gaps = vectors[tied] - block[i]
+            one = _first(ids[tied][None, :], np.round((gaps * gaps).sum(axis=1), TIE_DIGITS)[None, :], k)
+            out_ids[start + i], out_far[start + i] = one[0][0], one[1][0]
+    return out_ids, out_far
+
+
+def _first(ids: np.ndarray, far: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first k of each row by distance, then id."""
+    by_id = np.argsort(ids, axis=1, kind="stable")
+    ids, far = np.take_along_axis(ids, by_id, axis=1), np.take_along_axis(far, by_id, axis=1)
+    by_far = np.argsort(far, axis=1, kind="stable")[:, :k]
+    return np.take_along_axis(ids, by_far, axis=1), np.take_along_axis(far, by_far, axis=1)
 
 
 def _size(known: DataFrame) -> tuple[int, int]:
@@ -70,42 +83,33 @@ def nearest(
     k: int,
     *,
     max_local_bytes: int = MAX_LOCAL_BYTES,
-    pivots: int = 256,
-    group_rows: int = 4096,
+    group_bytes: int = 64 << 20,
+    block_rows: int = 8192,
 ) -> DataFrame:
     """The k nearest known rows of each query: ``query_id, rank, known_id, distance``.
 
-    ``queries`` has ``query_id long, vec``; ``known`` has ``known_id long, vec``.
+    ``queries`` has ``query_id long, vec``; ``known`` has ``known_id long, vec``. The known table is read once
+    for every ``group_bytes`` of queries in a task.
     """
     ship_package()
     queries = queries.select(F.col("query_id").cast("long"), F.col("vec").cast(_VECTOR))
     known = known.select(F.col("known_id").cast("long"), F.col("vec").cast(_VECTOR))
     n, size = _size(known)
     if n == 0:
-        return queries.sparkSession.createDataFrame([], "query_id long, rank int, known_id long, distance double")
+        return queries.sparkSession.createDataFrame([], _HITS)
     if size <= max_local_bytes:
-        hits = _nearest_local(queries, known, k)
-    else:
-        hits = _nearest_in_cells(queries, known, k, pivots, group_rows)
-    if size <= max_local_bytes:
-        return hits
-    w = Window.partitionBy("query_id").orderBy("distance", "known_id")
-    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select(
-        "query_id", "rank", "known_id", "distance"
-    )
+        return _nearest_local(queries, known, k)
+    return _nearest_in_blocks(queries, materialize(known, "knn-known"), k, group_bytes, block_rows)
 
 
-def _hits(qids, queries, ids, vectors, k) -> pd.DataFrame:
-    rows = [
-        (qids[i], r + 1, known_id, d)
-        for i, near, dist in _top_k(queries, vectors, ids, k)
-        for r, (known_id, d) in enumerate(zip(near, dist))
-    ]
-    out = pd.DataFrame(rows, columns=["query_id", "rank", "known_id", "distance"])
-    return out.astype({"query_id": "int64", "rank": "int32", "known_id": "int64", "distance": "float64"})
+_HITS = "query_id long, rank int, known_id long, distance double"
 
 
-_HITS = "query_id long, rank int, known_id long, distance double"
+def _hits(qids: np.ndarray, ids: np.ndarray, far: np.ndarray) -> pd.DataFrame:
+    n, k = ids.shape
+    return pd.DataFrame({
+        "query_id": np.repeat(qids, k), "rank": np.tile(np.arange(1, k + 1, dtype="int32"), n), "known_id": ids.reshape(-1), "distance": far.reshape(-1),
+    })
 
 
 def _nearest_local(queries: DataFrame, known: DataFrame, k: int) -> DataFrame:
@@ -116,104 +120,47 @@ def _nearest_local(queries: DataFrame, known: DataFrame, k: int) -> DataFrame:
         ids, vectors = shared.value
         for pdf in batches:
             if len(pdf):
-                yield _hits(pdf["query_id"].to_numpy(), _matrix(pdf["vec"]), ids, vectors, k)
+                yield _hits(pdf["query_id"].to_numpy(), *_ranked(_matrix(pdf["vec"]), vectors, ids, k))
 
     return queries.mapInPandas(run, _HITS)
 
 
-def _nearest_in_cells(queries: DataFrame, known: DataFrame, k: int, pivots: int, group_rows: int) -> DataFrame:
-    spark = queries.sparkSession
-    known = materialize(known, "knn-known")
-    sampled = known.orderBy(F.xxhash64("known_id")).limit(pivots).toPandas()  # at most ``pivots`` rows
-    centers = np.unique(_matrix(sampled["vec"]), axis=0)
+def _nearest_in_blocks(queries: DataFrame, known: DataFrame, k: int, group_bytes: int, block_rows: int) -> DataFrame:
+    files = sorted(known.inputFiles())  # one name per task that wrote the table
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                to_all = np.sqrt(_square_distances(_matrix(pdf["vec"]), centers))
-                home = to_all.argmin(axis=1)
-                yield pdf.assign(cell=home.astype("int32"), away=to_all[np.arange(len(pdf)), home])
-
-    placed = materialize(known.mapInPandas(assign, f"known_id long, vec {_VECTOR}, cell int, away double"), "knn-cells")
-
-    # Cell summaries: at most ``pivots`` rows, and at most k x pivots smallest distances.
-    stats = placed.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.min("away").alias("low"), F.max("away").alias("high")
-    ).toPandas()
-    w = Window.partitionBy("cell").orderBy("away", "known_id")
-    closest = (
-        placed.select("cell", "away", "known_id").withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k)
-        .select("cell", "away").toPandas()
-    )
-    cells = stats["cell"].to_numpy()
-    low, high = stats["low"].to_numpy(), stats["high"].to_numpy()
-    used = centers[cells]
-    between = np.sqrt(_square_distances(used, used))
-    near_cell, near_away = closest["cell"].to_numpy(), closest["away"].to_numpy()
-    position = {c: i for i, c in enumerate(cells)}
-    near_pos = np.array([position[c] for c in near_cell])
-    n_known = int(stats["n"].sum())
-    kth = min(k, n_known)
-    home_of_used = np.arange(len(cells))
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            vectors = _matrix(pdf["vec"])
-            to_cell = np.sqrt(_square_distances(vectors, used))
-            home = to_cell.argmin(axis=1)
-            reach = np.partition(to_cell[:, near_pos] + near_away[None, :], kth - 1, axis=1)[:, kth - 1]
-            # Slack covers the rounding that ranking allows, so no tie is ruled out.
-            reach = np.sqrt(reach * reach + 1e-8) + 1e-6
-            at_least = np.maximum(to_cell - high[None, :], low[None, :] - to_cell)
-            gap = between[home]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                own = to_cell[np.arange(len(pdf)), home][:, None]
-                plane = (to_cell * to_cell - own * own) / (2.0 * gap)
-            plane[home[:, None] == home_of_used[None, :]] = 0.0
-            wanted = (np.maximum(at_least, np.nan_to_num(plane, nan=0.0)) <= reach[:, None])
-            yield pdf.assign(home=cells[home].astype("int32"), cells=[cells[w].astype("int32") for w in wanted])
-
-    routed = materialize(
-        queries.mapInPandas(route, f"query_id long, vec {_VECTOR}, home int, cells array<int>"), "knn-queries"
-    )
+    def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        import pyarrow.parquet as pq
 
-    # Fixed-size groups: a cell's known rows by hash, and the queries of a home cell by hash.
-    def split(df: DataFrame, key: str, name: str) -> DataFrame:
-        counts = df.groupBy(F.col(key).alias(name)).agg(F.ceil(F.count(F.lit(1)) / group_rows).cast("int").alias("parts"))
-        return F.broadcast(counts)  # one row per cell, at most ``pivots``
+        from glyphmill.sources.tree import _filesystem
 
-    known_parts = split(placed, "cell", "cell")
-    query_parts = split(routed, "home", "home")
-    blocks = placed.join(known_parts, "cell").select(
-        "cell", F.pmod(F.xxhash64("known_id"), F.col("parts")).cast("int").alias("part"), "known_id", "vec"
-    )
-    asked = (
-        routed.join(query_parts, "home")
-        .withColumn("asker", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int")).drop("parts")
-        .withColumn("cell", F.explode("cells")).drop("cells")
-    )
-    meets = materialize(
-        asked.select("home", "asker", "cell").distinct()
-        .join(known_parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts"),
-        "knn-meets",
-    )
-    left = asked.join(known_parts, "cell").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    right = blocks.join(meets, ["cell", "part"])
-    key = ["home", "asker", "cell", "part"]
-
-    def compare(q: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(b):
-            return _hits([], np.zeros((0, 1)), np.zeros(0, dtype="int64"), np.zeros((0, 1)), k)
-        return _hits(q["query_id"].to_numpy(), _matrix(q["vec"]), b["known_id"].to_numpy(), _matrix(b["vec"]), k)
+        for name in files:
+            system, inner = _filesystem(name)
+            with system.open_input_file(inner) as f:
+                for batch in pq.ParquetFile(f).iter_batches(batch_size=block_rows):
+                    if batch.num_rows:
+                        yield batch.column("known_id").to_numpy(), _matrix(batch.column("vec").to_numpy(zero_copy_only=False))
 
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(compare, _HITS)
+    def answered(group: list[pd.DataFrame]) -> pd.DataFrame:
+        qids, vectors = np.concatenate([g["query_id"].to_numpy() for g in group]), _matrix([v for g in group for v in g["vec"]])
+        best: tuple[np.ndarray, np.ndarray] = (np.zeros((len(qids), 0), np.int64), np.zeros((len(qids), 0)))
+        for ids, block in blocks():
+            found = _ranked(vectors, block, ids, k)
+            best = _first(np.hstack([best[0], found[0]]), np.hstack([best[1], found[1]]), k)
+        return _hits(qids, *best)
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, held = [], 0
+        for pdf in batches:
+            if len(pdf):
+                group.append(pdf)
+                held += 8 * sum(map(len, pdf["vec"]))
+            if held >= group_bytes:
+                yield answered(group)
+                group, held = [], 0
+        if group:
+            yield answered(group)
 
-def _square_distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    d = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2.0 * (a @ b.T)
-    return np.maximum(d, 0.0)
+    return queries.mapInPandas(run, _HITS)
 
 
 def embed(df: DataFrame, embedder: Embedder, text: str = "text", out: str = "vec") -> DataFrame:
@@ -240,14 +187,15 @@ def attach_history(
     if known is None:
         return pieces.withColumn("history", F.array().cast(HISTORY))
     ship_package()
-    sized = known.agg(
+    # Embedded once: what is sent is measured, texts and vectors.
+    vectors = materialize(embed(known, embedder, "source"), "known-vectors")
+    sized = vectors.agg(
         F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(F.octet_length("source") + F.octet_length("target")), F.lit(0)).alias("bytes"),
+        F.coalesce(F.sum(F.octet_length("source") + F.octet_length("target") + 8 * F.size("vec")), F.lit(0)).alias("bytes"),
     ).first()
     if sized["n"] == 0:
         return pieces.withColumn("history", F.array().cast(HISTORY))
-    vectors = embed(known, embedder, "source")
-    if sized["bytes"] + sized["n"] * 8192 <= max_local_bytes:
+    if sized["bytes"] + 64 * sized["n"] <= max_local_bytes:
         examples = _examples_local(pieces.sparkSession, vectors, embedder, k)(F.col(code))
         return pieces.withColumn(
             "history", F.coalesce(example_messages(examples, user_request, assistant_response), F.array().cast(HISTORY))
@@ -273,17 +221,16 @@ def _examples_local(spark, vectors: DataFrame, embedder: Embedder, k: int):
             asked = [i for i, t in enumerate(texts) if isinstance(t, str)]
             if asked:
                 queries = _matrix(list(encode([texts.iloc[i] for i in asked])))
-                for i, near, _ in _top_k(queries, matrix, ids, k):
-                    rows = [place[x] for x in near]
-                    out[asked[i]] = [{"source": sources[r], "target": targets[r]} for r in rows]
+                for i, near in zip(asked, _ranked(queries, matrix, ids, k)[0]):
+                    out[i] = [{"source": sources[r], "target": targets[r]} for r in map(place.__getitem__, near)]
             yield pd.Series(out, index=texts.index)
 
     return examples
 
 
 def _attach_by_join(pieces, vectors, embedder, k, user_request, assistant_response, code, max_local_bytes):
-    """The way for a known side too large to send: nearest in cells, then equi-joins."""
-    vectors = materialize(vectors.withColumn("id", F.col("id").cast("long")), "known-vectors")
+    """The way for a known side too large to send: nearest in blocks, then equi-joins."""
+    vectors = vectors.withColumn("id", F.col("id").cast("long"))
     # Written before it is used twice, which also makes the numbers stay with their rows.
     numbered = materialize(pieces.withColumn("_piece", F.monotonically_increasing_id()), "pieces")
     queries = embed(

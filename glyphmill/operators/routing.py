@@ -43,7 +43,7 @@ def route_by_extension(files: DataFrame, strategies: dict[str, str | None], path
 
 
 def mark_collisions(files: DataFrame, path: str = "path", dest: str = "dest_path") -> DataFrame:
-    """Add ``winner``: the smallest source path among those with the same destination.
+    """Add ``wins``: true for the smallest source path among those with the same destination.
 
     Needs no content, so it runs on names before any file is read. The minimum is
     combined before the shuffle, and the join is on the pair, so one crowded

@@ -14,9 +14,9 @@ from glyphmill.operators.reading import FAILED, SKIPPED, decode_text
 from glyphmill.operators.routing import ignore_locations, mark_collisions, missing_names, route_by_extension
 from glyphmill.plans.profiles import PAIRS_BY_ENGINE, Profile, ProfileError, load_profile
 from glyphmill.plans.translation import Translation, main_extension, translate
-from glyphmill.scratch import materialize
+from glyphmill.scratch import cleaned, materialize
 from glyphmill.sources.files import write_files
-from glyphmill.sources.pairs import PAIR, number_in_order, read_pairs
+from glyphmill.sources.pairs import INDEXED, number_in_order, read_indexed_pairs
 from glyphmill.sources.tree import _filesystem, list_tree, read_contents, top_level_names
 
 log = logging.getLogger(__name__)
@@ -39,7 +39,7 @@ def provider_for(profile: Profile) -> Provider:
     provider = PROVIDERS[profile.provider](profile.provider_settings)
     settings = profile.provider_settings
     if settings.get("num_workers"):
-        provider.partitions = settings["num_workers"]
+        provider.threads = settings["num_workers"]
     if settings.get("query_timeout_sec"):
         provider.timeout_sec = settings["query_timeout_sec"]
     return provider
@@ -62,11 +62,11 @@ def known_pairs(spark: SparkSession, profile: Profile, path: str | None = None)
     if profile.known is None:
         return None
     if path:
-        pairs = read_pairs(spark, path)
+        pairs = read_indexed_pairs(spark, path)
     else:
         shipped = PAIRS_BY_ENGINE.get(profile.known.engine, [])
-        pairs = spark.createDataFrame([(s, t) for _, s, t in shipped], PAIR)
-    return number_in_order(pairs.withColumn("_at", F.monotonically_increasing_id()), ["_at"])
+        pairs = spark.createDataFrame([(i, s, t) for i, (s, t) in enumerate(shipped)], INDEXED)
+    return number_in_order(pairs, ["pair_ix", "source", "target"]).drop("pair_ix")
 
 
 def run(
@@ -85,10 +85,15 @@ def run(
 
     Returns ``path, dest_path, status, error``, one row per routed file: ``ok``, ``failed``,
     or ``skipped`` where another file has the same destination. One bad file never stops
-    the job.
+    the job. Scratch tables are removed at its end, but for the report.
     """
     if isinstance(profile, str):
         profile = load_profile(profile)
+    with cleaned(spark) as keep:
+        return keep(_run(spark, profile, source, destination, provider, counter, embedder, pairs_path, reply_store))
+
+
+def _run(spark, profile, source, destination, provider, counter, embedder, pairs_path, reply_store) -> DataFrame:
     missing = [r[0] for r in missing_names(top_level_names(spark, source), REQUIRED_NAMES).collect()]
     if missing:
         raise RuntimeError(f"'{source}' is not a project root: it has no {', '.join(sorted(missing))}")

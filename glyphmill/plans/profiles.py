@@ -66,7 +66,6 @@ PROFILES: dict[str, dict[str, Any]] = {
         "target": _GDSCRIPT_TARGET,
         "known_translations": {**_GODOT_PAIRS, "result_count": 5},
         "strategies": {".cs": SINGLE_FILE},
-        "concurrency": {"execute_strategy_workers": 4},
     },
     "godot-huggingface": {
         "prompts": {
@@ -99,7 +98,6 @@ PROFILES: dict[str, dict[str, Any]] = {
         "target": _GDSCRIPT_TARGET,
         "known_translations": {**_GODOT_PAIRS, "result_count": 3},
         "strategies": {".cs": SINGLE_FILE},
-        "concurrency": {"execute_strategy_workers": 1},
     },
     "godot-mono": {
         "prompts": {
@@ -135,7 +133,6 @@ PROFILES: dict[str, dict[str, Any]] = {
             "extension": ".cs",
         },
         "strategies": {".cs": SINGLE_FILE},
-        "concurrency": {"execute_strategy_workers": 4},
     },
     "unreal": {
         "prompts": {
@@ -171,39 +168,32 @@ PROFILES: dict[str, dict[str, Any]] = {
             "implementation_extension": ".cpp",
         },
         "strategies": {".cs": TWO_FILES},
-        "concurrency": {"execute_strategy_workers": 4},
     },
 }
 
-# Pairs that go with the ``godot`` profiles (title, source, target).
-GODOT_PAIRS: list[tuple[str, str, str]] = [
+# Pairs that go with the ``godot`` profiles (source, target).
+GODOT_PAIRS: list[tuple[str, str]] = [
     (
-        "Ternary Operators",
         "variable = {condition} ? (true_statement) : (false_statement);\n",
         "variable = {translated_true_statement} if {translated_condition} else {translated_false_statement}\n",
     ),
     (
-        "Start() Function",
         "private void Start()\n{\n  {function_body}\n}\n",
         "func _ready() -> void:\n{\n  {translated_function_body}\n}\n",
     ),
     (
-        "OnEnable() Function",
         "private void OnEnable()\n{\n  {function_body}\n}\n",
         "func _enter_tree() -> void:\n{\n  {translated_function_body}\n}\n",
     ),
     (
-        "OnDisable() Function",
         "private void OnDisable()\n{\n  {function_body}\n}\n",
         "func _exit_tree() -> void:\n{\n  {translated_function_body}\n}\n",
     ),
     (
-        "FixedUpdate() Function",
         "private void FixedUpdate()\n{\n  {function_body}\n}\n",
         "func _physics_process(delta: float) -> void:\n{\n  {translated_function_body}\n}\n",
     ),
     (
-        "Update() Function",
         "private void Update()\n{\n  {function_body}\n}\n",
         "func _process(delta: float) -> void:\n{\n  {translated_function_body}\n}\n",
     ),
@@ -266,6 +256,8 @@ def from_config(config: dict[str, Any]) -> Profile:
         settings = {**settings, "num_workers": wrapper.get("num_workers"), "query_timeout_sec": wrapper.get("query_timeout_sec")}
     known = None
     if get("known_translations"):
+        if not get("known_translations", "result_count"):
+            raise ProfileError("'known_translations' needs 'result_count'")
         known = KnownPairs(
             engine=get("known_translations", "target_engine"),
             embedding=get("known_translations", "embedding_function"),

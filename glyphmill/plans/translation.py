@@ -16,7 +16,7 @@ from glyphmill.functions.tokens import CharCounter
 from glyphmill.operators.assembling import gather_replies, splice_methods
 from glyphmill.operators.inference import IdentityProvider, Provider, ask, ask_resumable
 from glyphmill.operators.reading import FAILED, OK
-from glyphmill.operators.requests import render_prompt
+from glyphmill.operators.requests import HISTORY, flatten_messages, render_prompt
 from glyphmill.operators.retrieval import attach_history
 from glyphmill.operators.segmenting import plan_pieces
 from glyphmill.plans.profiles import SINGLE_FILE, TWO_FILES, Profile
@@ -62,7 +62,13 @@ def requests_for(sources: DataFrame, job: Translation) -> DataFrame:
         pieces = attach_history(
             pieces, job.known, job.embedder, p.known.count, p.known.user_request, p.known.assistant_response
         )
-    return render_prompt(pieces, p.prompts).withColumn("system", F.lit(p.prompts.get("system")).cast("string"))
+    asked = render_prompt(pieces, p.prompts).withColumn("system", F.lit(p.prompts.get("system")).cast("string"))
+    template = p.provider_settings.get("prompt_template")
+    if template:  # a completion model gets one flat text
+        history = F.col("history") if "history" in asked.columns else None
+        flat = flatten_messages(template, F.col("user"), F.col("system"), history)
+        asked = asked.withColumns({"user": flat, "system": F.lit(None).cast("string"), "history": F.array().cast(HISTORY)})
+    return asked
 
 
 def _replies(sources: DataFrame, job: Translation) -> DataFrame:
@@ -84,9 +90,9 @@ def _outputs(gathered: DataFrame, *files: tuple[Column, Column]) -> DataFrame:
     )
 
 
-def to_single_file(sources: DataFrame, job: Translation) -> DataFrame:
-    """Each source becomes one file: ``path, status, error, dest_path, content``."""
-    replies = _replies(sources, job).withColumn("code", T.first_code_block(F.col("response")))
+def to_single_file(sources: DataFrame, job: Translation, extract: Callable[[Column], Column] = T.first_code_block) -> DataFrame:
+    """Each source becomes one file: ``path, status, error, dest_path, content``; ``extract`` takes its code from a reply."""
+    replies = _replies(sources, job).withColumn("code", extract(F.col("response")))
     g = gather_replies(replies, ["code"], ["path"])
     text = F.when(F.col("_is_full"), F.col("code_full")).otherwise(
         splice_methods(F.col("code_class"), F.col("code_methods"))
@@ -94,9 +100,9 @@ def to_single_file(sources: DataFrame, job: Translation) -> DataFrame:
     return _outputs(g, (job.destination(job.profile.extension), job.indent(text)))
 
 
-def to_two_files(sources: DataFrame, job: Translation) -> DataFrame:
-    """Each source becomes a header and an implementation file."""
-    split = T.header_and_implementation(F.col("response"))
+def to_two_files(sources: DataFrame, job: Translation, extract: Callable[[Column], Column] = T.header_and_implementation) -> DataFrame:
+    """Each source becomes a header and an implementation file; ``extract`` gives both of a reply, as a struct."""
+    split = extract(F.col("response"))
     replies = (
         _replies(sources, job).withColumn("_split", split)
         .withColumn("header", F.col("_split.header")).withColumn("body", F.col("_split.implementation"))

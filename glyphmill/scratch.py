@@ -5,12 +5,18 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Folders made inside each open ``cleaned`` block.
+_watched: list[list[str]] = []
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under the cluster's shared checkpoint folder."""
     sc = spark.sparkContext
@@ -20,7 +26,10 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="glyphmill-"))
         base = sc.getCheckpointDir()
-    return f"{base.rstrip('/')}/glyphmill/{label}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/glyphmill/{label}-{uuid.uuid4().hex}"
+    for made in _watched:
+        made.append(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str) -> DataFrame:
@@ -36,6 +45,25 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Remove the scratch folders made in this block; what the given function wrote stays."""
+    made: list[str] = []
+    _watched.append(made)
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept = materialize(df, "kept")
+        made.pop()
+        return kept
+
+    try:
+        yield keep
+    finally:
+        _watched.pop()
+        for path in made:
+            remove(spark, path)
+
+
 _shipped: set[str] = set()
 
 

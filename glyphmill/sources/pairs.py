@@ -13,24 +13,30 @@ from glyphmill.scratch import materialize
 log = logging.getLogger(__name__)
 
 PAIR = "source string, target string"
+INDEXED = f"pair_ix long, {PAIR}"
 
 
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """``source, target`` from YAML (root key ``translations``), JSON lines or Parquet.
+    """``source, target`` from YAML (root key ``translations``), JSON lines or Parquet."""
+    return read_indexed_pairs(spark, path).select("source", "target")
+
+
+def read_indexed_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """``pair_ix, source, target``: the place of a pair in a YAML file, or that column of a table, null if it has none.
 
     A missing file or root key is a warning and gives no pairs. YAML is for the small
     hand-written lists; large tables come as Parquet or JSON.
     """
     if path.endswith((".yaml", ".yml")):
         return _read_yaml(spark, path)
-    reader = spark.read.schema(PAIR)
+    reader = spark.read.schema(INDEXED)
     try:
         return reader.parquet(path) if path.rstrip("/").endswith(".parquet") else reader.json(path)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         log.warning("no known pairs found at '%s'", path)
-        return spark.createDataFrame([], PAIR)
+        return spark.createDataFrame([], INDEXED)
 
 
 def _read_yaml(spark: SparkSession, path: str) -> DataFrame:
@@ -38,13 +44,13 @@ def _read_yaml(spark: SparkSession, path: str) -> DataFrame:
 
     if not os.path.isfile(path):
         log.warning("no known pairs found at '%s'", path)
-        return spark.createDataFrame([], PAIR)
+        return spark.createDataFrame([], INDEXED)
     with open(path, encoding="utf-8") as f:
         content = yaml.safe_load(f) or {}
     if "translations" not in content:
         log.warning("'%s' has no root key 'translations'", path)
-        return spark.createDataFrame([], PAIR)
-    return spark.createDataFrame([(p["source"], p["target"]) for p in content["translations"]], PAIR)
+        return spark.createDataFrame([], INDEXED)
+    return spark.createDataFrame([(i, p["source"], p["target"]) for i, p in enumerate(content["translations"])], INDEXED)
 
 
 def number_in_order(df: DataFrame, order: list[str], out: str = "id") -> DataFrame:

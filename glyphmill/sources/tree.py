@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 from collections.abc import Iterator
 
@@ -12,7 +13,10 @@ from pyspark.sql import functions as F
 from glyphmill.functions import paths
 from glyphmill.scratch import scratch_dir, ship_package
 
-_LISTED = "path string, is_dir boolean, length long"
+# ``error``: why a folder could not be listed; such a row is neither a file nor a folder to walk.
+_LISTED = "path string, is_dir boolean, length long, error string"
+log = logging.getLogger(__name__)
+
 _BATCH_BYTES = 16 << 20
 _BATCH_ROWS = 2048
 
@@ -36,8 +40,8 @@ def _entries(folder: str) -> Iterator[tuple[str, bool, int]]:
                 if e.is_dir():
                     if not e.is_symlink():  # linked folders are not walked
                         yield f"{folder}/{e.name}", True, 0
-                else:
-                    yield f"{folder}/{e.name}", False, e.stat().st_size if os.path.exists(e.path) else None
+                elif os.path.exists(e.path):
+                    yield f"{folder}/{e.name}", False, e.stat().st_size
         return
     from pyarrow import fs
 
@@ -48,24 +52,33 @@ def _entries(folder: str) -> Iterator[tuple[str, bool, int]]:
 
 def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def frame(rows):
-        out = pd.DataFrame(rows, columns=["path", "is_dir", "length"])
-        return out.astype({"is_dir": bool, "length": "Int64"})
+        out = pd.DataFrame(rows, columns=["path", "is_dir", "length", "error"])
+        return out.astype({"is_dir": "boolean", "length": "Int64"})
 
     for pdf in batches:
         for folder in pdf["path"]:
-            rows = []
-            for row in _entries(folder):
-                rows.append(row)
-                if len(rows) >= _BATCH_ROWS:
+            rows, found = [], _entries(folder)
+            while True:
+                try:
+                    row = next(found, None)
+                except OSError as e:
+                    row = None
+                    rows.append((folder, None, None, f"cannot list: {e}"))
+                if row is not None:
+                    rows.append((*row, None))
+                if rows and (row is None or len(rows) >= _BATCH_ROWS):
                     yield frame(rows)
                     rows = []
-            if rows:
-                yield frame(rows)
+                if row is None:
+                    break
 
 
 def list_tree(spark: SparkSession, root: str, *, folders_per_task: int = 32) -> DataFrame:
     """Every file at any depth: ``path, rel_path, length``, hidden and empty ones included.
 
+    Links that lead nowhere are left out. A folder that cannot be listed, or is gone by then, is
+    logged with its error and has no files; the others are listed all the same.
+
     Spark's file sources drop both, so the tree is walked here, one level per job: the
     folders of a level are listed in parallel and written to a shared table, which is
     also where the next level's folders come from. The driver sees one count per level.
@@ -81,7 +94,10 @@ def list_tree(spark: SparkSession, root: str, *, folders_per_task: int = 32) ->
         level = spark.read.schema(_LISTED).parquet(f"{out}/depth={depth}")
         folders = level.filter("is_dir").select("path")
         count, depth = folders.count(), depth + 1
-    files = spark.read.schema(_LISTED).parquet(*[f"{out}/depth={d}" for d in range(depth)]).filter("not is_dir")
+    listed = spark.read.schema(_LISTED).parquet(*[f"{out}/depth={d}" for d in range(depth)])
+    for row in listed.filter("error is not null").limit(20).collect():  # a report; the rows are in the listing
+        log.warning("'%s': %s", row["path"], row["error"])
+    files = listed.filter("not is_dir")
     return files.select("path", paths.relative(F.col("path"), root).alias("rel_path"), "length")
 
 
@@ -89,7 +105,7 @@ def top_level_names(spark: SparkSession, root: str) -> DataFrame:
     """Names directly under the root, files and folders."""
     ship_package()
     roots = spark.createDataFrame([(paths.clean_root(root),)], "path string")
-    return roots.mapInPandas(_list_folders, _LISTED).select(paths.file_name(F.col("path")).alias("name"))
+    return roots.mapInPandas(_list_folders, _LISTED).filter("error is null").select(paths.file_name(F.col("path")).alias("name"))
 
 
 def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

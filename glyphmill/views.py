@@ -31,8 +31,8 @@ def _text(*parts) -> Column:
 def sources(spark: SparkSession, sf_dir: str, busy: bool = False) -> DataFrame:
     """``doc_id, path, text``: one C# file per document, one method per line.
 
-    Blocks, expression bodies and bodyless methods take turns; braces stand in strings
-    and comments, a constructor and a property hold none of the methods, and a nested
+    Blocks, expression bodies and bodyless methods take turns; braces stand in attributes, strings
+    and comments, types are nested deeply, a constructor and a property hold none of the methods, and a nested
     struct has one that is also part of the skeleton.
     """
     ident = F.col("doc_id").cast("string")
@@ -41,11 +41,11 @@ def sources(spark: SparkSession, sf_dir: str, busy: bool = False) -> DataFrame:
         said = F.regexp_replace(line, "[^A-Za-z0-9 ]", "")
         n = i.cast("string")
         block = _text(
-            '[Obsolete("use M{")]\n        public void M', n, "(string s, int n = 0)\n        {\n"
-            '            // } not a brace {{\n            if (n > 0) { Log("', said, ' {"); }\n        }'
+            '[TestCase(new[] { 1, 2 }), Obsolete("use M{")]\n        public void M', n, "(string s, int n = 0)\n        {\n"
+            '            // } not a brace {{\n            if (n > 0) { Log($"{names["{"]}", "', said, ' {"); }\n        }'
         )
-        arrow = _text("internal static List<Dictionary<string, int>> M", n, '<T>(T a) => Make(a, "', said, '");')
-        bare = _text("protected abstract string[] M", n, "();")
+        arrow = _text("internal static Dictionary<string, List<Dictionary<string, List<int>>>> M", n, '<T>(T a) => Make(a, "', said, '");')
+        bare = _text("protected abstract (int, (int, (int, string)))[] M", n, "();")
         body = F.when(i % 3 == 0, block).when(i % 3 == 1, arrow).otherwise(bare)
         return _text("\n        /// <summary>", n, "</summary>\n        ", body, "\n")
 

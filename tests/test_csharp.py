@@ -180,3 +180,84 @@ def test_many_methods_pack_as_expected(spark):
     assert "\n\n".join(row["b"]) == "\n\n" + "\n\n".join(row["units"])
     assert all(len(b) < 1000 for b in row["b"])
     assert squeeze(row["skeleton"]) == "namespace N { class Long { } }"
+
+
+SHAPES = '''class A
+{
+    [TestCase(new[] { 1, 2 })] public void Braced(int a) { One(); }
+    [InlineData(new object[] { "a;}" }, Make = new() { X = { 1 } })]
+    [Other]
+    internal Dictionary<string, List<Dictionary<string, List<int>>>> Deep<T, U>(Func<Func<Func<int>>> f) => a < b && f() > c;
+    (int, (int, (int, (int, int)))) Tuple((int, int) x = default) { return ((1, (2, 3))); }
+    string Said(D d) { return $"{d["{"]}" + $"{{{d[$"x"]}"; }
+    void Params(Action a = null, int[] b = new[] { 1, 2 }) { a(); }
+    [Range(0, 1)] private int field;
+    private static readonly Foo f = Make(new[] { 1, 2 }, () => { return 3; });
+    char c = '\\u007b', d = '}';
+    void Last() { }
+}'''
+
+
+def test_groups_in_declarations_have_no_limit(spark):
+    units, skeleton = cut(spark, SHAPES)
+    assert [next(n for n in ("Braced(", "Deep<", "Tuple(", "Said(", "Params(", "Last(") if n in u) for u in units] == [
+        "Braced(", "Deep<", "Tuple(", "Said(", "Params(", "Last(",
+    ]
+    assert units[0] == "[TestCase(new[] { 1, 2 })] public void Braced(int a) { One(); }"
+    assert units[1].startswith("[InlineData(") and units[1].endswith("=> a < b && f() > c;")
+    assert squeeze(skeleton) == squeeze(
+        "class A { [Range(0, 1)] private int field; private static readonly Foo f = Make(new[] { 1, 2 }, () => { return 3; }); char c = '\\u007b', d = '}'; }"
+    )
+
+
+BRANCHES = '''class A
+{
+#if X
+    public void First(int a)
+    {
+#elif Y
+    public void First(long a)
+    {
+#else
+    public void First()
+    {
+#endif
+        Body();
+    }
+    void Second() { Two(); }
+#if EDITOR
+    void Third() { Three(); }
+#else
+    void Third(int a) { Three(a); }
+#endif
+    void Fourth()
+    {
+#if X
+        if (a) {
+#else
+        if (b) {
+#endif
+        }
+    }
+    void Fifth() { }
+}'''
+
+
+@pytest.mark.parametrize("comment", ["", "// "])
+def test_branches_that_open_differently_count_once(spark, comment):
+    units, _ = cut(spark, BRANCHES.replace("#", comment + "#"))
+    assert [u.split("(")[0].split()[-1] for u in units] == ["First", "Second", "Third", "Third", "Fourth", "Fifth"]
+    assert units[0].endswith("Body();\n    }") and units[1] == "void Second() { Two(); }"
+    assert units[4].rstrip().endswith("}\n    }")
+
+
+def test_a_long_file_is_packed_into_a_known_number_of_batches(spark):
+    from glyphmill.functions.packing import pack_by_chars
+
+    kinds = [
+        "    [TestCase(new[] {{ {0} }})]\n    public int M{0}(int a)\n    {{\n        return a + {0};\n    }}\n", "    (int, (int, int)) M{0}() => (1, ({0}, 2));\n",
+        "    Task<Dictionary<int, List<List<int>>>> M{0}(int[] a = null);\n",
+    ]
+    text = "namespace N\n{\nclass Long\n{\n" + "".join(kinds[i % 3].format(i) for i in range(240)) + "}\n}\n"
+    row = segment(spark.createDataFrame([(text,)], "text string")).select("units", pack_by_chars(F.col("units"), 600).alias("b")).first()
+    assert (len(row["units"]), len(row["b"])) == (240, 27)

@@ -2,6 +2,7 @@ import glob
 import os
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.operators.inference import FunctionProvider, IdentityProvider, Provider, ask, ask_resumable
@@ -18,7 +19,7 @@ def test_every_request_gets_its_own_reply(spark):
     def describe(user, system, history):
         return f"{user}/{system}/{history[0]['role']}:{history[0]['content']}"
 
-    got = ask(requests(spark), FunctionProvider(describe, partitions=5, threads=4, timeout_sec=30), ["key"])
+    got = ask(requests(spark), FunctionProvider(describe, requests_per_task=40, threads=4, timeout_sec=30), ["key"])
     assert got.rdd.getNumPartitions() == 5
     rows = {r["key"]: r for r in got.collect()}
     assert len(rows) == 200
@@ -52,7 +53,7 @@ def test_a_slow_query_times_out_and_the_rest_go_on(spark):
             time.sleep(3)
         return user
 
-    provider = FunctionProvider(slow, partitions=1, threads=4, timeout_sec=0.5)
+    provider = FunctionProvider(slow, requests_per_task=100, threads=4, timeout_sec=0.5)
     rows = {r["key"]: r for r in ask(requests(spark, 6), provider, ["key"]).collect()}
     assert rows[1]["error"] == "query timed out after 0.5 s"
     assert [k for k, r in rows.items() if r["error"] is None] == [k for k in rows if k != 1]
@@ -66,7 +67,7 @@ def test_one_thread_is_not_held_up_by_stuck_queries(spark):
             raise TimeoutError("its own")
         return user
 
-    provider = FunctionProvider(slow, partitions=1, threads=1, timeout_sec=0.4)
+    provider = FunctionProvider(slow, requests_per_task=100, threads=1, timeout_sec=0.4)
     rows = {r["key"]: r for r in ask(requests(spark, 8), provider, ["key"]).collect()}
     assert {k: r["error"] for k, r in rows.items() if r["error"]} == {
         1: "query timed out after 0.4 s", 2: "query timed out after 0.4 s", 3: "query failed: its own",
@@ -74,7 +75,7 @@ def test_one_thread_is_not_held_up_by_stuck_queries(spark):
 
 
 class Counted(Provider):
-    partitions = 16
+    requests_per_task = 13
 
     def __init__(self, log):
         self.log = log
@@ -125,3 +126,49 @@ def test_a_rerun_asks_only_for_what_is_missing(spark, tmp_path):
     assert [second[k]["response"] for k in range(7)] == ["q0!", "q1!", "q2!", "q3!", "new!", "q5!", "q6!"]
     assert all(r["error"] is None for r in second.values())
     assert len(glob.glob(calls + "/*")) == 6 + 3
+
+
+def test_finished_slices_survive_a_run_that_dies(spark, tmp_path):
+    calls, store = str(tmp_path / "calls"), str(tmp_path / "replies")
+    os.makedirs(calls)
+
+    class Counting(Provider):
+        def __init__(self, model):
+            self.model = model
+
+        def reply(self, user, system, history):
+            open(os.path.join(calls, f"{self.model}-{user}-{time.time_ns()}"), "w").close()
+            return f"{self.model}:{user}"
+
+    class Dying(Counting):
+        def identity(self):
+            return Counting("a").identity()
+
+        def reply(self, user, system, history):
+            if len(os.listdir(calls)) > 25:
+                os._exit(1)  # the task process goes, again and again, until the job does
+            return super().reply(user, system, history)
+
+    asked = requests(spark, 40).withColumn("error", F.when(F.col("key") == 5, "no file"))
+    with pytest.raises(Exception):
+        ask_resumable(asked, Dying("a"), ["key"], store, slice_requests=10).collect()
+    kept = spark.read.parquet(store).count()
+    assert 10 < kept < 39
+    before = len(os.listdir(calls))
+    rows = {r["key"]: r for r in ask_resumable(asked, Counting("a"), ["key"], store, slice_requests=10).collect()}
+    assert len(os.listdir(calls)) - before == 39 - kept
+    assert rows.pop(5)["error"] == "no file" and all(r["response"] == f"a:q{k}" for k, r in rows.items())
+    assert spark.read.parquet(store).filter("error = 'no file'").count() == 0
+    # Another model's replies are its own.
+    again = ask_resumable(asked, Counting("b"), ["key"], store).filter("error is null").collect()
+    assert len(again) == 39 and all(r["response"].startswith("b:") for r in again)
+
+
+class Chat(Provider):
+    def reply_to_messages(self, messages):
+        return " ".join(f"{m['role']}={m['content']}" for m in messages)
+
+
+def test_a_chat_model_gets_assembled_messages(spark):
+    rows = {r["key"]: r["response"] for r in ask(requests(spark, 3), Chat(), ["key"]).collect()}
+    assert rows[1] == "system=rules user=before user=q1"

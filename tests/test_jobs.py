@@ -180,7 +180,7 @@ def test_profiles(tmp_path):
     path.write_text("llm:\n  class: MultiprocessLocalLLM\n  llm_config:\n    class: TrivialLLM\n    config:\n  wrapper_config:\n    num_workers: 5\n    query_timeout_sec: 10\n")
     own = load_profile(str(path))
     provider = jobs.provider_for(own)
-    assert (own.provider, own.limit, provider.partitions, provider.timeout_sec) == ("TrivialLLM", None, 5, 10)
+    assert (own.provider, own.limit, provider.threads, provider.timeout_sec) == ("TrivialLLM", None, 5, 10)
     with pytest.raises(ProfileError, match="godot-mono"):
         load_profile("nope")
     with pytest.raises(ProfileError, match="llm"):
@@ -199,3 +199,30 @@ def test_a_project_without_sources_and_a_rerun(spark, tmp_path):
         report = jobs.run(spark, "godot-mono", source + "/", dest + "/", **how, reply_store=str(tmp_path / "replies"))
         assert report.filter("status = 'ok'").count() == 3
         assert sorted(os.listdir(dest + "/assets/code")) == ["FooBar.cs", "Long.cs", "foo_bar.cs"]
+
+
+def test_scratch_is_removed_but_for_what_is_kept(spark):
+    import os
+
+    from glyphmill.scratch import cleaned, materialize
+
+    with cleaned(spark) as keep:
+        one = materialize(spark.range(3), "one")
+        at = one.inputFiles()[0]
+        kept = keep(one.selectExpr("id + 1 as id"))
+    assert kept.count() == 3 and not os.path.exists(at.removeprefix("file://"))
+
+
+def test_a_template_makes_one_flat_prompt_and_extractors_can_be_given(spark):
+    conf = config()
+    conf["prompts"].update(system="Be brief.", full="${CODE}")
+    profile = from_config({**conf, "llm": {"class": "x", "config": {"prompt_template": "[I]${PROMPT}[/I]"}}})
+    flat = Translation(profile, "/src", "/out", provider=FunctionProvider(lambda user, system, history: f"{system}|{len(history)}|{user}"))
+    df = sources(spark, ("/src/B.cs", "class B { }"))
+    got = to_single_file(df, flat, extract=lambda reply: F.upper(reply)).first()["content"]
+    assert got.startswith("NONE|0|[I]") and "BE BRIEF." in got and got.endswith("[I]\nCLASS B { }\n\n[/I]")
+
+
+def test_known_pairs_need_a_count():
+    with pytest.raises(ProfileError):
+        from_config({**config(), "known_translations": {"target_engine": "godot"}})

@@ -24,7 +24,7 @@ def test_query_equals_its_sql(spark, con, name):
 
 
 def test_entry(spark):
-    assert entry(spark).count() == 200
+    assert {r["status"] for r in entry(spark).collect()} == {"ok", "failed", "skipped"}
 
 
 def plan(df):
@@ -32,7 +32,7 @@ def plan(df):
 
 
 TEXT_STAGES = [
-    "macros_to_comments", "convert_indent", "extract_first_code", "token_count", "budget_split", "pack_units",
+    "convert_indent", "extract_first_code", "token_count", "budget_split", "pack_units",
     "render_prompt", "destination_path", "route_by_extension", "ignore_locations", "splice_methods", "read_text_normalized",
 ]
 
@@ -49,7 +49,8 @@ def test_no_cross_joins(spark, name):
     assert "CartesianProduct" not in text and "NestedLoop" not in text
 
 
-def test_segmentation_is_computed_once(spark):
-    text = plan(queries()["migrate_single_file"](spark, SF))
-    assert text.count("regexp_extract_all(") == 1
-    assert plan(queries()["segment_units"](spark, SF)).count("regexp_extract_all(") == 1
+@pytest.mark.parametrize("name", ["migrate_single_file", "segment_units"])
+def test_segmentation_is_computed_once(spark, name):
+    """One lexing of each text, and in its one fold the one search for directives."""
+    text = plan(queries()[name](spark, SF))
+    assert text.count("elif|else|endif") == 1 and text.count("regexp_extract_all(") == 2

@@ -33,7 +33,7 @@ def clustered(seed, n, dim=8, clusters=6):
     return [(i, [float(x) for x in p]) for i, p in enumerate(points)]
 
 
-WAYS = [{}, {"max_local_bytes": 0, "pivots": 8, "group_rows": 32}]
+WAYS = [{}, {"max_local_bytes": 0, "group_bytes": 1000, "block_rows": 16}]
 
 
 @pytest.mark.parametrize("how", WAYS)
@@ -57,13 +57,11 @@ def test_fewer_known_than_asked_for_and_none(spark, how):
     assert found(nearest(*frames(spark, queries, []), 3, **how)) == []
 
 
-def test_cells_rule_out_far_ones_and_hold_no_large_group(spark):
-    """Well separated clusters: few pairs are compared, none in a group above the size."""
-    rng = np.random.default_rng(6)
-    known = [(i, [float(100 * (i % 10)) + rng.normal(), rng.normal()]) for i in range(1000)]
-    queries = [(i, [float(100 * (i % 10)), 0.0]) for i in range(50)]
-    how = {"max_local_bytes": 0, "pivots": 32, "group_rows": 16}
-    assert found(nearest(*frames(spark, queries, known), 3, **how)) == brute(queries, known, 3)
+def test_no_vector_is_shuffled(spark):
+    queries, known = clustered(6, 50), clustered(7, 500)
+    hits = nearest(*frames(spark, queries, known), 3, max_local_bytes=0, block_rows=64)
+    assert "Exchange" not in hits._jdf.queryExecution().executedPlan().toString()
+    assert found(hits) == brute(queries, known, 3)
 
 
 def test_trigrams(spark):
