@@ -93,7 +93,9 @@ def _folded(shape: Column) -> Column:
 
     def repeated(x: Column, openers: str, patterns) -> Column:
         times = _count(x, openers)
-        return F.when(times > 0, F.aggregate(F.sequence(F.lit(1), times), x, lambda y, _: once(y, patterns))).otherwise(x)
+        return F.when(
+            times > 0, F.aggregate(F.sequence(F.lit(1), times), x, lambda y, _: F.when(_count(y, openers) > 0, once(y, patterns)).otherwise(y))
+        ).otherwise(x)
 
     # What follows an arrow is an expression, in which angles may compare.
     grouped = repeated(shape, "([{", _FOLDS)
