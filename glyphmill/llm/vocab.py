@@ -46,8 +46,8 @@ def pieces(name: str):
 
 _LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
 _MARKS = r"!-&(-/:-@\[-`{-~"  # all but the apostrophe, which may join the letters after it
-_PIECE = re.compile(f"[{_LETTERS}]+|[0-9]+|[{_MARKS}]+|\n")
-_SIMPLE = re.compile(f"(?:[{_LETTERS}]|[0-9]|[{_MARKS}]|\n(?=[^\n]))+")
+#: What any split pattern makes a piece; a line break only where something visible follows.
+_PIECE = re.compile(f"[{_LETTERS}]+|[0-9]+|[{_MARKS}]+|\n(?=[^\n])")
 
 
 def _plain(run: str) -> bool:
@@ -108,18 +108,22 @@ class ByteBpe:
                 words.add(r)
             elif not r or r[0].isspace():
                 blank.add(r)
-            elif _SIMPLE.fullmatch(r):
-                first, *others = _PIECE.findall(r)
-                joined.append((r, first, others))
-                if first not in self.known:
-                    words.add(first)
             else:
-                self.known[r] = self.whole(" " + r)
+                pieces = _PIECE.findall(r)
+                if sum(map(len, pieces)) == len(r):
+                    joined.append((r, pieces))
+                    if pieces[0] not in self.known:
+                        words.add(pieces[0])
+                else:
+                    self.known[r] = self.whole(" " + r)
         new = list(words)
         for i in range(0, len(new), 1000):
             self.known.update(self._together(new[i : i + 1000]))
-        for r, first, others in joined:
-            self.known[r] = self.known[first] + b"".join(map(self._inner, others))
+        for r, (first, *others) in joined:
+            ids = self.known[first]
+            for piece in others:
+                ids += self.inner.get(piece) or self._inner(piece)
+            self.known[r] = ids
         return blank
 
     def encode(self, texts: list[str]) -> list[bytes]:
