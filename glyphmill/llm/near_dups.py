@@ -1,6 +1,7 @@
 """Near-duplicates by an LSH forest, confirmed on full shingle sets.
 
-1. Every text becomes the set of its distinct five-word shingles. Equal sets are one *class*, represented by its smallest id.
+1. Every text becomes the set of its distinct five-word shingles. Rows are numbered in
+   a written table, so ids may be null or repeated; equal sets are one *class*, represented by its first row.
 2. A class has a row in each of several sorted orders (trees): six min-hashes, different ones in each tree.
    Classes whose rows begin alike are candidates. The depth at which that counts follows the region: four values as
    long as at most ``Forest.crowd`` classes share them, otherwise five, otherwise six.
@@ -31,8 +32,6 @@ SHINGLE = 5
 #: Min-hashes of a row, and the fewest that candidates share.
 DEEPEST, LEAST = 6, 4
 _WORD_BYTES = 2 * DEEPEST
-#: Stands for a null id; it is the last of its group.
-_NO_ID = (1 << 63) - 1
 _LINKS = "a long, b long"
 
 
@@ -88,13 +87,13 @@ def _signing(trees: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts, digests, signatures = [], [], []
-            for text in batch.column(1):
+            for text in batch.column(2):
                 found = shingles(text.as_py())
                 counts.append(len(found))
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()))
                 signatures.append(signature(found, factors, masks).tobytes() if len(found) else b"")
             new = [pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.binary())]
-            yield pa.record_batch([batch.column(0), *new], ["doc_id", "n_shingles", "digest", "signature"])
+            yield pa.record_batch([batch.column(0), batch.column(1), *new], ["node", "doc_id", "n_shingles", "digest", "signature"])
 
     return sign
 
@@ -176,17 +175,11 @@ def _similar_signatures(per_cent: int):
 
 def _similar_sets(per_cent: int):
     def compare(rows: pa.Table) -> Iterator[tuple[int, int]]:
-        nodes, digests, kept, sets = rows["node"].to_numpy(), rows["digest"].to_pylist(), [], []
-        for i, text in enumerate(rows["text"]):
-            found = shingles(text.as_py())
-            # Another row may share the id of a class's representative, but not its set.
-            if xxhash.xxh3_128_digest(found.tobytes()) == digests[i]:
-                kept.append(i)
-                sets.append(found)
-        n = len(sets)
+        n = rows.num_rows
         if n < 2:
             return
-        nodes, side = nodes[kept], rows["side"].to_numpy(zero_copy_only=False)[kept]
+        nodes, side = rows["node"].to_numpy(), rows["side"].to_numpy(zero_copy_only=False)
+        sets = [shingles(text.as_py()) for text in rows["text"]]
         sizes = np.array([len(s) for s in sets])
         joined = _Joined(n)
         both = bool(side.any())
@@ -227,7 +220,7 @@ def _paired(rows: DataFrame, key: Column, blocks: Column, compare) -> DataFrame:
         F.least(F.col("block"), j).alias("first"), F.greatest(F.col("block"), j).alias("second"), (F.col("block") > j).cast("int").alias("side")
     ))
     spread = rows.withColumns({"key": key, "blocks": blocks.cast("long")}).withColumn("block", block).withColumn("cell", F.explode(cells))
-    kept = [c for c in ("signature", "text", "digest") if c in rows.columns]
+    kept = [c for c in ("signature", "text") if c in rows.columns]
     laid = spread.select("key", F.col("cell.first").alias("first"), F.col("cell.second").alias("second"), F.col("cell.side").alias("side"), "node", *kept)
     sort = ["key", "first", "second"]
     return arrow_stage(laid.repartition(*sort).sortWithinPartitions(*sort), lambda b: _pairs(b, sort, compare), _LINKS)
@@ -254,42 +247,61 @@ def _leaves(classes: DataFrame, forest: Forest) -> DataFrame:
     return out.unionByName(level)
 
 
-def near_duplicates(docs: DataFrame, forest: Forest = Forest(), ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
+def _decided(rows: DataFrame, forest: Forest) -> DataFrame:
+    """``node, doc_id, n_shingles, component_id, kept, first`` for written rows ``node, doc_id, text``; ``node`` is unique.
 
-    Two texts are linked when 100 times what their shingle sets share is at least ``per_cent`` times what they have together;
-    a component is what links connect, named by its smallest id, and that document is kept. A-Z count as a-z. Null and empty texts have
-    no shingle and are linked with nothing; rows with one id are one document if their sets are equal, and share its decision; a null id comes last in its
-    component and is null where it is alone; an empty table gives none.
+    ``first`` is true for one row of each component: the one with the smallest id, null last, and among equal ids the smallest node.
     """
-    given = docs.select(F.coalesce(F.col(ident).cast("long"), F.lit(_NO_ID)).alias("doc_id"), text_bytes(F.col(text)).alias("text"))
-    signed = materialize(arrow_stage(given, _signing(forest.trees), "doc_id long, n_shingles long, digest binary, signature binary"), "signatures")
-    first = F.min(F.struct("doc_id", "n_shingles", "signature")).alias("first")
+    signed = materialize(arrow_stage(rows, _signing(forest.trees), "node long, doc_id long, n_shingles long, digest binary, signature binary"), "signatures")
     classes = materialize(
-        signed.filter("n_shingles > 0").groupBy("digest").agg(first).select("digest", F.col("first.doc_id").alias("node"), "first.n_shingles", "first.signature"), "classes"
+        signed.filter("n_shingles > 0").groupBy("digest").agg(
+            F.min(F.struct("node", "n_shingles", "signature")).alias("of"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("least")
+        ).select("digest", "of.node", "of.n_shingles", "of.signature", "least"), "classes",
     )
     leaves = _leaves(classes, forest)
     promising = _paired(leaves, F.col("leaf"), F.ceil(F.col("n") / forest.block), _similar_signatures(forest.estimate))
     regions = materialize(connected(promising), "regions")
     # Representatives with the size of their region; texts come from the table, for members only.
-    members = regions.join(classes.select("node", "digest", "n_shingles"), "node")
+    members = regions.join(classes.select("node", "n_shingles"), "node")
     sizes = members.groupBy("component").agg(
         F.greatest(F.ceil(F.count("*") / forest.block), F.ceil(F.sum("n_shingles") / forest.block_shingles)).alias("blocks")
     )
-    members = materialize(members.join(sizes, "component").select("node", "digest", "component", "blocks"), "members")
+    members = materialize(members.join(sizes, "component").select("node", "component", "blocks"), "members")
     # Merged at any size: the members of a large table are too many to be sent to every task.
-    texts = given.withColumnRenamed("doc_id", "node").join(members.hint("merge"), "node")
+    texts = rows.select("node", "text").join(members.hint("merge"), "node")
     links = _paired(texts, F.col("component"), F.col("blocks"), _similar_sets(forest.per_cent))
     joined = connected(links)
-    named = classes.select("digest", "node").join(joined, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    # Components are found among nodes and named by real ids at the end.
+    least = joined.join(classes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("joint"))
+    joint = joined.join(least, "component").select("node", "joint")
+    named = classes.select("digest", "node", "least").join(joint, "node", "left").select("digest", F.coalesce("joint", "least").alias("least"))
     # Only classes with links or copies can change a name, but every row asks for its own: a join on digests, split where skewed.
-    out = signed.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    real = lambda c: F.nullif(c, F.lit(_NO_ID))
-    component = F.coalesce("component_id", "doc_id")
-    return out.select(real(F.col("doc_id")).alias("doc_id"), "n_shingles", real(component).alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    out = signed.select("node", "doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    component = F.when(F.col("least").isNull(), F.col("doc_id")).otherwise(F.col("least.doc_id"))
+    return out.select(
+        "node", "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"),
+        F.coalesce(F.col("node") == F.col("least.node"), F.lit(True)).alias("first"),
+    )
+
+
+def near_duplicates(docs: DataFrame, forest: Forest = Forest(), ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
+
+    Two texts are linked when 100 times what their shingle sets share is at least ``per_cent`` times what they have together;
+    a component is what links connect, named by its smallest id, and that document is kept. A-Z count as a-z. Null and empty texts have
+    no shingle and are linked with nothing. Each row is decided by itself, whoever shares its id; a null id comes last in its
+    component, whose name is null where no row has an id; rows of a component that share its smallest id are all kept; an empty table gives none.
+    """
+    rows = docs.select(F.monotonically_increasing_id().alias("node"), F.col(ident).cast("long").alias("doc_id"), text_bytes(F.col(text)).alias("text"))
+    return _decided(materialize(rows, "rows"), forest).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def deduplicate(docs: DataFrame, forest: Forest = Forest(), ident: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept: one document of each component, and every text without shingles."""
-    gone = near_duplicates(docs, forest, ident, text).filter("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.hint("merge"), F.col(ident).eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of ``docs`` that are kept: one row of each component, and every text without shingles.
+
+    The row with the smallest id stays, of those that share it, or have none, the first one as the rows were numbered.
+    """
+    numbered = materialize(docs.withColumn("_node", F.monotonically_increasing_id()), "rows")
+    rows = numbered.select(F.col("_node").alias("node"), F.col(ident).cast("long").alias("doc_id"), text_bytes(F.col(text)).alias("text"))
+    gone = _decided(rows, forest).filter("not first").select(F.col("node").alias("_gone"))
+    return numbered.join(gone.hint("merge"), F.col("_node") == F.col("_gone"), "left_anti").select(*docs.columns)

@@ -87,6 +87,19 @@ def test_one_of_each_group_stays(spark, documents):
     assert sorted(r.doc_id for r in left.collect()) == sorted(r[0] for r in brute(rows) if r[3])
 
 
+def test_rows_are_decided_by_themselves(spark, documents):
+    """Null ids, and ids that different texts share, do not carry a decision over to other rows."""
+    rng = random.Random(9)
+    a, b, c, d, e, f = (" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(6))
+    # A copy without id beside unrelated texts without id; copies that all lack one; one id with two texts, each linked elsewhere or not; one row twice.
+    rows = [(1, a), (None, a.upper()), (None, b), (None, None), (None, c), (None, c), (2, d), (2, e), (3, e), (0, d), (4, f), (4, f), ((1 << 63) - 1, "alone here")]
+    docs = documents([(i, t, "s") for i, t in rows])
+    assert rows_of(near_dups.near_duplicates(docs)) == brute(rows)
+    left = [(r.doc_id, r.text) for r in near_dups.deduplicate(docs).collect()]
+    want = [(1, a), (None, b), (None, None), (None, c), (2, e), (0, d), (4, f), ((1 << 63) - 1, "alone here")]
+    assert sorted(left, key=str) == sorted(want, key=str)
+
+
 def test_connected_components(spark):
     rng = random.Random(4)
     edges = [(i, i + 1) for i in range(100, 160)] + [(1000, i) for i in range(1001, 1400)] + [(rng.randrange(2000, 2400), rng.randrange(2000, 2400)) for _ in range(180)] + [(5, 5), (7, 6), (6, 7)]
