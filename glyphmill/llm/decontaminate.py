@@ -53,7 +53,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Windows:
     """A slice of the windows, ready to be searched for."""
 
-    def __init__(self, items: dict[bytes, list[str]]):
+    def __init__(self, items: dict[bytes, list[str | None]]):
         self.items = items
         self.number: dict[bytes, int] = {}
         self.by_length: dict[int, np.ndarray] = {}
@@ -120,7 +120,7 @@ def _scan(broadcast, key: str):
                 counts.append(len(words))
                 if hits:
                     all_spans.append(_merged([(x["first"], x["last"]) for x in s.as_py()] + [(at, at + w.count(b" ")) for at, w in hits]))
-                    all_items.append(sorted({*i.as_py(), *(x for _, w in hits for x in windows.items[w])}))
+                    all_items.append(sorted({*i.as_py(), *(x for _, w in hits for x in windows.items[w])}, key=lambda x: (x is None, x or "")))
                 else:
                     all_spans.append([(x["first"], x["last"]) for x in s.as_py()])
                     all_items.append(i.as_py())
@@ -135,24 +135,29 @@ def _scan(broadcast, key: str):
     return scan
 
 
-def window_slices(benchmark: DataFrame, ident: str = "item_id", text: str = "text", size: int = SLICE) -> Iterator[dict[bytes, list[str]]]:
-    """The distinct windows with the items that have them, cut by hash into dictionaries of about ``size`` entries."""
+def window_slices(benchmark: DataFrame, ident: str = "item_id", text: str = "text", size: int = SLICE) -> Iterator[dict[bytes, list[str | None]]]:
+    """The distinct windows with the items that have them, cut by hash into dictionaries of about ``size`` entries.
+
+    A null, last, stands for all items without an id.
+    """
     made = arrow_stage(benchmark.select(F.col(ident).cast("string"), text_bytes(F.col(text))), _windows, _WINDOWS)
-    windows = materialize(made.filter("item_id is not null").select("item_id", "words").distinct(), "windows")
+    windows = materialize(made.select("item_id", "words").distinct(), "windows")
     n = -(-windows.count() // size)
     for k in range(n):
-        part = windows.filter(F.pmod(F.xxhash64("words"), F.lit(n)) == k).groupBy("words").agg(F.collect_set("item_id").alias("items"))
-        yield {bytes(r["words"]): sorted(r["items"]) for r in part.toLocalIterator()}
+        part = windows.filter(F.pmod(F.xxhash64("words"), F.lit(n)) == k).groupBy("words").agg(
+            F.collect_set("item_id").alias("items"), F.max(F.col("item_id").isNull()).alias("unnamed")
+        )
+        yield {bytes(r["words"]): sorted(r["items"]) + [None] * r["unnamed"] for r in part.toLocalIterator()}
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, slice_size: int = SLICE) -> DataFrame:
-    """``docs`` (or the columns ``keep`` of them) with ``n_words``, ``n_hit``, ``spans`` and ``item_ids``.
+    """``docs`` (or the columns ``keep`` of them) with ``n_words``, ``n_hit``, ``spans``, ``item_ids`` and ``unnamed_item``.
 
     ``spans`` are maximal runs of hit words (first and last index), ``item_ids`` the items with a window in the text, in string
-    order. Null and empty texts have no words; an item without words, or without an id, has no window; equal items and
-    repeated rows are each reported; columns of ``docs`` with the new names are replaced. Whole texts are scanned.
+    order. Null and empty texts have no words; an item without words has no window, those of an item without an id
+    are hit like others, which ``unnamed_item`` tells in place of ``item_ids``; equal items and repeated rows are each reported; columns of ``docs`` with the new names are replaced. Whole texts are scanned.
     """
-    kept_columns = [c for c in (keep or docs.columns) if c not in ("n_words", "n_hit", "spans", "item_ids")]
+    kept_columns = [c for c in (keep or docs.columns) if c not in ("n_words", "n_hit", "spans", "item_ids", "unnamed_item")]
     nothing = {"n_words": F.size(F.array()).cast("long"), "spans": F.array().cast("array<struct<first:int,last:int>>"), "item_ids": F.array().cast("array<string>")}
     out = docs.select(*kept_columns, text_bytes(F.col(text)).alias("_text")).withColumns(nothing)
     slices = 0
@@ -164,7 +169,9 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[s
         broadcast = docs.sparkSession.sparkContext.broadcast({})
         out = arrow_stage(out, _scan(broadcast, f"windows:{uuid.uuid4().hex}"), out.schema)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
-    return out.withColumn("n_hit", n_hit).drop("_text")
+    named = F.filter("item_ids", lambda x: x.isNotNull())
+    unnamed = F.exists("item_ids", lambda x: x.isNull())
+    return out.withColumns({"n_hit": n_hit, "item_ids": named, "unnamed_item": F.coalesce(unnamed, F.lit(False))}).drop("_text")
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:

@@ -82,3 +82,26 @@ def test_documents_and_spans_are_removed(spark, documents):
     assert texts[1] is None and texts[2] == "" and texts[3] == "say: , short two one " and texts[4] == " nu" and texts[8] == "xx !"
     assert decontaminate.find(decontaminate.remove_spans(documents(DOCS), bench), bench).filter("n_hit > 0").count() == 0
     assert decontaminate.find(docs, bench).count() == len(DOCS)
+
+
+@pytest.mark.parametrize("size", [1, 1000])
+def test_items_without_an_id_are_hit(spark, documents, size):
+    bench = spark.createDataFrame([(None, "secret passage here"), (None, "shared words"), (3, "shared words")], "item_id long, text string")
+    docs = documents([(1, "a Secret passage here, too", "s"), (2, "shared words", "s"), (3, "clean text", "s")])
+    found = {r.doc_id: (r.n_hit, r.item_ids, r.unnamed_item) for r in decontaminate.find(docs, bench, slice_size=size).collect()}
+    assert found == {1: (3, [], True), 2: (2, ["3"], True), 3: (0, [], False)}
+    assert [r.doc_id for r in decontaminate.remove_documents(docs, bench).collect()] == [3]
+
+
+def test_items_without_an_id_equal_the_sql(spark, documents, stored):
+    import duckdb
+
+    from tools.check import compare
+
+    bench = spark.createDataFrame([(None, "secret passage here"), (None, "shared words"), (3, "shared words")], "item_id long, text string")
+    at = stored(documents=documents([(1, "a Secret passage here, too", "s"), (2, "shared words", "s"), (3, "clean text", "s")]), benchmark=bench)
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from read_parquet('{at.removeprefix('file:')}/{t}.parquet/*.parquet')")
+    line, equal = compare(spark, con, "op7_decontamination", at, queries.SQL["op7_decontamination"])
+    assert equal, line
