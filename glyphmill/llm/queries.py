@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glyphmill.llm import common, decontaminate, hilbert, mixing, near_dups, preferences, pseudonyms, quality, token_counts, token_files, url_filter
+from glyphmill.llm import alignment, common, decontaminate, fingerprints, hilbert, manifest, mixing, near_dups, preferences, pseudonyms, quality, token_counts, token_files, url_filter
 from glyphmill.llm.common import table
 from glyphmill.scratch import materialize, scratch_dir
 
@@ -210,3 +210,82 @@ select d.doc_id, d.size::bigint as size, b.s as source_size, b.target,
     (d.size * (b.times + (2 * o.below + o.size <= 2 * b.rest)::int))::bigint as taken
 from sized d join budgets b on d.source is not distinct from b.source join ordered o on o.source is not distinct from d.source and o.draw = d.draw
 """
+
+
+@query
+def op11_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fingerprints.edits(table(spark, sf_dir, "documents"))
+    return made.withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
+
+
+@query
+def op12_fragment_monoid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aligned = alignment.align(table(spark, sf_dir, "documents"), "byte_bpe_50k.json", "piece_bpe_32k.model")
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("")
+    # Every token that ends a group is linked with the one of the other side that ends there.
+    rows = aligned.select("row", F.col("ident").alias("doc_id"), "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), digest.alias("groups_sha256"), "pairs", "times")
+    return alignment.linked(materialize(rows, "aligned")).select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+@query
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half of the rows are tampered with: their texts lose their line feeds."""
+    docs = table(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    cut = [F.replace(F.col(c), F.lit("\n"), F.lit("")) if c == "text" else F.col(c) for c in columns]
+    tampered = F.when((F.crc32(F.col("doc_id").cast("string")) % 2 == 0) & F.col("text").contains("\n"), manifest.leaf_of(cut))
+    made = manifest.manifest(docs, columns, "doc_id", "source", {"tampered": tampered})
+    root = manifest.folded(F.coalesce("tampered", "leaf"), F.col("path"))
+    shown = made.select("doc_id", "leaf", "subroot", "root", F.sha2(manifest.siblings(F.col("path")), 256).alias("proof_sha256"), root.alias("folded_root"))
+    return shown.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+SQL["op13_merkle_manifest"] = r"""
+with recursive given as (
+    select doc_id, source, text, [doc_id::varchar, source, lang, n_chars::varchar] as meta,
+        list_reduce([4294967295] || [ascii(c)::bigint for c in string_split(doc_id::varchar, '')],
+            lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)) as crc
+    from documents
+), hashed as (
+    select *, array_to_string([coalesce(strlen(x) || ':' || x, '-') for x in meta], '') as head, xor(crc, 4294967295) % 2 = 0 as touched from given
+), leaves as (
+    select row_number() over () as row, doc_id, source, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as leaf,
+        case when coalesce(touched, false) then sha256(head || coalesce(strlen(replace(text, chr(10), '')) || ':' || replace(text, chr(10), ''), '-'))
+            else sha256(head || coalesce(strlen(text) || ':' || text, '-')) end as now
+    from hashed
+), numbered as (
+    select *, dense_rank() over (order by source nulls first) - 1 as tree, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as place from leaves
+), tree as (
+    select tree, 0 as level, place, leaf as digest, count(*) over (partition by tree) as n from numbered
+    union all
+    select distinct tree, level + 1, place // 3, sha256(string_agg(digest, '' order by place) over (partition by tree, place // 3 rows between unbounded preceding and unbounded following)), (n + 2) // 3
+    from tree where n > 1
+), subroots as (select tree, digest as subroot from tree where n = 1),
+top as (
+    select 0 as level, tree as place, subroot as digest, count(*) over () as n from subroots
+    union all
+    select distinct level + 1, place // 3, sha256(string_agg(digest, '' order by place) over (partition by place // 3 rows between unbounded preceding and unbounded following)), (n + 2) // 3
+    from top where n > 1
+), runs as (
+    select tree, level, place // 3 as run, list(digest order by place) as kids from tree where n > 1 group by all
+), top_runs as (
+    select level, place // 3 as run, list(digest order by place) as kids from top where n > 1 group by all
+), climb as (
+    select row, tree, place, place as spot, 0 as level, now as folded, '' as proof from numbered
+    union all
+    select c.row, c.tree, c.place, c.spot // 3, c.level + 1,
+        sha256(array_to_string([case when i = c.spot % 3 + 1 then c.folded else r.kids[i] end for i in range(1, len(r.kids) + 1)], '')),
+        c.proof || array_to_string([r.kids[i] for i in range(1, len(r.kids) + 1) if i <> c.spot % 3 + 1], '')
+    from climb c join runs r on r.tree = c.tree and r.level = c.level and r.run = c.spot // 3
+), arrived as (select * from climb where not exists (from runs r where r.tree = climb.tree and r.level = climb.level)),
+upper as (
+    select row, tree as spot, 0 as level, folded, proof from arrived
+    union all
+    select u.row, u.spot // 3, u.level + 1,
+        sha256(array_to_string([case when i = u.spot % 3 + 1 then u.folded else r.kids[i] end for i in range(1, len(r.kids) + 1)], '')),
+        u.proof || array_to_string([r.kids[i] for i in range(1, len(r.kids) + 1) if i <> u.spot % 3 + 1], '')
+    from upper u join top_runs r on r.level = u.level and r.run = u.spot // 3
+), done as (select * from upper where not exists (from top_runs r where r.level = upper.level))
+select l.doc_id, l.leaf, s.subroot, t.digest as root, sha256(d.proof) as proof_sha256, d.folded as folded_root, d.folded = t.digest as verified
+from numbered l join subroots s using (tree) join done d using (row) cross join (select digest from top where n = 1) t
+"""

@@ -1,0 +1,103 @@
+import hashlib
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from glyphmill.llm import fingerprints as fp
+from glyphmill.llm import queries
+
+from .conftest import ODD
+
+
+def total(text):
+    """Paragraph by paragraph, in Python's own numbers."""
+    lanes = [0] * fp.LANES
+    for p in (text.encode().split(b"\n") if text else []):
+        raw = hashlib.shake_128(p).digest(256)
+        for i in range(fp.STRICT):
+            lanes[i] += int.from_bytes(raw[4 * i : 4 * i + 4], "little")
+        assert b"".join(fp.pieces(p)) == p
+        for piece in fp.pieces(p):
+            bits, weight = hashlib.blake2b(piece).digest(), round(len(piece) ** 0.5)
+            for i in range(fp.ALIKE):
+                lanes[fp.STRICT + i] += weight if bits[i // 8] >> (7 - i % 8) & 1 else -weight
+    return np.array([x % (1 << 32) for x in lanes], np.uint32)
+
+
+def brute(rows):
+    """``(doc_id, text)`` to the rows of ``edits``; equal ids must have equal texts."""
+    rows = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is None, -(r[0] or 0)))
+    out = []
+    for k, (i, text) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        a, b, c = total(text), total(edited), total(after)
+        of = lambda v: hashlib.sha256(v.astype("<u4").tobytes()).hexdigest()
+        out.append((i, len(text), hashlib.sha256(edited.encode()).hexdigest(), of(a), of(b), fp.likeness(a, b), fp.likeness(a, c)))
+    return sorted(out, key=str)
+
+
+def run(docs):
+    made = fp.edits(docs).withColumns({c: F.lower(F.hex(c)) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")})
+    return sorted((tuple(r) for r in made.collect()), key=str)
+
+
+@pytest.mark.parametrize("partitions", ["1", "7"])
+def test_edits_equal_brute_force_on_odd_rows(spark, odd, partitions):
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        extra = odd.withColumns({"fingerprint": F.lit("x"), "part": F.lit(1), "first": F.lit("y"), "ident": F.lit(None)})
+        assert run(extra) == brute([(i, t) for i, t, _ in ODD])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_edits_of_few_rows(spark, documents):
+    assert run(documents([])) == []
+    assert run(documents([(3, "alone. In the\nworld", "s")])) == brute([(3, "alone. In the\nworld")])
+    # Ties: many rows without an id, all of which follow some other one.
+    rows = [(None, f"{i} text {i}", "s") for i in range(50)]
+    got = run(documents(rows))
+    assert len(got) == 50 and len({r[2] for r in got}) > 5
+
+
+def test_query_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = sorted((tuple(r) for r in queries.op11_multiset_hash(spark, sf).collect()), key=str)
+    assert got == brute(docs)
+    fine = [r for r in got if r[1] > 1000]
+    assert len(fine) > 20 and np.median([r[5] for r in fine]) > 0.35 and np.median([r[6] for r in fine]) < 0.1
+
+
+def test_order_of_paragraphs_does_not_count_and_their_number_does():
+    parts = [f"Sentence {i}. And more of it, number {i}." for i in range(40)]
+    mixed = random.Random(1).sample(parts, 40)
+    whole = fp.vector(fp.paragraphs("\n".join(parts).encode()))
+    assert (whole == fp.vector(fp.paragraphs("\n".join(mixed).encode()))).all()
+    assert (whole != fp.vector(fp.paragraphs("\n".join([*parts, parts[0]]).encode()))).any()
+    assert fp.likeness(whole, whole) == 1.0
+    for n in (10, 20, 30):
+        near = fp.likeness(whole, fp.vector(fp.paragraphs("\n".join([*parts[:n], *[f"Other {i}. And {i} again, wholly different." for i in range(40 - n)]]).encode())))
+        assert abs(near - n / 40) < 0.12
+
+
+def test_insertion_and_deletion_equal_a_new_fingerprint(spark, documents):
+    old = documents([(1, "a\nb\nb\nc", "s"), (2, "", "s"), (3, None, "s"), (4, "é. x" * 300, "s")]).select("doc_id", "text")
+    rows = fp.fingerprints(old.withColumn("fingerprint", F.lit(1))).withColumn("less", F.when(F.col("doc_id") == 1, F.array(F.lit("b"))))
+    got = fp.changed(rows, F.col("less"), F.array(F.lit("new"), F.lit(None))).collect()
+    for r in got:
+        want = {1: ["a", "b", "c", "new"], 2: ["new"], 3: ["new"], 4: ["é. x" * 300, "new"]}[r.doc_id]
+        assert r.fingerprint == fp.vector([w.encode() for w in want]).tobytes()
+
+
+def test_totals_by_group(spark, odd):
+    got = {r.source: bytes(r.fingerprint) for r in fp.totals(fp.fingerprints(odd.repartition(3)), "source").collect()}
+    want = {}
+    for _, text, source in ODD:
+        want[source] = want.get(source, np.zeros(fp.LANES, np.uint32)) + fp.vector(fp.paragraphs((text or "").encode()))
+    assert got == {s: v.tobytes() for s, v in want.items()}
+    assert fp.totals(fp.fingerprints(odd.limit(0)), "source").count() == 0

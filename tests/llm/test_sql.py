@@ -40,4 +40,4 @@ def test_query_equals_its_sql_on_odd_rows(spark, documents, stored, name, rows):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
