@@ -40,6 +40,8 @@ RANGE, FAN = 1 << 15, 16
 HOT = 1 << 18
 #: A place at which both tokenizers begin a new token, whatever comes before and after.
 _CUT = re.compile(r"(?<![ ▁]) (?=\S)")
+#: Texts that are not simply cut at all their spaces.
+_ODD = re.compile(r" (?=\s|\Z)|▁")
 #: The same in bytes: what follows is visible for sure.
 _CUT_BYTES = re.compile(rb"(?<![ \x81]) (?=[!-~\xc3-\xe0\xe4-\xf4])")
 #: Ids of B fit in this many bits of a pair.
@@ -118,7 +120,7 @@ def _byte_of() -> dict[str, int]:
 class Aligner:
     """Both tokenizers, with a bounded memory of units already aligned."""
 
-    def __init__(self, a: str, b: str, size: int = 200_000):
+    def __init__(self, a: str, b: str, size: int = 400_000):
         import tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -139,15 +141,18 @@ class Aligner:
                 self.bytes_b.append(piece.replace("▁", " ").encode())
         if self.b.get_piece_size() > 1 << _B_BITS or max(self.bytes_a) >= 1 << (32 - _B_BITS):
             raise ValueError("ids too large for a pair of 32 bits")
-        # Two generations: what the younger one lacks is taken over from the elder, which is dropped in time.
+        self.text_a = {i: str(i) for i in self.bytes_a}
+        self.text_b = [str(i) for i in range(len(self.bytes_b))]
+        # Units without their space: numbers of tokens of A and B, groups (none if bytes differ), linked pairs. Two generations: what
+        # the younger one lacks is taken over from the elder, which is dropped in time.
         self.known: dict[str, tuple] = {}
         self.elder: dict[str, tuple] = {}
         self.most = size
 
-    def tokens(self, unit: str) -> tuple[list[int], np.ndarray, list[int], np.ndarray, bool]:
+    def tokens(self, spaced: str) -> tuple[list[int], np.ndarray, list[int], np.ndarray, bool]:
         """Ids and ends in bytes of the tokens of both, for text that begins with a space; whether all bytes are right."""
-        a, b = self.a.encode(unit, add_special_tokens=False).ids, self.b.encode(unit[1:])
-        of_a, of_b, raw = [self.bytes_a.get(i, b"") for i in a], [self.bytes_b[i] for i in b], unit.encode()
+        a, b = self.a.encode(spaced, add_special_tokens=False).ids, self.b.encode(spaced[1:])
+        of_a, of_b, raw = [self.bytes_a.get(i, b"") for i in a], [self.bytes_b[i] for i in b], spaced.encode()
         same = b"".join(of_a) == raw and b"".join(of_b) == raw
         return a, np.cumsum([len(x) for x in of_a]), b, np.cumsum([len(x) for x in of_b]), same
 
@@ -158,7 +163,7 @@ class Aligner:
             return Fragment(differs=True)
         in_a, in_b = (ends_a > low) & (ends_a <= high), (ends_b > low) & (ends_b <= high)
         a, ends_a, b, ends_b = np.array(a, np.int64)[in_a], ends_a[in_a], np.array(b, np.int64)[in_b], ends_b[in_b]
-        common = np.intersect1d(ends_a, ends_b)
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
         cuts_a, cuts_b = np.searchsorted(ends_a, common, "right"), np.searchsorted(ends_b, common, "right")
         linked = (a[cuts_a - 1] << _B_BITS | b[cuts_b - 1]).astype("<u4")
         listed = lambda ids, cuts: [",".join(map(str, part)) for part in np.split(ids, cuts)]
@@ -170,45 +175,75 @@ class Aligner:
         closed = ";".join([f"{x}|{y}" for x, y in zip(of_a[1:-1], of_b[1:-1])])
         return Fragment(True, of_a[0], of_b[0], closed, of_a[-1], of_b[-1], **numbers)
 
-    def _whole(self, unit: str) -> tuple:
-        """A unit's numbers of tokens, groups, linked pairs in order, and whether its bytes differ."""
-        f = self.fragment(unit, 0, len(unit.encode()))
-        pairs = np.repeat(np.frombuffer(f.pairs, "<u4"), np.frombuffer(f.times, "<i8"))
-        return f.n_a, f.n_b, f.groups(), pairs.tobytes(), f.differs
-
-    def _learn(self, unit: str) -> tuple:
-        found = self.elder.get(unit)
-        if found is None:
-            found = self._whole(unit)
-        # The unit at the start of a text may have a blank after its space; elsewhere nothing is cut there.
-        if len(unit) <= 64 and not unit[1:2].isspace():
-            if len(self.known) >= self.most:
-                self.known, self.elder = {}, self.known
-            self.known[unit] = found
-        return found
-
-    def units(self, spaced: str) -> list[tuple]:
-        """What is known of the units of a text that begins with a space."""
-        runs = spaced.split(" ")
-        found = list(map(self.known.get, [" " + r for r in runs[1:]])) if not runs[0] else [None]
-        # An empty run or a blank after a space is never known by itself, so nothing is cut there.
-        if None in found:
-            at = [0, *(m.start() for m in _CUT.finditer(spaced) if m.start()), len(spaced)]
-            found = []
-            for x, y in zip(at, at[1:]):
-                unit = spaced[x:y]
-                found.append(self.known.get(unit) or self._learn(unit))
-        return found
+    def _aligned(self, units: list[str]) -> list[tuple]:
+        """What there is to know of units, which are encoded together: each begins where both tokenizers begin a token."""
+        spaced = "".join([" " + u for u in units])
+        a, ends_a, b, ends_b, same = self.tokens(spaced)
+        if not same:
+            return [x for u in units for x in self._aligned([u])] if len(units) > 1 else [(0, 0, None, b"")]
+        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        cuts_a, cuts_b = np.searchsorted(ends_a, common, "right"), np.searchsorted(ends_b, common, "right")
+        pairs = (np.array(a, np.int64)[cuts_a - 1] << _B_BITS | np.array(b, np.int64)[cuts_b - 1]).astype("<u4").tobytes()
+        text_a, text_b = [self.text_a[i] for i in a], [self.text_b[i] for i in b]
+        groups, x, y = [], 0, 0
+        for to_a, to_b in zip(cuts_a.tolist(), cuts_b.tolist()):
+            groups.append(f"{text_a[x] if to_a - x == 1 else ','.join(text_a[x:to_a])}|{text_b[y] if to_b - y == 1 else ','.join(text_b[y:to_b])}")
+            x, y = to_a, to_b
+        ends = np.cumsum([len(u.encode()) + 1 for u in units])
+        last = np.searchsorted(common, ends, "right").tolist()
+        until_a, until_b = np.searchsorted(ends_a, ends, "right"), np.searchsorted(ends_b, ends, "right")
+        numbers = zip(np.diff(until_a, prepend=0).tolist(), np.diff(until_b, prepend=0).tolist(), [0, *last], last)
+        return [(m, n, ";".join(groups[p:q]), pairs[4 * p : 4 * q]) for m, n, p, q in numbers]
+
+    def _learn(self, units: set[str]) -> dict[str, tuple]:
+        """What is not known yet; kept, but for long units and those that stand nowhere but at the ends of a text."""
+        out, new, alone = {}, [], []
+        for u in units:
+            if u in self.elder:
+                self.known[u] = self.elder[u]
+            elif u[:1].isspace() or u[-1:] in (" ", "▁") or not u:
+                alone.append(u)
+            else:
+                new.append(u)
+        for u in alone:
+            out[u] = self._aligned([u])[0]
+        for i in range(0, len(new), 500):
+            block = new[i : i + 500]
+            for u, found in zip(block, self._aligned(block)):
+                (self.known if len(u) <= 64 else out)[u] = found
+        return out
+
+    def documents(self, texts: list[str]) -> list[Fragment]:
+        """The fragments of whole texts, each of which begins with a space."""
+        if len(self.known) > self.most:
+            self.known, self.elder = {}, self.known
+        cut, missing = [], set()
+        for spaced in texts:
+            units = spaced.split(" ")[1:]
+            if _ODD.search(spaced):
+                at = [0, *(m.start() for m in _CUT.finditer(spaced) if m.start()), len(spaced)]
+                units = [spaced[x + 1 : y] for x, y in zip(at, at[1:])]
+            cut.append(units)
+            missing.update(units)
+        missing = {u for u in missing if u not in self.known}
+        rare = self._learn(missing) if missing else {}
+        out = []
+        for units in cut:
+            found = list(map(self.known.get, units))
+            if None in found:
+                found = [f or rare[u] for f, u in zip(found, units)]
+            n_a, n_b, groups, pairs = zip(*found)
+            if None in groups:
+                out.append(Fragment(differs=True))
+                continue
+            linked = b"".join(pairs)
+            first, _, closed = ";".join(groups).partition(";")
+            pre_a, _, pre_b = first.partition("|")
+            out.append(Fragment(True, pre_a, pre_b, closed, "", "", sum(n_a), sum(n_b), len(linked) // 4, *_counted(linked)))
+        return out
 
     def document(self, spaced: str) -> Fragment:
-        """The fragment of a whole document."""
-        n_a, n_b, groups, pairs, differs = zip(*self.units(spaced))
-        if any(differs):
-            return Fragment(differs=True)
-        joined, (found, times) = ";".join(groups), _counted(b"".join(pairs))
-        first, _, closed = joined.partition(";")
-        pre_a, _, pre_b = first.partition("|")
-        return Fragment(True, pre_a, pre_b, closed, "", "", sum(n_a), sum(n_b), len(b"".join(pairs)) // 4, found, times)
+        return self.documents([spaced])[0]
 
     def part(self, spaced: str, start: int, low: int, high: int) -> Fragment:
         """The fragment of the bytes from ``low`` to ``high`` of a document, of which ``spaced`` is what begins at ``start``."""
@@ -259,12 +294,10 @@ def _whole_documents(a: str, b: str):
         for batch in batches:
             # Some texts at a time: groups are longer than the texts.
             for group in vocab.in_groups(zip(*(batch.column(i) for i in range(3))), lambda r: r[2].as_buffer().size, 1 << 22):
-                rows = []
-                for row, ident, raw in group:
-                    spaced = _read(raw.as_py())
-                    fragment = Fragment() if spaced == " " else Fragment(differs=True) if spaced is None else by.document(spaced)
-                    rows.append((row.as_py(), ident.as_py(), fragment))
-                yield _aligned(rows)
+                texts = [_read(raw.as_py()) for _, _, raw in group]
+                found = iter(by.documents([t for t in texts if t not in (None, " ")]))
+                fragments = [Fragment() if t in (None, " ") else next(found) for t in texts]
+                yield _aligned([(row.as_py(), ident.as_py(), f) for (row, ident, _), f in zip(group, fragments)])
 
     return run
 
