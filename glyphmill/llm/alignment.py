@@ -120,7 +120,7 @@ def _byte_of() -> dict[str, int]:
 class Aligner:
     """Both tokenizers, with a bounded memory of units already aligned."""
 
-    def __init__(self, a: str, b: str, size: int = 400_000):
+    def __init__(self, a: str, b: str, size: int = 250_000):
         import tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -141,20 +141,23 @@ class Aligner:
                 self.bytes_b.append(piece.replace("▁", " ").encode())
         if self.b.get_piece_size() > 1 << _B_BITS or max(self.bytes_a) >= 1 << (32 - _B_BITS):
             raise ValueError("ids too large for a pair of 32 bits")
-        self.text_a = {i: str(i) for i in self.bytes_a}
-        self.text_b = [str(i) for i in range(len(self.bytes_b))]
-        # Units without their space: numbers of tokens of A and B, groups (none if bytes differ), linked pairs. Two generations: what
-        # the younger one lacks is taken over from the elder, which is dropped in time.
-        self.known: dict[str, tuple] = {}
-        self.elder: dict[str, tuple] = {}
+        self.bytes_a = [self.bytes_a.get(i, b"") for i in range(max(self.bytes_a) + 1)]
+        self.length_a, self.length_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (self.bytes_a, self.bytes_b))
+        #: What a token is in the list of groups: its id times 4 plus 0 or 1 for A, 2 or 3 for B, the odd ones last in their group.
+        self.shown = [f"{i}{mark}" for i in range(max(len(self.bytes_a), len(self.bytes_b))) for mark in ",|,;"]
+        # Units without their space, and their tokens so packed in 32 bits each; none if bytes differ. Two generations: what the younger one
+        # lacks is taken over from the elder, which is dropped in time.
+        self.known: dict[str, bytes] = {}
+        self.elder: dict[str, bytes] = {}
         self.most = size
 
-    def tokens(self, spaced: str) -> tuple[list[int], np.ndarray, list[int], np.ndarray, bool]:
+    def tokens(self, spaced: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]:
         """Ids and ends in bytes of the tokens of both, for text that begins with a space; whether all bytes are right."""
         a, b = self.a.encode(spaced, add_special_tokens=False).ids, self.b.encode(spaced[1:])
-        of_a, of_b, raw = [self.bytes_a.get(i, b"") for i in a], [self.bytes_b[i] for i in b], spaced.encode()
-        same = b"".join(of_a) == raw and b"".join(of_b) == raw
-        return a, np.cumsum([len(x) for x in of_a]), b, np.cumsum([len(x) for x in of_b]), same
+        raw = spaced.encode()
+        same = b"".join([self.bytes_a[i] for i in a]) == raw and b"".join([self.bytes_b[i] for i in b]) == raw
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        return a, np.cumsum(self.length_a[a]), b, np.cumsum(self.length_b[b]), same
 
     def fragment(self, unit: str, low: int, high: int) -> Fragment:
         """The fragment of the tokens of ``unit`` that end after byte ``low`` and not after ``high``."""
@@ -162,7 +165,7 @@ class Aligner:
         if not same:
             return Fragment(differs=True)
         in_a, in_b = (ends_a > low) & (ends_a <= high), (ends_b > low) & (ends_b <= high)
-        a, ends_a, b, ends_b = np.array(a, np.int64)[in_a], ends_a[in_a], np.array(b, np.int64)[in_b], ends_b[in_b]
+        a, ends_a, b, ends_b = a[in_a], ends_a[in_a], b[in_b], ends_b[in_b]
         common = np.intersect1d(ends_a, ends_b, assume_unique=True)
         cuts_a, cuts_b = np.searchsorted(ends_a, common, "right"), np.searchsorted(ends_b, common, "right")
         linked = (a[cuts_a - 1] << _B_BITS | b[cuts_b - 1]).astype("<u4")
@@ -175,27 +178,23 @@ class Aligner:
         closed = ";".join([f"{x}|{y}" for x, y in zip(of_a[1:-1], of_b[1:-1])])
         return Fragment(True, of_a[0], of_b[0], closed, of_a[-1], of_b[-1], **numbers)
 
-    def _aligned(self, units: list[str]) -> list[tuple]:
-        """What there is to know of units, which are encoded together: each begins where both tokenizers begin a token."""
-        spaced = "".join([" " + u for u in units])
-        a, ends_a, b, ends_b, same = self.tokens(spaced)
+    def _aligned(self, units: list[str]) -> list[bytes]:
+        """The packed tokens of units, which are encoded together: each begins where both tokenizers begin a token."""
+        a, ends_a, b, ends_b, same = self.tokens("".join([" " + u for u in units]))
         if not same:
-            return [x for u in units for x in self._aligned([u])] if len(units) > 1 else [(0, 0, None, b"")]
+            return [x for u in units for x in self._aligned([u])] if len(units) > 1 else [b""]
         common = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        cuts_a, cuts_b = np.searchsorted(ends_a, common, "right"), np.searchsorted(ends_b, common, "right")
-        pairs = (np.array(a, np.int64)[cuts_a - 1] << _B_BITS | np.array(b, np.int64)[cuts_b - 1]).astype("<u4").tobytes()
-        text_a, text_b = [self.text_a[i] for i in a], [self.text_b[i] for i in b]
-        groups, x, y = [], 0, 0
-        for to_a, to_b in zip(cuts_a.tolist(), cuts_b.tolist()):
-            groups.append(f"{text_a[x] if to_a - x == 1 else ','.join(text_a[x:to_a])}|{text_b[y] if to_b - y == 1 else ','.join(text_b[y:to_b])}")
-            x, y = to_a, to_b
+        of_a, of_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        packed = np.empty(len(a) + len(b), "<u4")
+        # A group's tokens of A stand after those of B in the groups before it, its tokens of B after those of A up to it.
+        packed[np.arange(len(a)) + np.searchsorted(of_b, of_a)] = a * 4 + (common[of_a] == ends_a)
+        packed[np.arange(len(b)) + np.searchsorted(of_a, of_b, "right")] = b * 4 + 2 + (common[of_b] == ends_b)
         ends = np.cumsum([len(u.encode()) + 1 for u in units])
-        last = np.searchsorted(common, ends, "right").tolist()
-        until_a, until_b = np.searchsorted(ends_a, ends, "right"), np.searchsorted(ends_b, ends, "right")
-        numbers = zip(np.diff(until_a, prepend=0).tolist(), np.diff(until_b, prepend=0).tolist(), [0, *last], last)
-        return [(m, n, ";".join(groups[p:q]), pairs[4 * p : 4 * q]) for m, n, p, q in numbers]
+        until = 4 * (np.searchsorted(ends_a, ends, "right") + np.searchsorted(ends_b, ends, "right"))
+        raw, until = packed.tobytes(), until.tolist()
+        return [raw[x:y] for x, y in zip([0, *until], until)]
 
-    def _learn(self, units: set[str]) -> dict[str, tuple]:
+    def _learn(self, units: set[str]) -> dict[str, bytes]:
         """What is not known yet; kept, but for long units and those that stand nowhere but at the ends of a text."""
         out, new, alone = {}, [], []
         for u in units:
@@ -231,17 +230,19 @@ class Aligner:
         for units in cut:
             found = list(map(self.known.get, units))
             if None in found:
-                found = [f or rare[u] for f, u in zip(found, units)]
-            n_a, n_b, groups, pairs = zip(*found)
-            if None in groups:
-                out.append(Fragment(differs=True))
-                continue
-            linked = b"".join(pairs)
-            first, _, closed = ";".join(groups).partition(";")
-            pre_a, _, pre_b = first.partition("|")
-            out.append(Fragment(True, pre_a, pre_b, closed, "", "", sum(n_a), sum(n_b), len(linked) // 4, *_counted(linked)))
+                found = [rare[u] if f is None else f for f, u in zip(found, units)]
+            out.append(Fragment(differs=True) if b"" in found else self._listed(np.frombuffer(b"".join(found), "<u4")))
         return out
 
+    def _listed(self, packed: np.ndarray) -> Fragment:
+        kind = packed & 3
+        shown = "".join([self.shown[x] for x in packed.tolist()])
+        first, _, closed = shown[:-1].partition(";")
+        pre_a, _, pre_b = first.partition("|")
+        ends_a, ends_b = packed[kind == 1] >> 2, packed[kind == 3] >> 2
+        n_a = int((kind < 2).sum())
+        return Fragment(True, pre_a, pre_b, closed, "", "", n_a, len(packed) - n_a, len(ends_a), *_counted((ends_a << _B_BITS | ends_b).tobytes()))
+
     def document(self, spaced: str) -> Fragment:
         return self.documents([spaced])[0]
 
@@ -293,7 +294,7 @@ def _whole_documents(a: str, b: str):
         by = aligner(a, b)
         for batch in batches:
             # Some texts at a time: groups are longer than the texts.
-            for group in vocab.in_groups(zip(*(batch.column(i) for i in range(3))), lambda r: r[2].as_buffer().size, 1 << 22):
+            for group in vocab.in_groups(zip(*(batch.column(i) for i in range(3))), lambda r: r[2].as_buffer().size):
                 texts = [_read(raw.as_py()) for _, _, raw in group]
                 found = iter(by.documents([t for t in texts if t not in (None, " ")]))
                 fragments = [Fragment() if t in (None, " ") else next(found) for t in texts]
