@@ -120,7 +120,7 @@ def _byte_of() -> dict[str, int]:
 class Aligner:
     """Both tokenizers, with a bounded memory of units already aligned."""
 
-    def __init__(self, a: str, b: str, size: int = 250_000):
+    def __init__(self, a: str, b: str, size: int = 150_000):
         import tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -343,18 +343,23 @@ def _fragments(rows: list[tuple[int, int | None, int, Fragment]]) -> pa.RecordBa
     return pa.record_batch([pa.array(c, t) for c, t in zip(columns, [*[pa.int64()] * 3, *_KINDS])], ["row", "ident", "k", *_FIELDS])
 
 
-def _composing(table: pa.Table) -> pa.Table:
+def _composed(table: pa.Table) -> tuple[int, int | None, int, Fragment]:
     """One fragment of up to ``FAN`` neighbours."""
     rows = sorted(table.to_pylist(), key=lambda r: r["k"])
     whole = Fragment()
     for r in rows:
         whole = whole.then(Fragment(**{n: r[n] for n in _FIELDS}))
-    return pa.Table.from_batches([_fragments([(rows[0]["row"], rows[0]["ident"], rows[0]["k"] // FAN, whole)])])
+    return rows[0]["row"], rows[0]["ident"], rows[0]["k"] // FAN, whole
 
 
-def _finishing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield _aligned([(r["row"], r["ident"], Fragment(**{n: r[n] for n in _FIELDS})) for r in batch.to_pylist()])
+def _composing(table: pa.Table) -> pa.Table:
+    return pa.Table.from_batches([_fragments([_composed(table)])])
+
+
+def _finishing(table: pa.Table) -> pa.Table:
+    """The last step of the tree: whole documents."""
+    row, ident, _, whole = _composed(table)
+    return pa.Table.from_batches([_aligned([(row, ident, whole)])])
 
 
 def align(docs: DataFrame, a: str, b: str, ident: str = "doc_id", text: str = "text", size: int = RANGE) -> DataFrame:
@@ -374,11 +379,14 @@ def align(docs: DataFrame, a: str, b: str, ident: str = "doc_id", text: str = "t
     cut = arrow_stage(long, _ranges(size), "row long, ident long, k long, start long, low long, high long, spaced binary")
     level = arrow_stage(cut.repartition("row", "k"), _parts(a, b), f"row long, ident long, k long, {_FRAGMENT}")
     most = docs.agg(F.max(length)).first()[0] or 0
+    if most < size:
+        return whole
     pieces = -(-(most + 1) // size)
-    while pieces > 1:
+    # One Python stage a task at a time, so that no more task processes than cores hold the vocabularies.
+    while pieces > FAN:
         level = level.groupBy("row", F.expr(f"k div {FAN}").alias("_at")).applyInArrow(_composing, level.schema)
         pieces = -(-pieces // FAN)
-    return whole.unionByName(arrow_stage(level, _finishing, _ALIGNED))
+    return whole.unionByName(level.groupBy("row").applyInArrow(_finishing, _ALIGNED))
 
 
 def _exploding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
