@@ -45,6 +45,17 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def watched() -> Iterator[list[str]]:
+    """The scratch folders made in this block, as a list that grows."""
+    made: list[str] = []
+    _watched.append(made)
+    try:
+        yield made
+    finally:
+        _watched.pop()
+
+
 @contextmanager
 def cleaned(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Remove the scratch folders made in this block; what the given function wrote stays."""
