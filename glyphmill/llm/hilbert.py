@@ -80,13 +80,14 @@ def curve_index(codes: list[Column], bits: int = BITS) -> Column:
     return F.aggregate(F.array(*[digit(i) for i in reversed(range(bits))]), start, step, lambda s: s["h"])
 
 
-def shard(docs: DataFrame, values: list[str], sizes: list[str], shards: int, ident: str = "doc_id", bits: int = BITS) -> DataFrame:
-    """All rows of ``docs`` with ``curve_index``, ``shard`` and ``slot``, in files sorted along the curve.
+def places(docs: DataFrame, values: list[str], sizes: list[str], shards: int, ident: str = "doc_id", bits: int = BITS) -> DataFrame:
+    """All rows of ``docs`` with ``curve_index``, ``shard`` and ``slot``, sorted along the curve in a scratch table.
 
     ``values`` are dimensions coded by the order of their distinct values, ``sizes`` are numbers coded by magnitude.
     Shards are runs of the curve whose row counts differ by one at most; ``slot`` counts from 0 in each. Ties are
     ordered by ``ident``. Nulls get the lowest code, repeated rows stay separate, and with fewer rows than shards
-    some shards are empty; columns of ``docs`` with the names of the three new ones are replaced.
+    some shards are empty; an empty table gives none; columns of ``docs`` with the names of the three new ones are replaced. Meant for narrow
+    rows, since all their columns are sorted.
     """
     docs = docs.drop("curve_index", "shard", "slot")
     coded = docs
@@ -102,6 +103,25 @@ def shard(docs: DataFrame, values: list[str], sizes: list[str], shards: int, ide
     return cut.withColumn("slot", (F.col("_rank") - first).cast("long")).drop("_rank")
 
 
+def shard(docs: DataFrame, values: list[str], sizes: list[str | Column], shards: int, ident: str = "doc_id", bits: int = BITS) -> DataFrame:
+    """All rows of ``docs`` with ``curve_index``, ``shard`` and ``slot``, as ``places`` gives them; ``sizes`` may be expressions.
+
+    Only a row's number, id and dimensions are sorted; the rows themselves are moved once, by their number, to meet their place, so
+    partitions are even in bytes whatever their lengths. ``docs`` must be a table or another scan: it is read twice, and rows are told apart by where
+    they stand in it. ``write_shards`` lays them out by shard.
+    """
+    docs = docs.drop("curve_index", "shard", "slot")
+    row = F.monotonically_increasing_id()
+    dimensions = [F.col(c).alias(f"v{i}") for i, c in enumerate(values)] + [(F.col(c) if isinstance(c, str) else c).alias(f"s{i}") for i, c in enumerate(sizes)]
+    narrow = docs.select(row.alias("row"), F.col(ident).alias("ident"), *dimensions)
+    found = places(narrow, [f"v{i}" for i in range(len(values))], [f"s{i}" for i in range(len(sizes))], shards, "ident", bits)
+    # Named apart from whatever columns the rows have, and merged at any size.
+    placed = found.select(F.col("row").alias("_place_row"), F.struct("curve_index", "shard", "slot").alias("_place"))
+    joined = docs.withColumn("_docs_row", row).join(placed.hint("merge"), F.col("_docs_row") == F.col("_place_row"))
+    place = placed["_place"]
+    return joined.select(*[docs[c] for c in docs.columns], *[place[c].alias(c) for c in ("curve_index", "shard", "slot")])
+
+
 def write_shards(sharded: DataFrame, path: str) -> None:
     """One folder per shard, rows in order of the curve, for readers that prune by folder and by row-group statistics."""
     sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.mode("overwrite").partitionBy("shard").parquet(path)

@@ -70,3 +70,12 @@ def test_clashing_columns_and_files(spark, odd, tmp_path):
 def test_native(spark):
     plan = queries.op9_hilbert(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_shard_moves_rows_by_number_and_keeps_their_columns(spark, odd, stored):
+    docs = spark.read.parquet(stored(documents=odd) + "/documents.parquet").withColumns({"size": F.lit("own"), "row": F.lit("r"), "v0": F.lit("v"), "_place": F.lit("p")})
+    out = hilbert.shard(docs, ["source", "lang"], [F.length("text")], 3)
+    rows = out.collect()
+    assert sorted(map(str, out.select(*docs.columns).collect())) == sorted(map(str, docs.collect()))
+    assert sorted((r.shard, r.slot) for r in rows) == sorted((s, i) for s in range(3) for i in range(sum(r.shard == s for r in rows)))
+    assert hilbert.shard(docs.limit(0), ["source"], ["n_chars"], 3).count() == 0
