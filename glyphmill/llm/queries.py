@@ -162,24 +162,21 @@ from placed group by pair_id
 @query
 def op9_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    sized = docs.withColumn("size", F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 16)
-    sharded = hilbert.shard(sized, values=["source", "lang"], sizes=["size"], shards=40)
-    return sharded.select(
-        "doc_id", "size", F.crc32(common.text_bytes(F.col("text"))).alias("text_crc32"), F.lit("rows").alias("law"), "shard", "slot",
-        F.lit(None).cast("int").alias("grown_shard"), "curve_index",
-    )
+    size, crc = F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 16, F.crc32(common.text_bytes(F.col("text")))
+    # Texts are read for their digest only and not moved.
+    rows = hilbert.places(docs.select("doc_id", "source", "lang", size.alias("size"), crc.alias("text_crc32")), values=["source", "lang"], sizes=["size"], shards=40)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve_index")
 
 
 @query
 def op10_min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     sources = F.array("source")
     docs = table(spark, sf_dir, "documents").select(
-        "doc_id", mixing.pattern_key(sources).alias("key"), sources.alias("sources"), mixing.draw(0, F.col("doc_id")).alias("draw"), common.word_count(F.col("text")).alias("size")
+        "doc_id", mixing.pattern_key(sources).alias("key"), sources.alias("sources"), mixing.draw(0, F.col("doc_id"), F.col("text")).alias("draw"), common.word_count(F.col("text")).alias("size")
     )
     sized = materialize(docs, "mix-sizes")
-    cuts, sizes, targets = mixing.plan(sized, mixing.Weights())
-    per_source = spark.createDataFrame([([s], sizes[s], targets[s]) for s in sizes], "sources array<string>, source_size long, target double")
-    per_source = per_source.select(mixing.pattern_key(F.col("sources")).alias("key"), "source_size", "target")
+    cuts, targets = mixing.plan(sized, mixing.Weights())
+    per_source = targets.select(mixing.pattern_key(F.array("source")).alias("key"), "source_size", "target")
     # Written first: the join then knows that its rows are few.
     given = materialize(cuts.join(per_source, "key"), "mix-cuts")
     taken = (F.col("size") * mixing.copies(F.col("draw"), F.struct("whole", "cut"))).cast("long")
@@ -188,7 +185,7 @@ def op10_min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["op10_min_cost_flow"] = r"""
 with sized as (
-    select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, md5('0:' || coalesce(doc_id::varchar, 'null')) as draw from documents
+    select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size, md5('0:' || coalesce(doc_id::varchar, 'text ' || md5(coalesce(text, '')))) as draw from documents
 ), sources as (
     select source, sum(size)::bigint as s, [5, 2, 1][(row_number() over (order by source nulls last) - 1) % 3 + 1]::bigint as w from sized group by source
 ), poured as (

@@ -115,3 +115,32 @@ def test_mix_of_overlapping_sources(spark):
     total = sum(i % 7 + 1 for i in range(600))
     assert max(counts) <= 2 and abs(out.agg(F.sum(word_count(F.col("text")))).first()[0] - total) <= 12
     assert mixing.mix(docs.limit(0), F.col("sources"), word_count(F.col("text")), mixing.Weights()).count() == 0
+
+
+def test_targets_of_many_sources_equal_the_closed_form(spark):
+    rng = random.Random(4)
+    for names in (["a", "b", "é", "z", "\U0001f600", "", None], [f"s{i}" for i in range(200)], ["one"], []):
+        sizes = {s: rng.randrange(0, 1000) for s in names}
+        rows = spark.createDataFrame(list(sizes.items()), "source string, size long")
+        got = {r.source: r.target for r in mixing.source_targets(rows, mixing.Weights(), sum(sizes.values())).collect()}
+        assert got == mixing.Weights().targets(sizes) if sizes else got == {}
+
+
+def test_more_sources_than_the_flow_would_take(spark):
+    """A source a row, and one source that holds many rows: none of them needs the flow."""
+    n = 300_000
+    docs = spark.range(n).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise(F.col("id").cast("string")).alias("source"), F.lit("two words").alias("text"))
+    out = mixing.mix(docs, F.array("source"), word_count(F.col("text")), mixing.Weights())
+    total = out.select(word_count(F.col("text")).alias("n")).agg(F.sum("n")).first()[0]
+    # Targets of single documents are rounded to whole documents.
+    assert out.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 2
+    assert n < total <= 2 * n * 2
+
+
+def test_rows_without_an_id_are_drawn_by_their_text(spark):
+    rows = [(None if i % 2 else i, f"text number {i}", "big" if i % 5 else "small") for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    sizes = {"big": 320 * 3, "small": 80 * 3}
+    taken = {r.source: 3 * r["count"] for r in mixing.mix(docs, F.array("source"), word_count(F.col("text")), mixing.Weights()).groupBy("source").count().collect()}
+    want = mixing.Weights().targets(sizes)
+    assert all(abs(taken[s] - want[s]) <= 3 for s in sizes)
