@@ -1,7 +1,7 @@
 """Removing benchmark text from training documents.
 
 The windows of all benchmark items form a hash set that is sent to the tasks in slices of a fixed number of windows: a benchmark
-within one slice is scanned for in one pass, a larger one in one pass per slice, so a broadcast never outgrows its bound. In
+within one slice is scanned for in one pass, a larger one in one pass per slice, so a broadcast never outgrows its bound, nor do those alive at a time. In
 a task each document's words become numbers of the slice's vocabulary, windows of numbers are hashed all at once, and
 the few whose hash is in the set are confirmed word by word.
 """
@@ -25,6 +25,8 @@ from glyphmill.worker import kept
 WINDOW = 10
 #: Windows that one broadcast holds; some 30 MB of Python objects.
 SLICE = 100_000
+#: Broadcasts that are alive at a time.
+CHAIN = 4
 #: Letters, digits and everything outside ASCII make words; A-Z are lowered first.
 _AS_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _RUN = re.compile(rb"[^ ]+")
@@ -112,7 +114,7 @@ def _scan(broadcast, key: str):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         windows = kept(key, lambda: Windows(broadcast.value))
         for batch in batches:
-            text, spans, items = (batch.column(batch.schema.get_field_index(c)) for c in ("_text", "spans", "item_ids"))
+            text, spans, items = (batch.column(batch.schema.get_field_index(c)) for c in ("_dc_text", "_dc_spans", "_dc_items"))
             all_spans, all_items, counts = [], [], []
             for t, s, i in zip(text, spans, items):
                 words = words_of(t.as_py())
@@ -125,9 +127,9 @@ def _scan(broadcast, key: str):
                     all_spans.append([(x["first"], x["last"]) for x in s.as_py()])
                     all_items.append(i.as_py())
             found = {
-                "n_words": pa.array(counts, pa.int64()),
-                "spans": pa.array([[{"first": a, "last": b} for a, b in s] for s in all_spans], _SPANS),
-                "item_ids": pa.array(all_items, pa.list_(pa.string())),
+                "_dc_words": pa.array(counts, pa.int64()),
+                "_dc_spans": pa.array([[{"first": a, "last": b} for a, b in s] for s in all_spans], _SPANS),
+                "_dc_items": pa.array(all_items, pa.list_(pa.string())),
             }
             names = batch.schema.names
             yield pa.record_batch([found.get(n, batch.column(k)) for k, n in enumerate(names)], names)
@@ -150,33 +152,48 @@ def window_slices(benchmark: DataFrame, ident: str = "item_id", text: str = "tex
         yield {bytes(r["words"]): sorted(r["items"]) + [None] * r["unnamed"] for r in part.toLocalIterator()}
 
 
+def _searched(docs: DataFrame, benchmark: DataFrame, text: str, columns: list[str], slice_size: int = SLICE) -> DataFrame:
+    """``columns`` of ``docs`` with ``_dc_words, _dc_spans, _dc_items``, names apart from those that documents have.
+
+    Every ``CHAIN`` slices what was found is written and their broadcasts are dropped, so a benchmark of any size holds no more at a time.
+    """
+    context = docs.sparkSession.sparkContext
+    nothing = {"_dc_words": F.size(F.array()).cast("long"), "_dc_spans": F.array().cast("array<struct<first:int,last:int>>"), "_dc_items": F.array().cast("array<string>")}
+    out = docs.select(*columns, text_bytes(F.col(text)).alias("_dc_text")).withColumns(nothing)
+    alive = []
+    for windows in window_slices(benchmark, size=slice_size):
+        if len(alive) == CHAIN:
+            out = materialize(out, "searched")
+            while alive:
+                alive.pop().destroy()
+        alive.append(context.broadcast(windows))
+        out = arrow_stage(out, _scan(alive[-1], f"windows:{uuid.uuid4().hex}"), out.schema)
+    if not alive:  # no window to look for: only the words are counted
+        out = arrow_stage(out, _scan(context.broadcast({}), f"windows:{uuid.uuid4().hex}"), out.schema)
+    return out.drop("_dc_text")
+
+
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", keep: list[str] | None = None, slice_size: int = SLICE) -> DataFrame:
     """``docs`` (or the columns ``keep`` of them) with ``n_words``, ``n_hit``, ``spans``, ``item_ids`` and ``unnamed_item``.
 
     ``spans`` are maximal runs of hit words (first and last index), ``item_ids`` the items with a window in the text, in string
     order. Null and empty texts have no words; an item without words has no window, those of an item without an id
-    are hit like others, which ``unnamed_item`` tells in place of ``item_ids``; equal items and repeated rows are each reported; columns of ``docs`` with the new names are replaced. Whole texts are scanned.
+    are hit like others, which ``unnamed_item`` tells in place of ``item_ids``; equal items and repeated rows are each reported; an empty table gives none; columns of ``docs`` with the new names are replaced. Whole texts are scanned.
     """
-    kept_columns = [c for c in (keep or docs.columns) if c not in ("n_words", "n_hit", "spans", "item_ids", "unnamed_item")]
-    nothing = {"n_words": F.size(F.array()).cast("long"), "spans": F.array().cast("array<struct<first:int,last:int>>"), "item_ids": F.array().cast("array<string>")}
-    out = docs.select(*kept_columns, text_bytes(F.col(text)).alias("_text")).withColumns(nothing)
-    slices = 0
-    for windows in window_slices(benchmark, size=slice_size):
-        broadcast = docs.sparkSession.sparkContext.broadcast(windows)
-        out = arrow_stage(out, _scan(broadcast, f"windows:{uuid.uuid4().hex}"), out.schema)
-        slices += 1
-    if not slices:  # no window to look for: only the words are counted
-        broadcast = docs.sparkSession.sparkContext.broadcast({})
-        out = arrow_stage(out, _scan(broadcast, f"windows:{uuid.uuid4().hex}"), out.schema)
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
-    named = F.filter("item_ids", lambda x: x.isNotNull())
-    unnamed = F.exists("item_ids", lambda x: x.isNull())
-    return out.withColumns({"n_hit": n_hit, "item_ids": named, "unnamed_item": F.coalesce(unnamed, F.lit(False))}).drop("_text")
+    columns = [c for c in (keep or docs.columns) if c not in ("n_words", "n_hit", "spans", "item_ids", "unnamed_item")]
+    out = _searched(docs, benchmark, text, columns, slice_size)
+    n_hit = F.aggregate("_dc_spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
+    named = F.filter("_dc_items", lambda x: x.isNotNull())
+    unnamed = F.coalesce(F.exists("_dc_items", lambda x: x.isNull()), F.lit(False))
+    return out.select(*columns, F.col("_dc_words").alias("n_words"), n_hit.alias("n_hit"), F.col("_dc_spans").alias("spans"), named.alias("item_ids"), unnamed.alias("unnamed_item"))
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` without any hit word."""
-    return find(docs, benchmark, text).filter("n_hit = 0").select(*docs.columns)
+    """The rows of ``docs`` without any hit word; their columns, whatever their names, stay as they are.
+
+    Null and empty texts have no words and stay; repeated rows go or stay together; an empty benchmark removes nothing.
+    """
+    return _searched(docs, benchmark, text, docs.columns).filter(F.size("_dc_spans") == 0).select(*docs.columns)
 
 
 def _cut(text: bytes, spans: list[dict]) -> bytes:
@@ -193,7 +210,7 @@ def _cutting(text: str):
         for batch in batches:
             names = batch.schema.names
             columns = dict(zip(names, batch.columns))
-            spans = columns.pop("spans")
+            spans = columns.pop("_dc_spans")
             columns[text] = pa.array(
                 [None if not t.is_valid else _cut(t.as_py().encode(), s.as_py()).decode() if len(s) else t.as_py() for t, s in zip(columns[text], spans)], pa.string()
             )
@@ -203,6 +220,9 @@ def _cutting(text: str):
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """All rows of ``docs``, with the hit words and what stands between them cut out of the text."""
-    found = find(docs, benchmark, text).select(*docs.columns, "spans")
+    """All rows of ``docs``, with the hit words and what stands between them cut out of the text; other columns, whatever their names, stay.
+
+    Null and empty texts stay as they are; repeated rows are cut alike; an empty table gives none.
+    """
+    found = _searched(docs, benchmark, text, docs.columns).select(*docs.columns, "_dc_spans")
     return arrow_stage(found, _cutting(text), docs.schema)

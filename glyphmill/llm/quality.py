@@ -33,14 +33,14 @@ class Bands:
     """How far from its group's median a text may lie.
 
     ``spreads`` times the group's quartile range, which counts as at least ``least_range`` (chars per token, on both sides: a
-    share of the median; entropy, below: bits). Short texts scatter more, so the band of a text with fewer tokens than the
-    group's median widens with the root of their ratio. Groups of under ``least_group`` texts have no band but the fixed ones.
+    share of the median; entropy, below: bits; byte share, above). Short texts scatter more, so the band of a text with fewer tokens than the
+    group's median widens with the root of their ratio. A group of under ``least_group`` texts that pass the base rules says too little about
+    itself and is judged by the bands of all documents.
     """
 
-    spreads: tuple[float, float] = (5.0, 1.75)
-    least_range: tuple[float, float] = (0.02, 0.25)
+    spreads: tuple[float, float, float] = (5.0, 1.75, 5.0)
+    least_range: tuple[float, float, float] = (0.02, 0.25, 0.05)
     least_group: int = 30
-    most_bytes: float = 0.25
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -115,38 +115,51 @@ def measured(docs: DataFrame, vocabulary: str, text: str = "text", keep: list[st
     return arrow_stage(given, _measuring(vocabulary), kinds).withColumn("base_failed", failed)
 
 
-def bands(measures: DataFrame, group: str) -> DataFrame:
-    """Quartiles of each group's texts that pass the base rules: exact counts in narrow bins, so reruns agree.
+#: Measures and token counts in whole bins: exact counts, so reruns agree.
+_BINS = {
+    "c": lambda: F.floor(F.col("chars_per_token") * 100), "h": lambda: F.floor(F.col("entropy") * 50), "b": lambda: F.floor(F.col("byte_share") * 200),
+    "n": lambda: F.floor(F.log2(F.greatest("n_tokens", F.lit(1))) * 20),
+}
 
-    A group's histogram has at most 2,000 bins a measure, whatever the number of its texts.
+
+def bands(measures: DataFrame, group: str, least_group: int) -> DataFrame:
+    """Quartiles of each group's texts that pass the base rules, and of all texts for small groups.
+
+    A group's histogram has as many bins as a measure has values, which the vocabulary bounds, whatever the number of its texts.
     """
-    bins = F.array(
-        F.struct(F.lit("c").alias("m"), F.floor(F.col("chars_per_token") * 100).alias("at")),
-        F.struct(F.lit("h").alias("m"), F.floor(F.col("entropy") * 50).alias("at")),
-        F.struct(F.lit("n").alias("m"), F.floor(F.log2(F.greatest("n_tokens", F.lit(1))) * 20).alias("at")),
-    )
-    cells = measures.filter("not base_failed").select(F.col(group).alias("group"), F.explode(bins).alias("b"))
-    counts = cells.groupBy("group", "b.m", F.least("b.at", F.lit(2000)).alias("at")).agg(F.count("*").alias("n"))
-    whole = W.partitionBy("group", "m")
-    summed = counts.withColumns({"up": F.sum("n").over(whole.orderBy("at")), "all": F.sum("n").over(whole)})
-    quartile = lambda m, k: F.min(F.when((F.col("m") == m) & (4 * F.col("up") >= k * F.col("all")), F.col("at")))
-    return summed.groupBy("group").agg(
-        F.max("all").alias("texts"), *[(quartile(m, k) / d).alias(f"{m}{k}") for m, d in (("c", 100), ("h", 50)) for k in (1, 2, 3)], F.pow(2, quartile("n", 2) / 20).alias("tokens")
-    )
+    bins = F.array(*[F.struct(F.lit(m).alias("m"), at().alias("at")) for m, at in _BINS.items()])
+    # A group whose texts all fail the base rules has no cell, but it has a row here.
+    cells = measures.select(F.col(group).alias("group"), F.explode_outer(F.when(~F.col("base_failed"), bins)).alias("b"))
+    counts = materialize(cells.groupBy("group", "b.m", "b.at").agg(F.count("b").alias("n")), "bins")
+
+    def quartiles(of: DataFrame, *keys: str) -> DataFrame:
+        whole = W.partitionBy(*keys, "m")
+        summed = of.withColumns({"up": F.sum("n").over(whole.orderBy("at")), "all": F.sum("n").over(whole)})
+        quartile = lambda m, k: F.min(F.when((F.col("m") == m) & (4 * F.col("up") >= k * F.col("all")), F.col("at")))
+        return summed.groupBy(*keys).agg(
+            F.max("all").alias("texts"), F.struct(
+                *[(quartile(m, k) / d).alias(f"{m}{k}") for m, d in (("c", 100), ("h", 50), ("b", 200)) for k in (1, 2, 3)], F.pow(2, quartile("n", 2) / 20).alias("tokens")
+            ).alias("band"),
+        )
+
+    found = quartiles(counts, "group")
+    # One row of ten numbers, whatever the table.
+    wide = quartiles(counts.filter("m is not null").groupBy("m", "at").agg(F.sum("n").alias("n"))).first()["band"]
+    of_all = F.struct(*[F.lit(wide[c] if wide else None).cast("double").alias(c) for c in found.schema["band"].dataType.names])
+    return found.select("group", F.when(F.col("texts") >= least_group, F.col("band")).otherwise(of_all).alias("band"))
 
 
 def judged(measures: DataFrame, group: str, rules: Bands = Bands()) -> DataFrame:
     """Adds ``kept`` to written measures: false where a base rule failed or a measure leaves its band."""
-    found = materialize(bands(measures, group), "bands")
-    limits = found.select(F.col("group").alias("_group"), F.struct(*[c for c in found.columns if c != "group"]).alias("_band"))
+    limits = materialize(bands(measures, group, rules.least_group), "bands").select(F.col("group").alias("_group"), F.col("band").alias("_band"))
     band = lambda c: F.col(f"_band.{c}")
     wide = F.greatest(F.lit(1.0), F.sqrt(band("tokens") / F.greatest("n_tokens", F.lit(1))))
     half_c = rules.spreads[0] * wide * F.greatest(band("c3") - band("c1"), rules.least_range[0] * band("c2"))
     half_h = rules.spreads[1] * wide * F.greatest(band("h3") - band("h1"), F.lit(rules.least_range[1]))
-    inside = (F.abs(F.col("chars_per_token") - band("c2")) <= half_c) & (F.col("entropy") >= band("h2") - half_h)
-    fine = (F.col("byte_share") <= rules.most_bytes) & (F.col("_band").isNull() | (band("texts") < rules.least_group) | inside)
+    half_b = rules.spreads[2] * wide * F.greatest(band("b3") - band("b1"), F.lit(rules.least_range[2]))
+    fine = (F.abs(F.col("chars_per_token") - band("c2")) <= half_c) & (F.col("entropy") >= band("h2") - half_h) & (F.col("byte_share") <= band("b2") + half_b)
     joined = measures.join(limits, F.col(group).eqNullSafe(F.col("_group")), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(fine, F.lit(True))).drop("_group", "_band")
+    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(fine, F.lit(False))).drop("_group", "_band")
 
 
 def judge(docs: DataFrame, vocabulary: str, group: str = "lang", rules: Bands = Bands(), text: str = "text", keep: list[str] | None = None) -> DataFrame:

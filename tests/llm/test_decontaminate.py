@@ -105,3 +105,20 @@ def test_items_without_an_id_equal_the_sql(spark, documents, stored):
         con.execute(f"create view {t} as select * from read_parquet('{at.removeprefix('file:')}/{t}.parquet/*.parquet')")
     line, equal = compare(spark, con, "op7_decontamination", at, queries.SQL["op7_decontamination"])
     assert equal, line
+
+
+def test_columns_of_documents_survive(spark):
+    names = ["n_words", "n_hit", "spans", "item_ids", "unnamed_item", "_text", "n_items"]
+    docs = spark.createDataFrame([(1, "x a b c y"), (2, "clean"), (3, None), (4, "")], "doc_id long, text string").withColumns({c: F.lit(f"own {c}") for c in names})
+    items = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
+    for out, texts in ((decontaminate.remove_documents(docs, items), {2: "clean", 3: None, 4: ""}), (decontaminate.remove_spans(docs, items), {1: "x  y", 2: "clean", 3: None, 4: ""})):
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert {r.doc_id: r.text for r in rows} == texts and all(r[c] == f"own {c}" for r in rows for c in names)
+
+
+def test_many_slices_are_written_in_between(spark):
+    items = spark.createDataFrame([(i, f"word{i} tail") for i in range(60)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"x word{i} tail z word{i + 1} tail") for i in range(50)], "doc_id long, text string")
+    got = decontaminate.find(docs, items, slice_size=6).collect()
+    assert all(r.n_hit == 4 and r.item_ids == sorted([str(r.doc_id), str(r.doc_id + 1)]) for r in got) and len(got) == 50

@@ -16,13 +16,13 @@ def sets(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
 
 
-def brute(rows):
+def brute(rows, per_cent=85):
     """``doc_id, n_shingles, component_id, kept`` by comparing all pairs."""
     found = [(d, sets(t)) for d, t in rows]
     group = list(range(len(found)))
     for i, (_, a) in enumerate(found):
         for j, (_, b) in enumerate(found[:i]):
-            if a and b and 100 * len(a & b) >= 85 * len(a | b) and group[i] != group[j]:
+            if a and b and 100 * len(a & b) >= per_cent * len(a | b) and group[i] != group[j]:
                 old, new = group[i], group[j]
                 group = [new if g == old else g for g in group]
     smallest = {}

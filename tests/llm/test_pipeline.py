@@ -21,7 +21,7 @@ def test_each_stage_takes_effect_on_what_the_one_before_kept(spark):
         if name == "quality":
             assert ids == sorted(d for d, t in texts if kept[d].kept) and not any(test_quality.brute(t)[-1] for d, t in texts if d in set(ids))
         elif name == "near-duplicates":
-            assert ids == sorted(r[0] for r in test_near_dups.brute(texts) if r[3]) and len(ids) < len(before)
+            assert ids == sorted(r[0] for r in test_near_dups.brute(texts, corpus_pipeline.NEAR.per_cent) if r[3]) and len(ids) < len(before)
         elif name == "decontamination":
             assert ids == sorted(r[0] for r in test_decontaminate.brute(texts, items) if not r[-1]) and len(ids) < len(before)
         elif name == "mixing":

@@ -79,3 +79,51 @@ def test_bands_reject_text_unlike_its_group(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, kept string").withColumnRenamed("kept", "lang").selectExpr("*", "'old' as kept", "1 as texts")
     got = {r.doc_id: r.kept for r in quality.judge(docs, NAME).collect()}
     assert [d for d, k in sorted(got.items()) if not k] == [1000, 1001]
+
+
+def quartiles(rows):
+    """Of ``(chars_per_token, entropy, byte_share, n_tokens)``: first, second and third of each, on the bins of the histograms."""
+    out = []
+    for at in (lambda r: math.floor(r[0] * 100) / 100, lambda r: math.floor(r[1] * 50) / 50, lambda r: math.floor(r[2] * 200) / 200, lambda r: 2 ** (math.floor(math.log2(max(r[3], 1)) * 20) / 20)):
+        values = sorted(map(at, rows))
+        out.append([next(v for i, v in enumerate(values) if 4 * (i + 1) >= k * len(values)) for k in (1, 2, 3)])
+    return out
+
+
+def verdicts(rows, rules=quality.Bands()):
+    """``(group, base_failed, chars_per_token, entropy, byte_share, n_tokens)`` to kept, row by row."""
+    passing = collections.defaultdict(list)
+    for group, failed, *m in rows:
+        if not failed:
+            passing[group].append(m)
+    everything = [m for ms in passing.values() for m in ms]
+    out = []
+    for group, failed, c, h, b, n in rows:
+        if failed:
+            out.append(False)
+            continue
+        (c1, c2, c3), (h1, h2, h3), (b1, b2, b3), (_, tokens, _) = quartiles(passing[group] if len(passing[group]) >= rules.least_group else everything)
+        wide = max(1.0, math.sqrt(tokens / max(n, 1)))
+        out.append(
+            abs(c - c2) <= rules.spreads[0] * wide * max(c3 - c1, rules.least_range[0] * c2) and h >= h2 - rules.spreads[1] * wide * max(h3 - h1, rules.least_range[1])
+            and b <= b2 + rules.spreads[2] * wide * max(b3 - b1, rules.least_range[2])
+        )
+    return out
+
+
+def test_verdicts_equal_brute_force(spark):
+    got = queries.op3_fertility(spark, "/root/testdata/sf0.01").collect()
+    want = verdicts([(r.lang, r.base_failed, r.chars_per_token, r.entropy, r.byte_share, r.n_tokens) for r in got])
+    assert [r.kept for r in got] == want and 0 < sum(want) < len(want)
+
+
+def test_junk_goes_whatever_the_size_of_its_group(spark):
+    import random
+
+    rng = random.Random(7)
+    plain = lambda n: " ".join("".join(rng.choices(["the", "ing", "er", "on", "an"], k=rng.randrange(1, 4))) for _ in range(n))
+    junk = " ".join(hex(rng.getrandbits(60)) for _ in range(120))
+    for size in (1, 28, 29, 30, 31):
+        rows = [(i, plain(200), "large") for i in range(60)] + [(100 + i, plain(200), "small") for i in range(size)] + [(999, junk, "small")]
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        assert [r.doc_id for r in quality.judge(docs, NAME).filter("not kept").collect()] == [999]
