@@ -48,12 +48,14 @@ _MODIFIERS = (
     r"(?:(?:public|private|protected|internal|static|virtual|override|abstract|sealed|async|extern"
     r"|unsafe|new|partial|readonly|ref|volatile|required|file)\s++)*+"
 )
-_TYPE = rf"(?:[\w.:@]++|{_ROUND})(?:\s*+(?:\?|\*|{_SQUARE}))*+"
+# Letters, digits, joiners and marks of any script, as identifiers have them; \u escapes stand for such.
+_LETTER = r"\p{L}\p{Nl}\p{Nd}\p{Pc}\p{Mn}\p{Mc}\p{Cf}\\@"
+_TYPE = rf"(?:[{_LETTER}.:]++|{_ROUND})(?:\s*+(?:\?|\*|{_SQUARE}))*+"
 _NOT_A_TYPE = (
     r"(?!(?:class|struct|interface|record|enum|namespace|delegate|event|using|return|throw|await|yield"
     r"|else|case|goto|implicit|explicit|operator)\b)"
 )
-_NAME = r"(?!operator\b|this\b)(?:[\w@]++\.)*+[\w@]++"
+_NAME = rf"(?!operator\b|this\b)(?:[{_LETTER}]++\.)*+[{_LETTER}]++"
 _METHOD = rf"^\s*+{_ATTRIBUTES}{_MODIFIERS}{_NOT_A_TYPE}{_TYPE}\s++{_NAME}\s*+{_ROUND}"
 _CLASS = rf"^\s*+{_ATTRIBUTES}{_MODIFIERS}class\b"
 _OTHER_TYPE = rf"^\s*+{_ATTRIBUTES}{_MODIFIERS}(?:struct|interface|record|enum)\b"

@@ -261,3 +261,14 @@ def test_a_long_file_is_packed_into_a_known_number_of_batches(spark):
     text = "namespace N\n{\nclass Long\n{\n" + "".join(kinds[i % 3].format(i) for i in range(240)) + "}\n}\n"
     row = segment(spark.createDataFrame([(text,)], "text string")).select("units", pack_by_chars(F.col("units"), 600).alias("b")).first()
     assert (len(row["units"]), len(row["b"])) == (240, 27)
+
+
+def test_names_of_any_script(spark):
+    names = ["Épée", "Größe", "名前", "Ünï_1", "@event", "\\u0041b", "áx"]
+    units = [f"public void {n}(int a) {{ int x = a; }}" for n in names]
+    text = "class Ärger\n{\n    int y;\n    " + "\n    ".join(units) + "\n    Größe M<Größe>() => null;\n}"
+    from glyphmill.operators.segmenting import segment
+
+    row = segment(spark.createDataFrame([("a", text)], "path string, text string")).first()
+    assert [u.strip() for u in row["units"]] == [*units, "Größe M<Größe>() => null;"]
+    assert "Épée" not in row["skeleton"] and "int y;" in row["skeleton"]
