@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from glyphmill.functions.tokens import CharCounter
 from glyphmill.operators import assembling, inference, reading, requests, retrieval, routing, segmenting
 from glyphmill.plans import jobs
 from glyphmill.plans.profiles import SINGLE_FILE, TWO_FILES, KnownPairs, Profile
-from glyphmill.plans.translation import Translation, requests_for, to_single_file, to_two_files
+from glyphmill.plans.translation import Translation, requests_for, to_each, to_single_file, to_two_files
 from glyphmill.scratch import materialize, scratch_dir
 from glyphmill.sources import files as sink
 from glyphmill.sources import pairs as pair_source
@@ -382,6 +383,41 @@ def batch_infer_errors(spark, sf_dir):
     return _refused(spark, sf_dir).select("doc_id", "response", "error")
 
 
+class Labelled(inference.Provider):
+    """Replies that tell which run gave them; the label is no part of what a reply depends on."""
+
+    def __init__(self, label: str):
+        self.label = label
+
+    def identity(self):
+        return "labelled"
+
+    def reply(self, user, system, history):
+        return f"{self.label}: {user}"
+
+
+@query
+def batch_infer_resumed(spark, sf_dir):
+    """Every other document is asked about, then all of them: the second run asks for the rest only."""
+    store = scratch_dir(spark, "replies")
+    asked = views.documents(spark, sf_dir).select("doc_id", F.col("text").alias("user"))
+    first = inference.ask_resumable(asked.filter("doc_id % 2 = 0"), Labelled("first"), ["doc_id"], store)
+    first.write.format("noop").mode("overwrite").save()
+    return inference.ask_resumable(asked, Labelled("second"), ["doc_id"], store, slice_requests=5_000).select("doc_id", "response", "error")
+
+
+def stall(user, system, history):
+    if system == "slow":
+        time.sleep(6)
+    return echo(user, system, history)
+
+
+@query
+def batch_infer_timeouts(spark, sf_dir):
+    asked = views.documents(spark, sf_dir).select("doc_id", F.col("text").alias("user"), F.when(F.col("doc_id") % 97 == 3, "slow").alias("system"))
+    return inference.ask(asked, inference.FunctionProvider(stall, threads=8, timeout_sec=2), ["doc_id"]).select("doc_id", "response", "error")
+
+
 @query
 def reply_validity(spark, sf_dir):
     blanked = views.replies(spark, sf_dir).select(
@@ -436,6 +472,14 @@ def migrate_two_files(spark, sf_dir):
     return to_two_files(views.sources(spark, sf_dir, busy=True).select("path", "text"), job)
 
 
+@query
+def migrate_mixed(spark, sf_dir):
+    """One, two or no files by strategy, in one pass."""
+    job = _job(TWO_FILE_PROMPTS, extension=".gd", header_extension=".h", implementation_extension=".cpp", camel_case_names=True)
+    strategy = F.when(F.col("doc_id") % 5 == 4, "Nobody").when(F.col("doc_id") % 2 == 0, SINGLE_FILE).otherwise(TWO_FILES)
+    return to_each(views.sources(spark, sf_dir, busy=True).select("path", "text", strategy.alias("strategy")), job)
+
+
 def annotate(user, system, history):
     if len(user) % 5 == 0:
         raise ValueError("no fives")

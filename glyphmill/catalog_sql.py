@@ -383,6 +383,34 @@ select path, 'ok', null, '/out/'||{_DIR}||'/'||{_CAMEL_NAME.format(_STEM)}||'.cp
 from v_text t join whole w on w.doc_id = t.doc_id""",
 )
 
+SQL["migrate_mixed"] = _with(
+    _METHODS, _PIECES,
+    f"""
+replies as (
+  select doc_id, kind, piece_ix, {_strip('''case when kind = 'class_only' then code||chr(10)||'${METHODS}' else code end''')} as h,
+    {_strip("'// body'||chr(10)||code")} as i,
+    {_strip(''''// A.h'||chr(10)||code||chr(10)||case when kind = 'class_only' then '${METHODS}'||chr(10) else '' end||'// A.cpp'||chr(10)||'// body'||chr(10)||code''')} as s from pieces),
+methods as (
+  select doc_id, string_agg(chr(10)||chr(10)||h, '' order by piece_ix) as mh, string_agg(chr(10)||chr(10)||i, '' order by piece_ix) as mi,
+    string_agg(chr(10)||chr(10)||s, '' order by piece_ix) as ms from replies where kind = 'methods_only' group by doc_id),
+whole as (
+  select r.doc_id, case when kind = 'full' then s else replace(s, '${{METHODS}}', coalesce(ms, '')) end as single,
+    case when kind = 'full' then h else replace(h, '${{METHODS}}', coalesce(mh, '')) end as header,
+    case when kind = 'full' then i else i||chr(10)||chr(10)||coalesce(mi, '') end as body
+  from replies r left join methods m on m.doc_id = r.doc_id where kind <> 'methods_only')""",
+    select=f"""
+select path, 'ok' as status, null::varchar as error, '/out/'||{_DIR}||'/'||{_CAMEL_NAME.format(_STEM)}||'.gd' as dest_path, single as content
+from v_text t join whole w on w.doc_id = t.doc_id where t.doc_id%5 <> 4 and t.doc_id%2 = 0
+union all
+select path, 'ok', null, '/out/'||{_DIR}||'/'||{_CAMEL_NAME.format(_STEM)}||'.h', header
+from v_text t join whole w on w.doc_id = t.doc_id where t.doc_id%5 <> 4 and t.doc_id%2 = 1
+union all
+select path, 'ok', null, '/out/'||{_DIR}||'/'||{_CAMEL_NAME.format(_STEM)}||'.cpp', body
+from v_text t join whole w on w.doc_id = t.doc_id where t.doc_id%5 <> 4 and t.doc_id%2 = 1
+union all
+select path, 'failed', 'strategy \'\'Nobody\'\' is not known', null, null from v_text t where t.doc_id%5 = 4""",
+)
+
 SQL["migrate_project"] = """
 with files as (
   select doc_id, 'Assets/'||case doc_id%10 when 0 then 'FooBar'||(doc_id//10) when 1 then 'foo_bar'||(doc_id//10) else 'Doc'||doc_id end||'.cs' as path,
@@ -398,3 +426,7 @@ select path, dest_path, case when place > 1 then 'skipped' when error is null th
   case when error is null then '// Answer with code only.'||chr(10)||text||chr(10)||'// '||(2 * least(n, 2)) end as content
 from outcome, pairs
 """
+
+SQL["batch_infer_resumed"] = "select doc_id, case when doc_id%2 = 0 then 'first: ' else 'second: ' end||text as response, null::varchar as error from documents"
+SQL["batch_infer_timeouts"] = """
+select doc_id, case when doc_id%97 <> 3 then text end as response, case when doc_id%97 = 3 then 'query timed out after 2 s' end as error from documents"""

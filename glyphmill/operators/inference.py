@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from glyphmill.operators.requests import HISTORY, assemble_messages
-from glyphmill.scratch import materialize, ship_package
+from glyphmill.scratch import materialize, scratch_dir, ship_package
 from glyphmill.worker import kept, key_of
 
 MALFORMED = "provider returned a malformed reply"
@@ -192,14 +192,16 @@ def _plain(history) -> list[dict]:
     return [m if isinstance(m, dict) else m.asDict() for m in history]
 
 
-def ask_resumable(requests: DataFrame, provider: Provider, keys: list[str], store: str, *, slice_requests: int = 20_000) -> DataFrame:
+def ask_resumable(requests: DataFrame, provider: Provider, keys: list[str], store: str, *, slice_requests: int | None = None) -> DataFrame:
     """Like ``ask``, with replies kept in a table at ``store``: a rerun asks only for what is missing.
 
     A stored reply counts if the keys, the provider and a hash of the whole request agree. Missing replies are asked for
-    and committed in slices of about ``slice_requests``, so a run that dies keeps all slices before. Errors of a
+    and committed in slices of about ``slice_requests`` (by default what keeps all cores busy for some tasks each), so a run that dies keeps
+    all slices before. Open requests are laid out in a folder for each slice, and a slice reads its own. Errors of a
     provider are stored and asked for again; rows that came with an error are neither asked nor stored.
     """
     spark = requests.sparkSession
+    slice_requests = slice_requests or max(20_000, 4 * spark.sparkContext.defaultParallelism * max(1, provider.requests_per_task))
     digest = F.sha2(F.concat(F.lit(provider.identity()), F.to_json(F.struct("system", "history", "user"))), 256)
     tagged = materialize(_complete(requests).withColumn("request_hash", digest), "requests")
     cols = [*keys, "request_hash"]
@@ -210,12 +212,16 @@ def ask_resumable(requests: DataFrame, provider: Provider, keys: list[str], stor
     spark.createDataFrame([], schema).write.mode("append").parquet(store)
     good = spark.read.schema(schema).parquet(store).filter(F.col("error").isNull())
     missing = tagged.filter(F.col("error").isNull()).join(good.select(*cols), cols, "left_anti")
-    missing = materialize(missing.select(*cols, "user", "system", "history", "error"), "missing")
-    count = missing.count()
-    slices = -(-count // slice_requests)
-    for k in range(slices):
-        part = missing.filter(F.pmod(F.xxhash64(*cols), F.lit(slices)) == k)
-        _spread(part, -(-count // slices), provider, cols).write.mode("append").parquet(store)
+    asked = tagged.filter(F.col("error").isNull()).count()
+    place = F.pmod(F.xxhash64(*cols), F.lit(max(1, -(-asked // slice_requests)))).cast("int")
+    missing = missing.select(*cols, "user", "system", "history", "error")
+    path, layout = scratch_dir(spark, "missing"), missing.schema
+    missing.withColumn("_slice", place).repartition("_slice").write.partitionBy("_slice").parquet(path)
+    laid = spark.read.schema(T.StructType([*layout, T.StructField("_slice", T.IntegerType())])).parquet(path)
+    # One row for each slice that has open requests.
+    for row in laid.groupBy("_slice").agg(F.count(F.lit(1)).alias("n")).orderBy("_slice").collect():
+        part = spark.read.schema(layout).parquet(f"{path}/_slice={row['_slice']}")
+        _spread(part, row["n"], provider, cols).write.mode("append").parquet(store)
     # One row per request, a good reply before an error; the maximum combines before the shuffle.
     best = (
         spark.read.schema(schema).parquet(store)

@@ -84,8 +84,8 @@ def run(
     """Migrate the tree at ``source`` into ``destination``.
 
     Returns ``path, dest_path, status, error``, one row per routed file: ``ok``, ``failed``,
-    or ``skipped`` where another file has the same destination. One bad file never stops
-    the job. Scratch tables are removed at its end, but for the report.
+    or ``skipped`` where another file has the same destination. A source that is no folder is refused, a destination is
+    made where there is none. One bad file never stops the job. Scratch tables are removed at its end, but for the report.
     """
     if isinstance(profile, str):
         profile = load_profile(profile)
@@ -93,7 +93,22 @@ def run(
         return keep(_run(spark, profile, source, destination, provider, counter, embedder, pairs_path, reply_store))
 
 
+def check_source(source: str) -> None:
+    from pyarrow import fs
+
+    system, inner = _filesystem(source)
+    if system.get_file_info(inner).type != fs.FileType.Directory:
+        raise NotADirectoryError(f"source '{source}' is not a folder")
+
+
+def make_destination(destination: str) -> None:
+    system, inner = _filesystem(destination)
+    system.create_dir(inner, recursive=True)
+
+
 def _run(spark, profile, source, destination, provider, counter, embedder, pairs_path, reply_store) -> DataFrame:
+    check_source(source)
+    make_destination(destination)
     missing = [r[0] for r in missing_names(top_level_names(spark, source), REQUIRED_NAMES).collect()]
     if missing:
         raise RuntimeError(f"'{source}' is not a project root: it has no {', '.join(sorted(missing))}")
@@ -144,20 +159,14 @@ def _run(spark, profile, source, destination, provider, counter, embedder, pairs
 
 def run_to_exit_code(spark: SparkSession, profile: str, source: str, destination: str, **settings) -> int:
     """``run`` for scripts: logs the failures' count and returns an exit code."""
-    from pyarrow import fs
-
     try:
         loaded = load_profile(profile)
+        check_source(source)
     except Exception as e:
         log.error("unable to start: %s", e)
         return EX_CONFIG
-    system, inner = _filesystem(source)
-    if system.get_file_info(inner).type != fs.FileType.Directory:
-        log.error("unable to start: source '%s' is not a folder", source)
-        return EX_CONFIG
     try:
-        system, inner = _filesystem(destination)
-        system.create_dir(inner, recursive=True)
+        make_destination(destination)
     except Exception as e:
         log.error("unable to create destination '%s': %s", destination, e)
         return EX_IOERR

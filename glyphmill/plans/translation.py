@@ -71,55 +71,68 @@ def requests_for(sources: DataFrame, job: Translation) -> DataFrame:
     return asked
 
 
-def _replies(sources: DataFrame, job: Translation) -> DataFrame:
+def _replies(sources: DataFrame, job: Translation, keys: list[str] = PIECE_KEYS) -> DataFrame:
     requests = requests_for(sources, job)
     if job.reply_store:
-        return ask_resumable(requests, job.provider, PIECE_KEYS, job.reply_store)
-    return ask(requests, job.provider, PIECE_KEYS)
+        return ask_resumable(requests, job.provider, keys, job.reply_store)
+    return ask(requests, job.provider, keys)
 
 
-def _outputs(gathered: DataFrame, *files: tuple[Column, Column]) -> DataFrame:
+_FILE = "array<struct<dest_path:string,content:string>>"
+
+
+def _files(*files: tuple[Column, Column]) -> Column:
+    return F.array(*[F.struct(d.alias("dest_path"), c.alias("content")) for d, c in files]).cast(_FILE)
+
+
+def _outputs(gathered: DataFrame, files: Column) -> DataFrame:
     """One row per output of a file that went well, one row without content for one that failed."""
     failed = F.col("error").isNotNull()
-    row = "array<struct<dest_path:string,content:string>>"
-    good = F.array(*[F.struct(d.alias("dest_path"), c.alias("content")) for d, c in files]).cast(row)
-    bad = F.array(F.struct(files[0][0].alias("dest_path"), F.lit(None).alias("content"))).cast(row)
-    return gathered.select(
-        "path", F.when(failed, FAILED).otherwise(OK).alias("status"), "error",
-        F.inline_outer(F.when(failed, bad).otherwise(good)),
-    )
+    bad = F.array(F.struct(F.get(files, F.lit(0))["dest_path"].alias("dest_path"), F.lit(None).alias("content"))).cast(_FILE)
+    return gathered.select("path", F.when(failed, FAILED).otherwise(OK).alias("status"), "error", F.inline_outer(F.when(failed, bad).otherwise(files)))
+
+
+def _single(job: Translation) -> Column:
+    """The output of a gathered file whose replies have ``code``."""
+    text = F.when(F.col("_is_full"), F.col("code_full")).otherwise(splice_methods(F.col("code_class"), F.col("code_methods")))
+    return _files((job.destination(job.profile.extension), job.indent(text)))
+
+
+def _header_and_body(job: Translation) -> Column:
+    """The outputs of a gathered file whose replies have ``header`` and ``body``."""
+    full = F.col("_is_full")
+    header = F.when(full, F.col("header_full")).otherwise(splice_methods(F.col("header_class"), F.col("header_methods")))
+    body = F.when(full, F.col("body_full")).otherwise(F.concat(F.col("body_class"), F.lit(SEPARATOR), F.col("body_methods")))
+    return _files((job.destination(job.profile.header_extension), job.indent(header)), (job.destination(job.profile.implementation_extension), job.indent(body)))
 
 
 def to_single_file(sources: DataFrame, job: Translation, extract: Callable[[Column], Column] = T.first_code_block) -> DataFrame:
     """Each source becomes one file: ``path, status, error, dest_path, content``; ``extract`` takes its code from a reply."""
     replies = _replies(sources, job).withColumn("code", extract(F.col("response")))
-    g = gather_replies(replies, ["code"], ["path"])
-    text = F.when(F.col("_is_full"), F.col("code_full")).otherwise(
-        splice_methods(F.col("code_class"), F.col("code_methods"))
-    )
-    return _outputs(g, (job.destination(job.profile.extension), job.indent(text)))
+    return _outputs(gather_replies(replies, ["code"], ["path"]), _single(job))
 
 
 def to_two_files(sources: DataFrame, job: Translation, extract: Callable[[Column], Column] = T.header_and_implementation) -> DataFrame:
     """Each source becomes a header and an implementation file; ``extract`` gives both of a reply, as a struct."""
-    split = extract(F.col("response"))
-    replies = (
-        _replies(sources, job).withColumn("_split", split)
-        .withColumn("header", F.col("_split.header")).withColumn("body", F.col("_split.implementation"))
-    )
-    g = gather_replies(replies, ["header", "body"], ["path"])
-    full = F.col("_is_full")
-    header = F.when(full, F.col("header_full")).otherwise(
-        splice_methods(F.col("header_class"), F.col("header_methods"))
-    )
-    body = F.when(full, F.col("body_full")).otherwise(
-        F.concat(F.col("body_class"), F.lit(SEPARATOR), F.col("body_methods"))
-    )
-    return _outputs(
-        g,
-        (job.destination(job.profile.header_extension), job.indent(header)),
-        (job.destination(job.profile.implementation_extension), job.indent(body)),
-    )
+    replies = _replies(sources, job).withColumn("_split", extract(F.col("response")))
+    replies = replies.withColumn("header", F.col("_split.header")).withColumn("body", F.col("_split.implementation"))
+    return _outputs(gather_replies(replies, ["header", "body"], ["path"]), _header_and_body(job))
+
+
+def to_each(sources: DataFrame, job: Translation) -> DataFrame:
+    """Each source by its ``strategy``, one file or two, in one pass: one read, one round of questions, one gathering.
+
+    A source whose strategy is neither of the two fails without being asked about; other sources are not touched by it.
+    """
+    one, two = F.col("strategy") == SINGLE_FILE, F.col("strategy") == TWO_FILES
+    unknown = F.when(~F.coalesce(one | two, F.lit(False)), F.format_string("strategy '%s' is not known", "strategy"))
+    earlier = F.col("error") if "error" in sources.columns else F.lit(None).cast("string")
+    replies = _replies(sources.withColumn("error", F.coalesce(unknown, earlier)), job, [*PIECE_KEYS, "strategy"])
+    response = F.col("response")
+    replies = replies.withColumns({"code": F.when(one, T.first_code_block(response)), "_split": F.when(two, T.header_and_implementation(response))})
+    replies = replies.withColumns({"header": F.col("_split.header"), "body": F.col("_split.implementation")})
+    gathered = gather_replies(replies, ["code", "header", "body"], ["path", "strategy"])
+    return _outputs(gathered, F.when(one, _single(job)).when(two, _header_and_body(job)))
 
 
 Strategy = Callable[[DataFrame, Translation], DataFrame]
@@ -135,21 +148,20 @@ def main_extension(profile: Profile, strategy: str) -> str:
 
 
 def translate(sources: DataFrame, job: Translation) -> DataFrame:
-    """Every source by the strategy its ``strategy`` column names, one branch per strategy."""
-    parts = []
+    """Every source by the strategy its ``strategy`` column names.
+
+    One strategy is applied to all. Of several, the two built-in ones and unknown names go through one pass; a
+    strategy registered by a caller is a function of its sources, and has a branch of its own.
+    """
     routes = sorted({s for s in job.profile.strategies.values() if s})
-    for name in routes:
-        mine = sources if len(routes) == 1 else sources.filter(F.col("strategy") == name)
-        if name in STRATEGIES:
-            parts.append(STRATEGIES[name](mine.drop("strategy"), job))
-        else:
-            parts.append(
-                mine.select(
-                    "path", F.lit(FAILED).alias("status"), F.lit(f"strategy '{name}' is not known").alias("error"),
-                    F.lit(None).cast("string").alias("dest_path"), F.lit(None).cast("string").alias("content"),
-                )
-            )
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    if len(routes) == 1 and routes[0] in STRATEGIES:
+        return STRATEGIES[routes[0]](sources.drop("strategy"), job)
+    builtin = {SINGLE_FILE: to_single_file, TWO_FILES: to_two_files}
+    own = [name for name in routes if name in STRATEGIES and STRATEGIES[name] is not builtin.get(name)]
+    out = None
+    if len(own) < len(routes):
+        out = to_each(sources.filter(~F.col("strategy").isin(own)) if own else sources, job)
+    for name in own:
+        part = STRATEGIES[name](sources.filter(F.col("strategy") == name).drop("strategy"), job)
+        out = part if out is None else out.unionByName(part)
     return out

@@ -172,3 +172,20 @@ class Chat(Provider):
 def test_a_chat_model_gets_assembled_messages(spark):
     rows = {r["key"]: r["response"] for r in ask(requests(spark, 3), Chat(), ["key"]).collect()}
     assert rows[1] == "system=rules user=before user=q1"
+
+
+def test_a_slice_reads_its_own_part(spark, tmp_path, monkeypatch):
+    from glyphmill.operators import inference
+
+    read, spread = [], inference._spread
+
+    def watching(asked, count, provider, keys):
+        read.append((sorted(asked.inputFiles()), count, asked.count()))
+        return spread(asked, count, provider, keys)
+
+    monkeypatch.setattr(inference, "_spread", watching)
+    got = ask_resumable(requests(spark, 100), FunctionProvider(lambda user, system, history: user), ["key"], str(tmp_path / "r"), slice_requests=10).collect()
+    assert sorted(r["response"] for r in got) == sorted(f"q{i}" for i in range(100))
+    assert len(read) > 3 and sum(n for _, n, _ in read) == 100 and all(n == counted for _, n, counted in read)
+    files = [f for fs, _, _ in read for f in fs]
+    assert len(files) == len(set(files))

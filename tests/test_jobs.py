@@ -226,3 +226,26 @@ def test_a_template_makes_one_flat_prompt_and_extractors_can_be_given(spark):
 def test_known_pairs_need_a_count():
     with pytest.raises(ProfileError):
         from_config({**config(), "known_translations": {"target_engine": "godot"}})
+
+
+def test_several_strategies_read_and_ask_once(spark):
+    from glyphmill.plans.profiles import SINGLE_FILE, TWO_FILES, Profile
+    from glyphmill.plans.translation import Translation, translate
+
+    profile = Profile(
+        prompts={"full": "// A.h\n${CODE}\n// A.cpp\n// body"}, provider=None, extension=".gd", header_extension=".h", implementation_extension=".cpp",
+        strategies={".cs": SINGLE_FILE, ".txt": TWO_FILES, ".x": "Nobody"},
+    )
+    rows = [("/s/a.cs", "one", SINGLE_FILE), ("/s/b.txt", "two", TWO_FILES), ("/s/c.x", "three", "Nobody")]
+    made = translate(spark.createDataFrame(rows, "path string, text string, strategy string"), Translation(profile, "/s", "/out"))
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") <= 1
+    got = {r.dest_path or r.path: (r.status, r.error, r.content) for r in made.collect()}
+    assert got["/out/b.h"] == ("ok", None, "two") and got["/out/b.cpp"] == ("ok", None, "// body")
+    assert got["/out/a.gd"][0] == "ok" and got["/s/c.x"] == ("failed", "strategy 'Nobody' is not known", None) and len(got) == 4
+
+
+def test_run_refuses_a_source_that_is_no_folder(spark, tmp_path):
+    from glyphmill.plans import jobs
+
+    with pytest.raises(NotADirectoryError):
+        jobs.run(spark, "godot", str(tmp_path / "none"), str(tmp_path / "out"))
