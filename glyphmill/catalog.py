@@ -15,7 +15,7 @@ from glyphmill.functions.embedding import TrigramEmbedder
 from glyphmill.functions.packing import pack, pack_by_chars
 from glyphmill.functions.rows import explode_indexed
 from glyphmill.functions.tokens import CharCounter
-from glyphmill.operators import assembling, inference, reading, requests, retrieval, routing, segmenting
+from glyphmill.operators import assembling, inference, reading, requests, retrieval, routing, segmenting, vector_index
 from glyphmill.plans import jobs
 from glyphmill.plans.profiles import SINGLE_FILE, TWO_FILES, KnownPairs, Profile
 from glyphmill.plans.translation import Translation, requests_for, to_each, to_single_file, to_two_files
@@ -336,6 +336,25 @@ def knn_in_blocks(spark, sf_dir):
     return _neighbours(spark, sf_dir, max_local_bytes=0)
 
 
+@query
+def knn_ivf(spark, sf_dir):
+    """Neighbours by an inverted file over every row, for the ids divisible by 100, held against the exact ones.
+
+    ``exact`` says whether a neighbour is among the exact ones, ``recall`` how many of all are; ``compared`` of ``pairs`` were measured.
+    """
+    vectors = views.table(spark, sf_dir, "embeddings")
+    asked = vectors.filter(F.col("vec_id") % 100 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    known = vectors.select(F.col("vec_id").alias("known_id"), F.col("embedding").alias("vec"))
+    found, compared = vector_index.build(known, k=NEIGHBOURS).search(asked, NEIGHBOURS)
+    exact = materialize(retrieval.nearest(asked, known, NEIGHBOURS).select("query_id", "known_id", F.lit(True).alias("exact")), "exact")
+    judged = materialize(found.join(exact, ["query_id", "known_id"], "left").fillna(False, ["exact"]), "judged")
+    recall = judged.filter("exact").count() / max(1, exact.count())
+    return judged.select(
+        "query_id", "rank", "known_id", F.round("distance", 6).alias("distance"), "exact", F.lit(recall).alias("recall"),
+        F.lit(compared).cast("long").alias("compared"), F.lit(asked.count() * known.count()).cast("long").alias("pairs"),
+    )
+
+
 @query
 def rag_requests(spark, sf_dir):
     """Every document as a request with its nearest known pairs before it."""
