@@ -20,6 +20,7 @@ from glyphmill.plans import jobs
 from glyphmill.plans.profiles import SINGLE_FILE, TWO_FILES, KnownPairs, Profile
 from glyphmill.plans.translation import Translation, requests_for, to_each, to_single_file, to_two_files
 from glyphmill.scratch import materialize, scratch_dir
+from glyphmill.sources import committed
 from glyphmill.sources import files as sink
 from glyphmill.sources import pairs as pair_source
 from glyphmill.sources import tree
@@ -70,6 +71,16 @@ def corpus_scan(spark, sf_dir):
     return listed.select("rel_path", paths.extension(F.col("rel_path")).alias("ext"), "length")
 
 
+@query
+def corpus_scan_pruned(spark, sf_dir):
+    """Documents as a tree with folders that are ignored, of which nothing is opened."""
+    seventh = F.col("doc_id") % 7
+    top = F.when(seventh == 0, "Library/").when(seventh == 1, "LibraryCache/").when(seventh == 2, "Assets/Library/").otherwise("Assets/")
+    path = F.concat(top, F.col("source"), F.lit("/"), F.col("doc_id"), F.lit(".cs"))
+    tree_of = views.documents(spark, sf_dir, busy=True).select(path.alias("dest_path"), F.col("text").alias("content"))
+    return tree.list_tree(spark, _written_tree(spark, tree_of, "pruned"), ignored=["Library", "Packages"]).select("rel_path", "length")
+
+
 @query
 def layout_check(spark, sf_dir):
     found = views.documents(spark, sf_dir).select(F.col("lang").alias("name")).distinct()
@@ -122,6 +133,21 @@ def file_sink(spark, sf_dir):
     return read.select(doc_id.alias("doc_id"), "rel_path", "length", "text")
 
 
+@query
+def file_sink_committed(spark, sf_dir):
+    """Two files for each document, both or neither: every 17th has only one that can be written."""
+    root = scratch_dir(spark, "committed")
+    at = F.concat(F.lit(root + "/"), "source", F.lit("/"), "doc_id")
+    pair = F.array(
+        F.struct(F.concat(at, F.lit(".h")).alias("dest_path"), F.col("source").alias("content")),
+        F.struct(F.concat(at, F.lit(".cpp")).alias("dest_path"), F.when(F.col("doc_id") % 17 != 0, F.col("text")).alias("content")),
+    )
+    out = views.documents(spark, sf_dir, busy=True).select(F.col("doc_id").cast("string").alias("unit"), F.explode(pair).alias("f"))
+    report = committed.write_together(out.select("unit", "f.*"), root)
+    failed = report.filter("error is not null").select(F.concat("unit", F.lit(" failed")).alias("rel_path"), F.lit(0).cast("long").alias("length"))
+    return tree.list_tree(spark, root).select("rel_path", "length").unionByName(failed.distinct())
+
+
 # --- filters, routes, names -----------------------------------------------
 
 

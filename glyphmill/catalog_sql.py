@@ -192,6 +192,13 @@ SQL: dict[str, str] = {
 select 'Assets/'||source||case when doc_id%13=0 then '/.cache/' else '/' end||'Doc.v'||doc_id||case when doc_id%11=0 then '' else '.cs' end as rel_path,
   case when doc_id%11=0 then '.v'||doc_id else '.cs' end as ext,
   case when doc_id%50=0 then 0 else strlen(text) end as length from documents""",
+    "corpus_scan_pruned": """
+select case when doc_id%7=2 then 'Assets/Library/' else 'Assets/' end||source||'/'||doc_id||'.cs' as rel_path, strlen(text) as length
+from documents where doc_id%7 not in (0, 1)""",
+    "file_sink_committed": """
+select source||'/'||doc_id||'.h' as rel_path, strlen(source) as length from documents where doc_id%17<>0
+union all select source||'/'||doc_id||'.cpp', strlen(text) from documents where doc_id%17<>0
+union all select doc_id||' failed', 0 from documents where doc_id%17=0""",
     "layout_check": """
 select name from (values ('en'), ('fr'), ('xx')) t(name) where name not in (select lang from documents)""",
     "read_text_normalized": """

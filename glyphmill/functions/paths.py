@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,6 +40,12 @@ def relative(path: Column, root: str) -> Column:
     return F.substr(path, F.lit(skip + 1))
 
 
+def ignored(folder: Column, root: str, names: list[str]) -> Column:
+    """Whether a folder's path starts with an ignored location, as raw text: ``Library`` also stands for ``LibraryX``."""
+    prefix = "/" if clean_root(root) == "/" else clean_root(root) + "/"
+    return reduce(lambda a, b: a | b, [folder.startswith(prefix + name) for name in names])
+
+
 def destination_path(
     path: Column,
     source_root: str,

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,10 +21,7 @@ def ignore_locations(files: DataFrame, root: str, ignored: list[str] | None, pat
     """
     if not ignored:
         return files
-    folder = paths.directory(F.col(path))
-    prefix = "/" if paths.clean_root(root) == "/" else paths.clean_root(root) + "/"
-    hit = reduce(lambda a, b: a | b, [folder.startswith(prefix + name) for name in ignored])
-    return files.filter(~hit)
+    return files.filter(~paths.ignored(paths.directory(F.col(path)), root, ignored))
 
 
 def route_by_extension(files: DataFrame, strategies: dict[str, str | None], path: str = "path") -> DataFrame:

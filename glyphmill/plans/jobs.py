@@ -11,7 +11,7 @@ from glyphmill.functions.embedding import Embedder, SentenceModelEmbedder
 from glyphmill.functions.tokens import CharCounter, TiktokenCounter, TokenizerFileCounter
 from glyphmill.operators.inference import IdentityProvider, Provider
 from glyphmill.operators.reading import FAILED, SKIPPED, decode_text
-from glyphmill.operators.routing import ignore_locations, mark_collisions, missing_names, route_by_extension
+from glyphmill.operators.routing import mark_collisions, missing_names, route_by_extension
 from glyphmill.plans.profiles import PAIRS_BY_ENGINE, Profile, ProfileError, load_profile
 from glyphmill.plans.translation import Translation, main_extension, translate
 from glyphmill.scratch import cleaned, materialize
@@ -125,8 +125,8 @@ def _run(spark, profile, source, destination, provider, counter, embedder, pairs
         job.embedder = embedder or SentenceModelEmbedder(profile.known.embedding)
 
     found, routed = Observation(), Observation()
-    listed = list_tree(spark, source).observe(found, F.count(F.lit(1)).alias("n"))
-    files = route_by_extension(ignore_locations(listed, source, profile.ignore), profile.strategies)
+    listed = list_tree(spark, source, ignored=profile.ignore).observe(found, F.count(F.lit(1)).alias("n"))
+    files = route_by_extension(listed, profile.strategies)
     dest = F.lit(None).cast("string")
     for name in {s for s in profile.strategies.values() if s}:
         dest = F.when(F.col("strategy") == name, job.destination(main_extension(profile, name))).otherwise(dest)

@@ -73,9 +73,12 @@ def _list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     break
 
 
-def list_tree(spark: SparkSession, root: str, *, folders_per_task: int = 32) -> DataFrame:
+def list_tree(spark: SparkSession, root: str, *, ignored: list[str] | None = None, folders_per_task: int = 32) -> DataFrame:
     """Every file at any depth: ``path, rel_path, length``, hidden and empty ones included.
 
+    ``ignored`` locations are left out as ``paths.ignored`` defines them, and a folder that lies in one is never opened: the filter
+    stands between the levels.
+
     Links that lead nowhere are left out. A folder that cannot be listed, or is gone by then, is
     logged with its error and has no files; the others are listed all the same.
 
@@ -93,11 +96,15 @@ def list_tree(spark: SparkSession, root: str, *, folders_per_task: int = 32) ->
         spread.mapInPandas(_list_folders, _LISTED).write.parquet(f"{out}/depth={depth}")
         level = spark.read.schema(_LISTED).parquet(f"{out}/depth={depth}")
         folders = level.filter("is_dir").select("path")
+        if ignored:  # what is below such a folder begins with its path, too
+            folders = folders.filter(~paths.ignored(F.col("path"), root, ignored))
         count, depth = folders.count(), depth + 1
     listed = spark.read.schema(_LISTED).parquet(*[f"{out}/depth={d}" for d in range(depth)])
     for row in listed.filter("error is not null").limit(20).collect():  # a report; the rows are in the listing
         log.warning("'%s': %s", row["path"], row["error"])
     files = listed.filter("not is_dir")
+    if ignored:
+        files = files.filter(~paths.ignored(paths.directory(F.col("path")), root, ignored))
     return files.select("path", paths.relative(F.col("path"), root).alias("rel_path"), "length")
 
 
