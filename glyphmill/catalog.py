@@ -24,6 +24,7 @@ from glyphmill.sources import committed
 from glyphmill.sources import files as sink
 from glyphmill.sources import pairs as pair_source
 from glyphmill.sources import tree
+from glyphmill.sources.keyed import KeyedTable, embed_stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -121,6 +122,17 @@ def known_pairs_upsert(spark, sf_dir):
     ).withColumn("id", F.col("id").cast("string"))
 
 
+@query
+def known_pairs_merged(spark, sf_dir):
+    """A stored table of pairs after three rounds: all, those of the opposite direction, and a few of the first ones changed."""
+    table = KeyedTable(spark, scratch_dir(spark, "stored-pairs"), "id long, source string, target string", "id", buckets=16)
+    asked = materialize(_numbered_pairs(spark, sf_dir), "asked")
+    table.merge(asked)
+    table.merge(_numbered_pairs(spark, sf_dir, "assistant", "user"))
+    table.merge(asked.filter("id % 50 = 0").withColumn("target", F.concat("target", F.lit("!"))))
+    return table.rows().withColumn("id", F.col("id").cast("string"))
+
+
 @query
 def file_sink(spark, sf_dir):
     """One file per document, read back as bytes."""
@@ -341,6 +353,17 @@ def embed_text(spark, sf_dir):
     )
 
 
+@query
+def embed_text_stored(spark, sf_dir):
+    """The same vectors from a store that a first run has filled; ``embedded`` counts the texts that the second one embeds."""
+    docs, store = views.documents(spark, sf_dir).select("doc_id", "text"), scratch_dir(spark, "vectors")
+    embed_stored(docs, TrigramEmbedder(), store)
+    vectors, embedded = embed_stored(docs, TrigramEmbedder(), store)
+    return explode_indexed(vectors, ["doc_id"], "vec", "bucket", "w").select(
+        "doc_id", "bucket", F.round("w", 9).alias("weight"), F.lit(embedded).cast("long").alias("embedded")
+    )
+
+
 def _neighbours(spark, sf_dir, **how):
     vectors = views.table(spark, sf_dir, "embeddings")
     hits = retrieval.nearest(

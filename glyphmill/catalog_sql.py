@@ -211,6 +211,12 @@ select doc_id, case when doc_id%50=0 or doc_id%17=0 then 'failed' else 'ok' end
         select="""
 select coalesce(b.id, p.id)::varchar as id, coalesce(b.source, p.source) as source, coalesce(b.target, p.target) as target
 from v_pairs p full join v_back b on b.id = p.id""",
+    ),
+    "known_pairs_merged": _with(
+        _pairs(), _pairs("v_back", "assistant", "user"),
+        select="""
+select coalesce(b.id, p.id)::varchar as id, coalesce(c.source, b.source, p.source) as source, coalesce(c.target||'!', b.target, p.target) as target
+from v_pairs p full join v_back b on b.id = p.id left join v_pairs c on c.id = p.id and c.id % 50 = 0""",
     ),
     "file_sink": """
 select doc_id, source||'/'||doc_id||'.txt' as rel_path, strlen(text) as length, text from documents""",
@@ -296,6 +302,10 @@ select conv_id, turn, case when conv_id%2=0 then '[INST]Remember these rules:'||
         _pairs(), _TRIGRAMS,
         select="select doc_id, bucket::int as bucket, round(w, 9) as weight from dense where o = 'd'",
     ),
+    "embed_text_stored": _with(
+        _pairs(), _TRIGRAMS,
+        select="select doc_id, bucket::int as bucket, round(w, 9) as weight, 0::bigint as embedded from dense where o = 'd'",
+    ),
     "knn_exact": _KNN,
     "knn_in_blocks": _KNN,
     "rag_requests": _with(
