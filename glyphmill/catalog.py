@@ -14,7 +14,7 @@ from glyphmill.functions import text as T
 from glyphmill.functions.embedding import TrigramEmbedder
 from glyphmill.functions.packing import pack, pack_by_chars
 from glyphmill.functions.rows import explode_indexed
-from glyphmill.functions.tokens import CharCounter
+from glyphmill.functions.tokens import CharCounter, RunCounter
 from glyphmill.operators import assembling, inference, reading, requests, retrieval, routing, segmenting, vector_index
 from glyphmill.plans import jobs
 from glyphmill.plans.profiles import SINGLE_FILE, TWO_FILES, KnownPairs, Profile
@@ -32,6 +32,7 @@ QUERIES: dict[str, Query] = {}
 # Parameters of the queries; the SQL in catalog_sql.py uses the same values.
 LIMIT = 1000
 WHOLE_LIMIT = 2000
+RUN_LIMIT = 200
 NEIGHBOURS = 5
 EXAMPLES = 2
 SYSTEM = "Answer with code only."
@@ -254,6 +255,14 @@ def token_count(spark, sf_dir):
     return views.documents(spark, sf_dir).select("doc_id", CharCounter().count(F.col("text")).alias("n_tokens"))
 
 
+@query
+def token_count_words(spark, sf_dir):
+    """Runs of characters of a kind, and what a text adds behind a blank line."""
+    runs, text = RunCounter(), F.col("text")
+    after = runs.joined(runs.summary(F.lit("\n\n")), runs.summary(text))
+    return views.documents(spark, sf_dir).select("doc_id", runs.count(text).alias("n_tokens"), after["n"].alias("n_after_break"))
+
+
 @query
 def budget_split(spark, sf_dir):
     n = CharCounter().count(F.col("text"))
@@ -293,6 +302,13 @@ def pack_units_nonempty(spark, sf_dir):
     return explode_indexed(views.documents(spark, sf_dir), ["doc_id"], batches, "batch_ix", "text")
 
 
+@query
+def pack_units_counted(spark, sf_dir):
+    """Batches under a number of runs, which joining can merge."""
+    batches = pack(views.lines(F.col("text")), RunCounter(), RUN_LIMIT)
+    return explode_indexed(views.documents(spark, sf_dir), ["doc_id"], batches, "batch_ix", "text")
+
+
 @query
 def request_union(spark, sf_dir):
     """Whole files and cut ones as one table of pieces, from one pass."""
@@ -404,20 +420,30 @@ def knn_ivf(spark, sf_dir):
     )
 
 
-@query
-def rag_requests(spark, sf_dir):
-    """Every document as a request with its nearest known pairs before it."""
+def _rag_requests(spark, sf_dir, **how):
     profile = Profile(
         prompts={**PROMPTS, "system": SYSTEM}, provider=None,
         known=KnownPairs(None, None, EXAMPLES, USER_REQUEST, ASSISTANT_RESPONSE),
     )
-    job = Translation(profile, "/", "/out", known=_numbered_pairs(spark, sf_dir))
+    job = Translation(profile, "/", "/out", known=_numbered_pairs(spark, sf_dir), **how)
     docs = views.documents(spark, sf_dir, busy=True).select(F.col("doc_id").cast("string").alias("path"), "text")
     asked = requests_for(docs, job)
     chat = requests.assemble_messages(F.col("user"), F.col("system"), F.col("history"))
     return _messages(asked.withColumn("doc_id", F.col("path").cast("long")), ["doc_id"], chat)
 
 
+@query
+def rag_requests(spark, sf_dir):
+    """Every document as a request with its nearest known pairs before it."""
+    return _rag_requests(spark, sf_dir)
+
+
+@query
+def rag_requests_large(spark, sf_dir):
+    """The same requests by the way taken when the known pairs are too large to send."""
+    return _rag_requests(spark, sf_dir, max_local_bytes=0)
+
+
 # --- inference ------------------------------------------------------------
 
 

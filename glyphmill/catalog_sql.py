@@ -64,16 +64,20 @@ def _pairs(name="v_pairs", asked="user", answered="assistant"):
 """
 
 
-def _packed(units: str, limit: int) -> str:
+def _runs(text: str) -> str:
+    return f"len(regexp_extract_all({text}, '[ \\t\\n\\r]+|[0-9A-Za-z]+|[^ \\t\\n\\r0-9A-Za-z]+'))"
+
+
+def _packed(units: str, limit: int, size: str = "length(w.cur) + 2 + length(u.text)") -> str:
     """Greedy packing of ``units(doc_id, unit_ix, text)`` as a walk from unit to unit."""
     return f"""
 walk as (
   select distinct doc_id, 0::bigint as pos, ''::varchar as cur, null::varchar as sent, 0::bigint as batch_ix from {units}
   union all
   select w.doc_id, w.pos + 1,
-    case when length(w.cur) + 2 + length(u.text) < {limit} then w.cur||chr(10)||chr(10)||u.text else u.text end,
-    case when length(w.cur) + 2 + length(u.text) < {limit} then null else w.cur end,
-    case when length(w.cur) + 2 + length(u.text) < {limit} then w.batch_ix else w.batch_ix + 1 end
+    case when {size} < {limit} then w.cur||chr(10)||chr(10)||u.text else u.text end,
+    case when {size} < {limit} then null else w.cur end,
+    case when {size} < {limit} then w.batch_ix else w.batch_ix + 1 end
   from walk w join {units} u on u.doc_id = w.doc_id and u.unit_ix = w.pos),
 packed as (
   select doc_id, batch_ix - 1 as batch_ix, sent as text from walk where sent is not null
@@ -268,6 +272,8 @@ select e.doc_id, {_strip("case when header = '' and body = '' then reply else he
 from ended e join v_replies r on r.doc_id = e.doc_id""",
     ),
     "token_count": "select doc_id, length(text)::bigint as n_tokens from documents",
+    "token_count_words": f"""
+select doc_id, {_runs("text")}::bigint as n_tokens, {_runs("chr(10)||chr(10)||text")}::bigint as n_after_break from documents""",
     "budget_split": """
 select doc_id, length(text)::bigint as n_tokens, case when length(text) < 2000 then 'whole' else 'segmented' end as way from documents""",
     "segment_units": _with(
@@ -351,6 +357,11 @@ units as (
 SQL["pack_units"] = _with(
     _DOC_UNITS, _packed("units", 1000), select="select doc_id, batch_ix::int as batch_ix, text from packed"
 )
+SQL["rag_requests_large"] = SQL["rag_requests"]
+SQL["pack_units_counted"] = _with(
+    _DOC_UNITS, _packed("units", 200, _runs("w.cur||chr(10)||chr(10)||u.text")),
+    select="select doc_id, batch_ix::int as batch_ix, text from packed",
+)
 SQL["pack_units_nonempty"] = _with(
     _DOC_UNITS, _packed("units", 1000),
     select="""

@@ -64,6 +64,44 @@ def pack_by_chars(units: Column, limit: int) -> Column:
     return let(units, batches)
 
 
+def pack_by_summary(units: Column, counter, limit: int) -> Column:
+    """The same packing for counters whose ``summary`` of a text says what joining adds to it or merges."""
+    kind = "struct<n:bigint,head:int,tail:int>"
+    nothing = counter.summary(F.lit("")).cast(kind)
+    zero = F.struct(
+        F.lit(0).alias("first"), F.lit(0).alias("n"), nothing.alias("size"), F.array().cast(f"array<{_RANGE}>").alias("out")
+    )
+    between = counter.summary(F.lit(SEPARATOR))
+
+    def range_of(s: Column) -> Column:
+        return F.array(F.struct(s["first"].alias("first"), s["n"].alias("n")))
+
+    def step(s: Column, unit: Column, _: Column) -> Column:
+        def chosen(grown: Column) -> Column:
+            joins = F.struct(s["first"].alias("first"), (s["n"] + 1).alias("n"), grown.alias("size"), s["out"].alias("out"))
+            starts = F.struct(
+                (s["first"] + s["n"]).alias("first"), F.lit(1).alias("n"), unit.alias("size"), F.concat(s["out"], range_of(s)).alias("out")
+            )
+            return F.when(grown["n"] < limit, joins).otherwise(starts)
+
+        after = lambda held: counter.joined(held, unit).cast(kind)
+        return let(let(counter.joined(s["size"], between).cast(kind), after), chosen)
+
+    def batches(units: Column) -> Column:
+        def text(r: Column, ix: Column) -> Column:
+            body = F.array_join(take(units, r["first"], r["n"]), SEPARATOR)
+            return F.when((ix == 0) & (r["n"] > 0), F.concat(F.lit(SEPARATOR), body)).otherwise(body)
+
+        sized = F.transform(units, lambda u: counter.summary(u).cast(kind))
+        ranges = let(
+            fold(sized, zero, ["first", "n", "size"], step),
+            lambda s: F.when(s["size"]["n"] > 0, F.concat(s["out"], range_of(s))).otherwise(s["out"]),
+        )
+        return F.transform(ranges, text)
+
+    return let(units, batches)
+
+
 def counted_ranges(texts: list[str], count, limit: int) -> list[tuple[int, int]]:
     """Index ranges of the batches of ``texts`` for any counter that does not shrink as text is added.
 
@@ -124,6 +162,8 @@ def pack(units: Column, counter, limit: int | None, drop_empty: bool = False) ->
         limit = 1 << 62
     if counter.additive:
         batches = pack_by_chars(units, limit)
+    elif hasattr(counter, "joined"):
+        batches = pack_by_summary(units, counter, limit)
     else:
         batches = pack_by_counter(units, counter, limit)
     return F.filter(batches, lambda b: b != "") if drop_empty else batches

@@ -228,6 +228,23 @@ def _examples_local(spark, vectors: DataFrame, embedder: Embedder, k: int):
     return examples
 
 
+def salted(hits: DataFrame, texts: DataFrame, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``salt``, so that no ``known_id`` and ``salt`` has many more than 1 in ``parts`` of all ``hits``.
+
+    An example near everything has as many copies of its text as its hits need; there are ``parts`` such examples
+    at most, which are sent to the tasks by id. All others have one text. ``hits`` is read twice.
+    """
+    spark = hits.sparkSession
+    parts = parts or 4 * max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    share = max(1, -(-hits.count() // parts))
+    counts = hits.groupBy("known_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > share)
+    hot = F.broadcast(materialize(counts.select("known_id", F.ceil(F.col("_n") / share).alias("_copies")), "hot-examples"))
+    copies = F.coalesce("_copies", F.lit(1).cast("long"))
+    spread = hits.join(hot, "known_id", "left").withColumn("salt", F.pmod(F.xxhash64("query_id"), copies)).drop("_copies")
+    repeated = texts.join(hot, "known_id", "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), copies - 1))).drop("_copies")
+    return spread, repeated
+
+
 def _attach_by_join(pieces, vectors, embedder, k, user_request, assistant_response, code, max_local_bytes):
     """The way for a known side too large to send: nearest in blocks, then equi-joins."""
     vectors = vectors.withColumn("id", F.col("id").cast("long"))
@@ -238,8 +255,9 @@ def _attach_by_join(pieces, vectors, embedder, k, user_request, assistant_respon
         embedder,
     ).select("query_id", "vec")
     hits = nearest(queries, vectors.select(F.col("id").alias("known_id"), "vec"), k, max_local_bytes=max_local_bytes)
+    hits, texts = salted(materialize(hits, "hits"), vectors.select(F.col("id").alias("known_id"), "source", "target"))
     histories = (
-        hits.join(vectors.select(F.col("id").alias("known_id"), "source", "target"), "known_id")
+        hits.join(texts.hint("merge"), ["known_id", "salt"])
         .groupBy(F.col("query_id").alias("_piece"))
         .agg(F.array_sort(F.collect_list(F.struct("rank", "source", "target"))).alias("_examples"))  # k rows
     )

@@ -17,7 +17,7 @@ from glyphmill.operators.assembling import gather_replies, splice_methods
 from glyphmill.operators.inference import IdentityProvider, Provider, ask, ask_resumable
 from glyphmill.operators.reading import FAILED, OK
 from glyphmill.operators.requests import HISTORY, flatten_messages, render_prompt
-from glyphmill.operators.retrieval import attach_history
+from glyphmill.operators.retrieval import MAX_LOCAL_BYTES, attach_history
 from glyphmill.operators.segmenting import plan_pieces
 from glyphmill.plans.profiles import SINGLE_FILE, TWO_FILES, Profile
 
@@ -36,6 +36,8 @@ class Translation:
     known: DataFrame | None = None
     embedder: Embedder = field(default_factory=TrigramEmbedder)
     reply_store: str | None = None
+    #: Known pairs, with their vectors, that are sent to the tasks; larger ones are joined.
+    max_local_bytes: int = MAX_LOCAL_BYTES
 
     def destination(self, extension: str) -> Column:
         p = self.profile
@@ -60,7 +62,8 @@ def requests_for(sources: DataFrame, job: Translation) -> DataFrame:
     pieces = pieces.withColumn("piece_ix", F.coalesce("piece_ix", F.lit(-1)))
     if p.known is not None:
         pieces = attach_history(
-            pieces, job.known, job.embedder, p.known.count, p.known.user_request, p.known.assistant_response
+            pieces, job.known, job.embedder, p.known.count, p.known.user_request, p.known.assistant_response,
+            max_local_bytes=job.max_local_bytes,
         )
     asked = render_prompt(pieces, p.prompts).withColumn("system", F.lit(p.prompts.get("system")).cast("string"))
     template = p.provider_settings.get("prompt_template")

@@ -1,9 +1,10 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
 from glyphmill.functions.packing import counted_ranges, pack, pack_by_chars
-from glyphmill.functions.tokens import CharCounter, EncodedCounter, TokenizerFileCounter
+from glyphmill.functions.tokens import CharCounter, EncodedCounter, RunCounter, TokenizerFileCounter
 from glyphmill.operators.segmenting import plan_pieces
 
 
@@ -102,3 +103,27 @@ def test_pieces_of_whole_cut_and_unreadable_files(spark):
     edge = spark.createDataFrame([("p", "x" * 30)], "path string, text string")
     assert plan_pieces(edge, CharCounter(), 31).first()["kind"] == "full"
     assert plan_pieces(edge, CharCounter(), 30).first()["kind"] == "class_only"
+
+
+def runs(text):
+    return len(re.findall(r"[ \t\n\r]+|[0-9A-Za-z]+|[^ \t\n\r0-9A-Za-z]+", text))
+
+
+def test_packing_by_runs_equals_counting_whole_batches(spark):
+    """Joining merges white space at the ends of units; empty units, and units of white space alone, vanish in it."""
+    r = random.Random(7)
+    parts = ["", " ", "\n", "a", "ab 12", "é!", "x\n", "\ny", "日本 z", "#", "w" * 9]
+    units = [["".join(r.choice(parts) for _ in range(r.randrange(6))) for _ in range(r.randrange(14))] for _ in range(120)]
+    for limit in (1, 2, 6, 15, 60):
+        got = packed(spark, units, lambda u: pack(u, RunCounter(), limit))
+        assert got == [model(u, limit, runs) for u in units]
+
+
+def test_summaries_join_like_texts(spark):
+    r = random.Random(8)
+    texts = ["".join(r.choice(" \nab1é#") for _ in range(r.randrange(5))) for _ in range(300)]
+    df = spark.createDataFrame(list(zip(texts, reversed(texts))), "a string, b string")
+    c = RunCounter()
+    one, two = c.joined(c.summary(F.col("a")), c.summary(F.col("b"))), c.summary(F.concat("a", "b"))
+    for row in df.select("a", "b", one.alias("one"), two.alias("two")).collect():
+        assert row["one"] == row["two"] and row["two"]["n"] == runs(row["a"] + row["b"])

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from glyphmill.functions.embedding import Embedder, TrigramEmbedder
-from glyphmill.operators.retrieval import attach_history, embed, nearest
+from glyphmill.operators.retrieval import attach_history, embed, nearest, salted
 
 
 def brute(queries, known, k):
@@ -102,3 +102,15 @@ def test_no_pairs_no_history(spark):
     for known in (None, none):
         got = attach_history(pieces, known, TrigramEmbedder(), 2, "u", "a")
         assert got.select(F.size("history")).first()[0] == 0
+
+
+def test_an_example_near_everything_is_spread(spark):
+    """Of all hits two thirds are one example's; no group of rows that share a key has more than twice the share of a part."""
+    hits = spark.range(3000).select(F.col("id").alias("query_id"), F.lit(1).alias("rank"), F.when(F.col("id") % 3 > 0, 7).otherwise(F.col("id") + 10).alias("known_id"))
+    texts = spark.range(3100).select(F.col("id").alias("known_id"), F.concat(F.lit("t"), "id").alias("source"))
+    left, right = salted(hits, texts, parts=30)
+    assert left.groupBy("known_id", "salt").count().agg({"count": "max"}).first()[0] <= 200
+    assert right.filter("known_id = 7").count() == 20 and right.count() == 3100 + 19
+    joined = left.join(right, ["known_id", "salt"])
+    assert joined.count() == 3000 and joined.select("query_id").distinct().count() == 3000
+    assert joined.filter("source != concat('t', known_id)").count() == 0
