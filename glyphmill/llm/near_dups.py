@@ -2,13 +2,14 @@
 
 1. Every text becomes the set of its distinct five-word shingles. Rows are numbered in
    a written table, so ids may be null or repeated; equal sets are one *class*, represented by its first row.
-2. A class has a row in each of several sorted orders (trees): six min-hashes, different ones in each tree.
-   Classes whose rows begin alike are candidates. The depth at which that counts follows the region: four values as
-   long as at most ``Forest.crowd`` classes share them, otherwise five, otherwise six.
-3. Rows of one leaf are compared by their whole signatures, in numpy; those that could be similar enough span a *region*.
-   A region is wider than a group of near-duplicates, but two linked classes never lie in different ones.
+2. A class has a row in each of several sorted orders (trees): its whole signature, turned so that every order begins with
+   other min-hashes. Rows are sorted by range, so a crowded stretch of an order spreads over many tasks.
+3. The longest common prefix of neighbours says how far back a row looks: as long as rows share ``LEAST`` values with
+   it, the nearest ``Forest.crowd`` of them at most. In a crowded stretch that is the same as a greater depth, up to the whole
+   signature, so no task compares all pairs of a stretch. Candidates whose whole signatures are similar enough span a
+   *region*. A region is wider than a group of near-duplicates: what a row did not look at is found there.
 4. In a region, all sets are compared exactly, through an index of shingles that is local to the region, and the links
-   that join what is not joined yet are kept. Crowded leaves and regions are cut into blocks, and pairs of blocks are compared
+   that join what is not joined yet are kept. Large regions are cut into blocks, and pairs of blocks are compared
    in different tasks. No pair is ever written that is not needed to connect two groups.
 """
 
@@ -23,15 +24,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glyphmill.llm.common import arrow_stage, text_bytes
+from glyphmill.llm.common import arrow_stage, numbered, text_bytes
 from glyphmill.llm.components import connected
 from glyphmill.scratch import materialize
 
 #: Words of a shingle.
 SHINGLE = 5
-#: Min-hashes of a row, and the fewest that candidates share.
-DEEPEST, LEAST = 6, 4
-_WORD_BYTES = 2 * DEEPEST
+#: Min-hashes from the start of one order to the start of the next, and the fewest at its start that candidates share.
+STRIDE, LEAST = 6, 4
+#: Rows of an order that one task compares at a time, beside those before them that they look back at, in multiples of ``crowd``.
+_CHUNK = 4
 _LINKS = "a long, b long"
 
 
@@ -39,15 +41,16 @@ _LINKS = "a long, b long"
 class Forest:
     """``per_cent``: similarity that links. A pair at 85 % shares four values in one of 24 trees but for 2 in 100 million cases.
 
-    In a crowded region (six values) 1 in 100,000 is missed. ``estimate`` of equal min-hashes, in per cent, makes a pair a candidate: more
-    than four standard errors below the threshold. ``crowd`` and ``block`` bound what one task compares; they change
-    no result apart from the depth.
+    Each row looks back at ``crowd`` rows in each order. Where more rows share four values, a pair must share
+    about as many as set it apart from all but ``crowd``, or be connected by others: with nine values 2 in 1,000 pairs at 85 % are missed that
+    nothing else connects. ``estimate`` of equal min-hashes, in per cent, makes a pair a candidate: more
+    than four standard errors below the threshold. ``block`` bounds what one task compares of a region and changes no result.
     """
 
     per_cent: int = 85
     trees: int = 24
     estimate: int = 72
-    crowd: int = 512
+    crowd: int = 1024
     block: int = 2048
     block_shingles: int = 4_000_000
 
@@ -82,7 +85,7 @@ def signature(found: np.ndarray, factors: np.ndarray, masks: np.ndarray) -> np.n
 
 
 def _signing(trees: int):
-    factors, masks = _seeds(trees * DEEPEST)
+    factors, masks = _seeds(trees * STRIDE)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,23 +154,34 @@ def _pairs(batches: Iterator[pa.RecordBatch], keys: list[str], compare) -> Itera
         yield flush()
 
 
-def _similar_signatures(per_cent: int):
+def _neighbours(per_cent: int, crowd: int):
+    """Candidates among consecutive rows of the orders; rows that an order has joined already are not compared again."""
+
     def compare(rows: pa.Table) -> Iterator[tuple[int, int]]:
         n = rows.num_rows
         if n < 2:
             return
-        nodes = rows["node"].to_numpy()
-        signs = np.frombuffer(b"".join(rows["signature"].to_pylist()), "<u2").reshape(n, -1)
-        side = rows["side"].to_numpy(zero_copy_only=False)
-        need, joined = per_cent * signs.shape[1], _Joined(n)
-        order = np.argsort(side, kind="stable")
-        nodes, signs, side = nodes[order], signs[order], side[order]
-        first = int((side == 0).sum())
-        for i in range(n - 1 if first == n else first):
-            # One block against itself, or the first block against the second.
-            others = np.arange(i + 1, n) if first == n else np.arange(first, n)
-            same = np.count_nonzero(signs[others] == signs[i], axis=1)
-            joined.join(i, others[100 * same >= need])
+        nodes, tree = rows["node"].to_numpy(), rows["tree"].to_numpy()
+        signs = np.frombuffer(b"".join(rows["turned"].to_pylist()), "<u2").reshape(n, -1)
+        differ = signs[1:] != signs[:-1]
+        prefix = np.where(differ.any(axis=1), differ.argmax(axis=1), signs.shape[1])
+        apart = (prefix < LEAST) | (tree[1:] != tree[:-1])
+        # The first row that shares enough values with row i: all between them share as many.
+        start = np.concatenate([[0], np.maximum.accumulate(np.where(apart, np.arange(1, n), 0))])
+        start = np.maximum(start, np.arange(n) - crowd)
+        need, joined, group = per_cent * signs.shape[1], _Joined(n), np.arange(n)
+        for i in np.flatnonzero(start < np.arange(n)):
+            for others in (np.array([i - 1]), np.arange(start[i], i - 1)):
+                others = others[group[others] != group[i]]
+                if not len(others):
+                    continue
+                same = np.count_nonzero(signs[others] == signs[i], axis=1)
+                met = others[100 * same >= need]
+                if len(met):
+                    met = met[np.unique(group[met], return_index=True)[1]]
+                    joined.join(i, met)
+                    seen = group[start[i] : i + 1]
+                    seen[np.isin(seen, group[met])] = group[i]
         yield from joined.links(nodes)
 
     return compare
@@ -220,31 +234,31 @@ def _paired(rows: DataFrame, key: Column, blocks: Column, compare) -> DataFrame:
         F.least(F.col("block"), j).alias("first"), F.greatest(F.col("block"), j).alias("second"), (F.col("block") > j).cast("int").alias("side")
     ))
     spread = rows.withColumns({"key": key, "blocks": blocks.cast("long")}).withColumn("block", block).withColumn("cell", F.explode(cells))
-    kept = [c for c in ("signature", "text") if c in rows.columns]
-    laid = spread.select("key", F.col("cell.first").alias("first"), F.col("cell.second").alias("second"), F.col("cell.side").alias("side"), "node", *kept)
+    laid = spread.select("key", F.col("cell.first").alias("first"), F.col("cell.second").alias("second"), F.col("cell.side").alias("side"), "node", "text")
     sort = ["key", "first", "second"]
     return arrow_stage(laid.repartition(*sort).sortWithinPartitions(*sort), lambda b: _pairs(b, sort, compare), _LINKS)
 
 
-def _leaves(classes: DataFrame, forest: Forest) -> DataFrame:
-    """``node, signature, leaf, n``: rows of the trees that share enough values with another row, at the depth of their region."""
-
-    def key(depth: int) -> Column:
-        return F.xxhash64("tree", F.substring("signature", F.col("tree") * _WORD_BYTES + 1, F.lit(2 * depth)))
-
-    def crowded(rows: DataFrame) -> DataFrame:
-        counts = rows.groupBy("leaf").agg(F.count("*").alias("n")).filter("n > 1")
-        return rows.join(counts, "leaf")
-
+def _orders(classes: DataFrame, forest: Forest) -> DataFrame:
+    """``tree, turned, node, rank``: the sorted orders, one after the other, of rows that share enough values with another row."""
+    at = F.col("tree") * (2 * STRIDE) + 1
     rows = classes.select("node", "signature", F.explode(F.sequence(F.lit(0), F.lit(forest.trees - 1))).alias("tree"))
     # Names only: most rows have no company, and their signatures need not move.
-    shared = crowded(rows.select("node", "tree", key(LEAST).alias("leaf")))
-    out, level = None, materialize(shared.join(classes.select("node", "signature"), "node"), "forest")
-    for depth in range(LEAST + 1, DEEPEST + 1):
-        done = level.filter(F.col("n") <= forest.crowd)
-        out = done if out is None else out.unionByName(done)
-        level = materialize(crowded(level.filter(F.col("n") > forest.crowd).select("node", "tree", "signature", key(depth).alias("leaf"))), "forest")
-    return out.unionByName(level)
+    named = rows.select("node", "tree", F.xxhash64("tree", F.substring("signature", at, F.lit(2 * LEAST))).alias("start"))
+    shared = named.groupBy("start").agg(F.count("*").alias("n")).filter("n > 1").select("start")
+    whole = F.lit(2 * STRIDE * forest.trees)
+    turned = F.concat(F.substring("signature", at, whole), F.substring("signature", F.lit(1), at - 1)).alias("turned")
+    found = named.join(shared, "start").join(classes.select("node", "signature"), "node").select("tree", turned, "node")
+    return numbered(found, ["tree", "turned", "node"], "orders")
+
+
+def _candidates(orders: DataFrame, forest: Forest) -> DataFrame:
+    """Links among neighbours in the orders. The last rows of a chunk are sent to the next one too, which looks back at them."""
+    length = _CHUNK * forest.crowd
+    chunk, place = F.floor(F.col("rank") / length), F.col("rank") % length
+    chunks = F.when(place >= length - forest.crowd, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
+    laid = orders.withColumn("chunk", F.explode(chunks)).repartition("chunk").sortWithinPartitions("chunk", "rank")
+    return arrow_stage(laid, lambda b: _pairs(b, ["chunk"], _neighbours(forest.estimate, forest.crowd)), _LINKS)
 
 
 def _decided(rows: DataFrame, forest: Forest) -> DataFrame:
@@ -258,9 +272,7 @@ def _decided(rows: DataFrame, forest: Forest) -> DataFrame:
             F.min(F.struct("node", "n_shingles", "signature")).alias("of"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "node")).alias("least")
         ).select("digest", "of.node", "of.n_shingles", "of.signature", "least"), "classes",
     )
-    leaves = _leaves(classes, forest)
-    promising = _paired(leaves, F.col("leaf"), F.ceil(F.col("n") / forest.block), _similar_signatures(forest.estimate))
-    regions = materialize(connected(promising), "regions")
+    regions = materialize(connected(_candidates(_orders(classes, forest), forest)), "regions")
     # Representatives with the size of their region; texts come from the table, for members only.
     members = regions.join(classes.select("node", "n_shingles"), "node")
     sizes = members.groupBy("component").agg(
@@ -301,7 +313,7 @@ def deduplicate(docs: DataFrame, forest: Forest = Forest(), ident: str = "doc_id
 
     The row with the smallest id stays, of those that share it, or have none, the first one as the rows were numbered.
     """
-    numbered = materialize(docs.withColumn("_node", F.monotonically_increasing_id()), "rows")
-    rows = numbered.select(F.col("_node").alias("node"), F.col(ident).cast("long").alias("doc_id"), text_bytes(F.col(text)).alias("text"))
+    laid = materialize(docs.withColumn("_node", F.monotonically_increasing_id()), "rows")
+    rows = laid.select(F.col("_node").alias("node"), F.col(ident).cast("long").alias("doc_id"), text_bytes(F.col(text)).alias("text"))
     gone = _decided(rows, forest).filter("not first").select(F.col("node").alias("_gone"))
-    return numbered.join(gone.hint("merge"), F.col("_node") == F.col("_gone"), "left_anti").select(*docs.columns)
+    return laid.join(gone.hint("merge"), F.col("_node") == F.col("_gone"), "left_anti").select(*docs.columns)

@@ -1,6 +1,9 @@
 import random
 import re
+from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from glyphmill.llm import near_dups, queries
@@ -62,8 +65,8 @@ def test_components_equal_all_pairs(spark, documents):
     docs = documents([(d, t, "s") for d, t in rows])
     assert rows_of(near_dups.near_duplicates(docs)) == want
     assert sum(not r[3] for r in want) > 30
-    # Small bounds send everything through deep leaves and many blocks.
-    tight = near_dups.Forest(trees=40, crowd=2, block=3, block_shingles=500)
+    # Small bounds make rows look back at few others, over many chunks, and regions have many blocks.
+    tight = near_dups.Forest(trees=40, crowd=4, block=3, block_shingles=500)
     assert rows_of(near_dups.near_duplicates(docs, tight)) == want
 
 
@@ -79,6 +82,55 @@ def test_query_over_a_table(spark):
     assert rows_of(queries.op6_lsh_forest(spark, sf)) == brute(docs)
 
 
+def linked(rows, per_cent=85):
+    """All pairs that link, exactly: two sets that link share one of their rarest shingles."""
+    found = {d: sets(t) for d, t in rows}
+    counts = Counter(s for found_in in found.values() for s in found_in)
+    number = {s: i for i, (s, _) in enumerate(sorted(counts.items(), key=lambda c: c[1]))}
+    posted, pairs = defaultdict(list), set()
+    ordered = {d: sorted(map(number.get, f)) for d, f in found.items() if f}
+    for d, mine in sorted(ordered.items(), key=lambda o: len(o[1])):
+        rare = mine[: len(mine) - -(-per_cent * len(mine) // 100) + 1]
+        met = {e for s in rare for e in posted[s] if 100 * len(ordered[e]) >= per_cent * len(mine)}
+        a = found[d]
+        pairs |= {(d, e) for e in met if 100 * len(a & found[e]) >= per_cent * len(a | found[e])}
+        for s in rare:
+            posted[s].append(d)
+    return pairs
+
+
+def test_recall_over_a_larger_table(spark):
+    """No link of the 10,000 documents is lost, and none is made up."""
+    sf = "/root/testdata/sf0.1"
+    pairs = linked([(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()])
+    name = {r.doc_id: r.component_id for r in queries.op6_lsh_forest(spark, sf).select("doc_id", "component_id").collect()}
+    assert len(pairs) > 500 and all(name[a] == name[b] for a, b in pairs)
+    least = {d: d for d in name}
+    changed = True
+    while changed:
+        changed = False
+        for a, b in pairs:
+            if least[a] != least[b]:
+                least[a] = least[b] = min(least[a], least[b])
+                changed = True
+    assert least == name
+
+
+def test_crowded_orders_compare_few_pairs():
+    """A stretch of rows that share their first values: each row looks back at ``crowd`` rows and not at the whole stretch."""
+    rng = np.random.default_rng(3)
+    signs = rng.integers(0, 1 << 16, (600, 24)).astype("<u2")
+    signs[:, : near_dups.LEAST] = 7
+    signs[300:] = signs[299]
+    order = sorted(range(600), key=lambda i: (signs[i].tobytes(), i))
+    rows = pa.table({"node": pa.array(order, pa.int64()), "tree": pa.array([0] * 600, pa.int32()), "turned": [signs[i].tobytes() for i in order]})
+    links = list(near_dups._neighbours(72, 5)(rows))
+    assert len(links) == 300 and {n for link in links for n in link} == set(range(299, 600))
+    # Other trees and other beginnings are never compared.
+    apart = rows.set_column(1, "tree", pa.array(range(600), pa.int32()))
+    assert list(near_dups._neighbours(0, 5)(apart)) == []
+
+
 def test_one_of_each_group_stays(spark, documents):
     rows = planted(2)
     docs = documents([(d, t, "s") for d, t in rows]).withColumns({"digest": F.lit("x"), "node": F.lit(1), "component": F.lit(2)})
