@@ -64,6 +64,51 @@ def test_no_vector_is_shuffled(spark):
     assert found(hits) == brute(queries, known, 3)
 
 
+def test_what_a_task_holds_does_not_grow_with_the_known_rows():
+    import tracemalloc
+
+    from glyphmill.operators.retrieval import _ranked
+
+    def peak(n):
+        vectors = np.random.default_rng(n).normal(size=(n, 4))
+        ids = np.arange(n)
+        tracemalloc.start()
+        _ranked(vectors[:1024], vectors, ids, 5)
+        top = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return top - 5 * vectors.nbytes  # what is linear in the block
+
+    assert peak(64_000) < 1.5 * peak(8_000)
+
+
+@pytest.mark.parametrize("shift, scale", [(0, 1), (1e6, 1), (0, 1e-14), (0, 1e30), (0, 0)])
+def test_tiles_and_blocks_equal_brute_force(shift, scale):
+    from glyphmill.operators.retrieval import _ranked
+
+    vectors = np.round(np.random.default_rng(8).normal(size=(5000, 3)), 1) * scale + shift
+    ids = np.random.default_rng(9).permutation(len(vectors))
+    asked, best = vectors[:600] + scale / 7, None
+    for at in range(0, len(ids), 1999):
+        best = _ranked(asked, vectors[at : at + 1999], ids[at : at + 1999], 4, best)
+    whole = _ranked(asked, vectors, ids, 4)
+    for i, q in enumerate(asked):
+        far = np.round(((vectors - q) ** 2).sum(axis=1), 9)
+        want = np.lexsort((ids, far))[:4]
+        assert (best[0][i] == ids[want]).all() and (whole[0][i] == ids[want]).all() and (whole[1][i] == far[want]).all()
+
+
+def test_a_large_search_is_dealt_over_tasks_and_copies_are_left_out(spark, monkeypatch):
+    from glyphmill.operators import retrieval
+
+    queries, known = clustered(6, 50), clustered(7, 500)
+    known += [(5000 + i, known[9][1]) for i in range(300)]
+    monkeypatch.setattr(retrieval, "PAIRS_PER_TASK", 50 * 503 // 9)
+    asked, rows = frames(spark, queries, known)
+    assert retrieval._first_copies(rows, 3).count() == 502
+    hits = nearest(asked.coalesce(1), rows, 3, max_local_bytes=0)
+    assert hits.rdd.getNumPartitions() == 9 and found(hits) == brute(queries, known, 3)
+
+
 def test_trigrams(spark):
     df = spark.createDataFrame([("abcd",), ("ab",), ("",), ("abcabc",), ("日本語😀x",)], "text string")
     got = [np.array(r["vec"]) for r in embed(df, TrigramEmbedder(16)).collect()]
