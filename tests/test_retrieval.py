@@ -109,6 +109,14 @@ def test_a_large_search_is_dealt_over_tasks_and_copies_are_left_out(spark, monke
     assert hits.rdd.getNumPartitions() == 9 and found(hits) == brute(queries, known, 3)
 
 
+def test_the_driver_collects_few_of_the_known_pairs(spark):
+    """What is sent passes the driver, where rows of doubles take several times their size: 8 MB at most."""
+    from glyphmill.operators.retrieval import MAX_LOCAL_BYTES
+    from glyphmill.plans.translation import Translation
+
+    assert Translation(None, "/", "/").max_local_bytes == MAX_LOCAL_BYTES <= 8 << 20
+
+
 def test_trigrams(spark):
     df = spark.createDataFrame([("abcd",), ("ab",), ("",), ("abcabc",), ("日本語😀x",)], "text string")
     got = [np.array(r["vec"]) for r in embed(df, TrigramEmbedder(16)).collect()]
