@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +13,14 @@ from glyphmill.scratch import ship_package
 from glyphmill.worker import kept, key_of
 
 
+#: Texts that are strings of Python at a time; the others of a batch stay in Arrow.
+_AT_A_TIME = 256
+
+
+def _vectors(rows) -> pa.Array:
+    return pa.array([np.asarray(v, dtype=np.float64) for v in rows], pa.list_(pa.float64()))
+
+
 class Embedder:
     """Texts to vectors. ``load`` runs once per task process and returns ``list[str] -> 2-d array``."""
 
@@ -23,11 +31,14 @@ class Embedder:
         ship_package()
         embedder, key = self, key_of(self)
 
-        @F.pandas_udf("array<double>")
-        def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        @F.arrow_udf("array<double>")
+        def embed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             encode = kept(key, embedder.load)
             for texts in batches:
-                yield pd.Series(list(encode(texts.fillna("").tolist())), index=texts.index)
+                done = [_vectors([])]
+                for at in range(0, len(texts), _AT_A_TIME):
+                    done.append(_vectors(encode([t or "" for t in texts.slice(at, _AT_A_TIME).to_pylist()])))
+                yield pa.concat_arrays(done)
 
         return embed(text)
 

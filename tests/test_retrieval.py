@@ -127,6 +127,20 @@ def test_trigrams(spark):
     assert np.allclose(got[0], expected / np.linalg.norm(expected))
 
 
+class CountingEmbedder(Embedder):
+    """How many texts came together."""
+
+    def load(self):
+        return lambda texts: [[float(len(texts)), float(len(t))] for t in texts]
+
+
+def test_few_texts_are_strings_at_a_time(spark):
+    texts = spark.range(0, 3000, 1, 1).select("id", F.when(F.col("id") != 7, F.repeat(F.lit("x"), (F.col("id") % 5).cast("int"))).alias("text"))
+    rows = embed(texts, CountingEmbedder()).collect()
+    assert len(rows) == 3000 and max(r["vec"][0] for r in rows) <= 256
+    assert all(r["vec"][1] == (r["id"] % 5 if r["id"] != 7 else 0) for r in rows)
+
+
 class LengthEmbedder(Embedder):
     def load(self):
         return lambda texts: [[float(len(t))] for t in texts]
