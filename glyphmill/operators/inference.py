@@ -15,13 +15,17 @@ from glyphmill.scratch import materialize, scratch_dir, ship_package
 from glyphmill.worker import kept, key_of
 
 MALFORMED = "provider returned a malformed reply"
+#: Tasks for each core at most: beyond, tasks grow with the requests.
+TASKS_PER_CORE = 32
+#: Requests that are in hand at a time in a task.
+_IN_HAND = 2048
 
 
 class Provider:
     """What answers requests. Subclass and implement ``reply``; ``open`` loads the model, once per process.
 
-    ``requests_per_task`` sets how many requests make a task, ``threads`` how many are in flight
-    in a task, ``timeout_sec`` how long one may take. None of them changes a reply.
+    ``requests_per_task`` sets how many requests make a task (more, where there would be over ``TASKS_PER_CORE`` tasks
+    for each core, so that slow requests of a task wait together), ``threads`` how many are in flight in a task, ``timeout_sec`` how long one may take. None of them changes a reply.
     """
 
     requests_per_task: int = 256
@@ -107,7 +111,8 @@ def ask(requests: DataFrame, provider: Provider, keys: list[str]) -> DataFrame:
 def _spread(asked: DataFrame, count: int, provider: Provider, keys: list[str]) -> DataFrame:
     """``ask`` for written requests of a known number."""
     ship_package()
-    n = max(1, -(-count // max(1, provider.requests_per_task)))
+    most = TASKS_PER_CORE * asked.sparkSession.sparkContext.defaultParallelism
+    n = min(most, max(1, -(-count // max(1, provider.requests_per_task))))
     schema = T.StructType(
         [asked.schema[k] for k in keys]
         + [T.StructField("response", T.StringType()), T.StructField("error", T.StringType())]
@@ -140,7 +145,7 @@ def _answer(provider: Provider, key: str, batches: Iterator[pd.DataFrame], keys:
         broken = f"provider failed to start: {e}"
     pool = new_pool()
     try:
-        for pdf in batches:
+        for pdf in (b[at : at + _IN_HAND] for b in batches for at in range(0, len(b), _IN_HAND)):
             rows, begun = list(pdf.itertuples(index=False)), {}
 
             def call(i):

@@ -189,3 +189,19 @@ def test_a_slice_reads_its_own_part(spark, tmp_path, monkeypatch):
     assert len(read) > 3 and sum(n for _, n, _ in read) == 100 and all(n == counted for _, n, counted in read)
     files = [f for fs, _, _ in read for f in fs]
     assert len(files) == len(set(files))
+
+
+def test_tasks_are_bounded_in_number_and_slow_requests_wait_together(spark, monkeypatch):
+    from glyphmill.operators import inference
+
+    def slow(user, system, history):
+        if user.endswith("7"):
+            time.sleep(2)
+        return user
+
+    monkeypatch.setattr(inference, "TASKS_PER_CORE", 1)
+    asked = ask(requests(spark, 160), FunctionProvider(slow, requests_per_task=2, threads=8, timeout_sec=0.5), ["key"])
+    assert asked.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    rows = {r["key"]: r for r in asked.collect()}
+    assert {k for k, r in rows.items() if r["error"] == "query timed out after 0.5 s"} == {k for k in range(160) if k % 10 == 7}
+    assert all(r["response"] == f"q{k}" for k, r in rows.items() if k % 10 != 7)
