@@ -15,8 +15,8 @@ from glyphmill.scratch import materialize, scratch_dir, ship_package
 from glyphmill.worker import kept, key_of
 
 MALFORMED = "provider returned a malformed reply"
-#: Tasks for each core at most: beyond, tasks grow with the requests.
-TASKS_PER_CORE = 32
+#: Tasks for each core, and slices of a resumable run, at most: beyond, tasks and slices grow with the requests.
+TASKS_PER_CORE, MOST_SLICES = 32, 32
 #: Requests that are in hand at a time in a task.
 _IN_HAND = 2048
 
@@ -201,8 +201,8 @@ def ask_resumable(requests: DataFrame, provider: Provider, keys: list[str], stor
     """Like ``ask``, with replies kept in a table at ``store``: a rerun asks only for what is missing.
 
     A stored reply counts if the keys, the provider and a hash of the whole request agree. Missing replies are asked for
-    and committed in slices of about ``slice_requests`` (by default what keeps all cores busy for some tasks each), so a run that dies keeps
-    all slices before. Open requests are laid out in a folder for each slice, and a slice reads its own. Errors of a
+    and committed in slices of about ``slice_requests`` (by default what keeps all cores busy for some tasks each), ``MOST_SLICES`` of them
+    at most since each is a job of its own, so a run that dies keeps all slices before. Open requests are laid out in a folder for each slice, and a slice reads its own. Errors of a
     provider are stored and asked for again; rows that came with an error are neither asked nor stored.
     """
     spark = requests.sparkSession
@@ -218,7 +218,8 @@ def ask_resumable(requests: DataFrame, provider: Provider, keys: list[str], stor
     good = spark.read.schema(schema).parquet(store).filter(F.col("error").isNull())
     missing = tagged.filter(F.col("error").isNull()).join(good.select(*cols), cols, "left_anti")
     asked = tagged.filter(F.col("error").isNull()).count()
-    place = F.pmod(F.xxhash64(*cols), F.lit(max(1, -(-asked // slice_requests)))).cast("int")
+    slices = min(MOST_SLICES, max(1, -(-asked // slice_requests)))
+    place = F.pmod(F.xxhash64(*cols), F.lit(slices)).cast("int")
     missing = missing.select(*cols, "user", "system", "history", "error")
     path, layout = scratch_dir(spark, "missing"), missing.schema
     missing.withColumn("_slice", place).repartition("_slice").write.partitionBy("_slice").parquet(path)

@@ -191,6 +191,17 @@ def test_a_slice_reads_its_own_part(spark, tmp_path, monkeypatch):
     assert len(files) == len(set(files))
 
 
+def test_slices_are_bounded_in_number(spark, tmp_path, monkeypatch):
+    from glyphmill.operators import inference
+
+    spread, sizes = inference._spread, []
+    monkeypatch.setattr(inference, "MOST_SLICES", 3)
+    monkeypatch.setattr(inference, "_spread", lambda asked, count, *rest: sizes.append(count) or spread(asked, count, *rest))
+    got = ask_resumable(requests(spark, 60), FunctionProvider(lambda user, system, history: user), ["key"], str(tmp_path / "r"), slice_requests=5).collect()
+    assert sorted(r["response"] for r in got) == sorted(f"q{i}" for i in range(60))
+    assert len(sizes) == 3 and sum(sizes) == 60
+
+
 def test_tasks_are_bounded_in_number_and_slow_requests_wait_together(spark, monkeypatch):
     from glyphmill.operators import inference
 
