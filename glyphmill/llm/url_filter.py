@@ -151,11 +151,44 @@ def least_score(scores: list[tuple[float, float]], most_false: float) -> tuple[f
     return at, sum(s > at for s in good) / len(good), sum(s > at for s in bad) / len(bad) if bad else None
 
 
-def train(labelled: DataFrame, most: int = 50_000, trees: int = 20, depth: int = 4, seed: int = 0, folds: int = 5, most_false: float = 0.01) -> UrlModel:
+def _nth_from_top(scores: DataFrame, n: int) -> float:
+    """The score that ``n`` others precede in descending order, by counts of ever narrower ranges: 1,024 rows a round."""
+    low, high = scores.agg(F.min("block_score"), F.max("block_score")).first()
+    while low < high:
+        width = (high - low) / 1023 or high - low
+        range_ = F.least(F.floor((F.col("block_score") - low) / width), F.lit(1023)).cast("int")
+        counts = (
+            scores.filter((F.col("block_score") >= low) & (F.col("block_score") <= high)).groupBy(range_.alias("r"))
+            .agg(F.count("*").alias("n"), F.min("block_score").alias("low"), F.max("block_score").alias("high"))
+        )
+        for row in sorted(counts.collect(), key=lambda row: -row["r"]):
+            if n < row["n"]:
+                low, high = row["low"], row["high"]
+                break
+            n -= row["n"]
+    return low
+
+
+def least_score_of(judged: DataFrame, most_false: float) -> tuple[float, float | None, float | None]:
+    """``least_score`` of a table with ``block_score`` and ``block``, of any size."""
+    good = judged.filter("block = 0")
+    n = good.count()
+    if not n:
+        return 0.5, None, None
+    at = _nth_from_top(good, min(n - 1, int(most_false * n)))
+    above, of_bad, bad_above = judged.agg(
+        F.count_if((F.col("block") == 0) & (F.col("block_score") > at)), F.count_if(F.col("block") != 0), F.count_if((F.col("block") != 0) & (F.col("block_score") > at))
+    ).first()
+    return at, above / n, bad_above / of_bad if of_bad else None
+
+
+def train(
+    labelled: DataFrame, most: int | None = None, trees: int = 20, depth: int = 4, seed: int = 0, folds: int = 5, most_false: float = 0.01
+) -> UrlModel:
     """Fit on ``url, block`` (0 or 1). Copies of an address count once, with the label that most of them have.
 
-    Suffix and domain statistics use all addresses. The trees see about ``most`` of them, chosen by a keyed digest
-    of the address, of four fifths of the hosts, and ``most`` of the other hosts set the score from which is blocked: the bound keeps training time constant.
+    Suffix and domain statistics use all addresses, the trees see all of four fifths of the hosts, and all of the other hosts set the
+    score from which is blocked. A caller may ask for about ``most`` addresses on either side, chosen by a keyed digest of the address.
     """
     spark = labelled.sparkSession
     votes = labelled.filter("url is not null and block is not null").groupBy("url").agg(F.avg("block").alias("share"))
@@ -173,7 +206,7 @@ def train(labelled: DataFrame, most: int = 50_000, trees: int = 20, depth: int =
         return UrlModel(*stats, None, 1.0 if n and blocked else 0.0)
     seen = {key: found.filter("not held").groupBy(key, "fold").agg(F.sum("blocked").alias("blocked"), F.sum("n").alias("n")) for key, found in per_fold.items()}
     held_n = rows.filter("held").count()
-    chosen = lambda of, many: of.filter(place(F.col("url"), "sample", 1 << 30) < int(min(1.0, most / max(1, many)) * (1 << 30)))
+    chosen = lambda of, many: of if most is None else of.filter(place(F.col("url"), "sample", 1 << 30) < int(min(1.0, most / max(1, many)) * (1 << 30)))
     training = materialize(_assembled(out_of_fold(chosen(rows.filter("not held"), n - held_n), seen)).select("_features", "block"), "url-sample")
     if training.select("block").distinct().count() < 2:  # all of one class is held out: nothing to tell apart, and nothing speaks for blocking
         return UrlModel(*stats, None, 0.0)
@@ -181,11 +214,10 @@ def train(labelled: DataFrame, most: int = 50_000, trees: int = 20, depth: int =
         training = training.coalesce(spark.sparkContext.defaultParallelism)
     boosting = GBTClassifier(featuresCol="_features", labelCol="block", predictionCol="_prediction", maxIter=trees, maxDepth=depth, seed=seed)
     fitted = boosting.setRawPredictionCol("_raw").setProbabilityCol("_probability").fit(training)
-    # Held-out hosts are judged by what the others tell; at most ``most`` scores come to the driver.
+    # Held-out hosts are judged by what the others tell.
     others = [found.groupBy(key).agg(F.sum("blocked").alias("blocked"), F.sum("n").alias("n")) for key, found in seen.items()]
     judged = _scored(fitted, UrlModel(*others, None, 0.0)._features(chosen(rows.filter("held"), held_n)))
-    scores = [(r["block_score"], r["block"]) for r in judged.select("block_score", "block").collect()]
-    return UrlModel(*stats, fitted, 0.0, *least_score(scores, most_false))
+    return UrlModel(*stats, fitted, 0.0, *least_score_of(materialize(judged.select("block_score", "block"), "url-scores"), most_false))
 
 
 def decide(pages: DataFrame, rules: list[Rule], model: UrlModel, url: str = "url", at: float | None = None) -> DataFrame:

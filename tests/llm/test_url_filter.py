@@ -108,3 +108,25 @@ def test_verdict_follows_the_score_and_what_is_known(spark):
         suffix = r.host.rsplit(".", 1)[-1]
         assert r.verdict == ("block" if suffix in ("com", "net") and r.block_score > model.at else "allow")
     assert {r.verdict for r in got if r.host.endswith(".org")} == {"allow"}
+
+
+def test_scores_of_a_table_as_of_a_list(spark):
+    import random
+
+    dice = random.Random(3)
+    some = [(i / 100, 0.0) for i in range(100)] + [(0.985, 1.0), (0.5, 1.0)]
+    for scores in (some, [(0.3, 1.0)], [(0.25, 0.0)] * 50 + [(0.25, 1.0)], [(dice.random() ** 9, float(dice.random() < 0.3)) for _ in range(3000)], [(0.5 + i * 2**-53, 0.0) for i in range(7)]):
+        df = spark.createDataFrame(scores, "block_score double, block double")
+        for most_false in (0.0, 0.01, 0.4, 1.0):
+            assert url_filter.least_score_of(df, most_false) == url_filter.least_score(scores, most_false)
+
+
+def test_trees_and_threshold_see_all_addresses(spark, monkeypatch):
+    """More addresses than any bound that was set before: the table of scores has all held-out rows, training all others."""
+    urls = spark.range(140_000).select(
+        F.concat(F.lit("http://h"), F.col("id") % 500, F.when(F.col("id") % 3 == 0, "-a").otherwise(""), F.lit(".com/"), "id").alias("url"), (F.col("id") % 3 == 0).cast("int").alias("block")
+    )
+    written, write = {}, url_filter.materialize
+    monkeypatch.setattr(url_filter, "materialize", lambda df, label: written.setdefault(label, write(df, label)) if label in ("url-sample", "url-scores") else write(df, label))
+    url_filter.train(urls, trees=1, depth=2)
+    assert written["url-sample"].count() + written["url-scores"].count() == 140_000 and written["url-sample"].count() > 100_000
