@@ -21,9 +21,11 @@ FENCE = "```"
 NO_IMPLEMENTATION = "SEE HEADER FOR FULL RESPONSE"
 TAB_WIDTH_SPACES = "    "
 
-_RARE_BREAK = "[\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
-# A character class of PY_WS without the newline, for line-wise patterns.
-_INLINE_WS = "[" + PY_WS.replace("\n", "") + "]"
+# Java looks up a class of single characters below 256 in a table; ranges and higher characters make it a chain of calls.
+_RARE_BREAK = "[\r\x0b\x0c\x1c\x1d\x1e\x85]"
+_WIDE_BREAKS = "\u2028\u2029"
+# A run of PY_WS without the newline, for line-wise patterns; blanks and tabs, which are most of it, are passed by table.
+_INLINE_WS = "[ \t]*+[" + PY_WS.replace("\n", "") + "]*+"
 
 
 def strip(c: Column) -> Column:
@@ -45,7 +47,7 @@ def normalize_newlines(c: Column) -> Column:
 
 def directives_to_comments(c: Column) -> Column:
     """Prefix every preprocessor line with ``// `` and re-terminate the last line."""
-    marked = F.regexp_replace(c, f"(?md)^({_INLINE_WS}*+#)", "// $1")
+    marked = F.regexp_replace(c, f"(?md)^({_INLINE_WS}#)", "// $1")
     return F.concat(F.when(F.contains(c, F.lit("#")), marked).otherwise(c), F.lit("\n"))
 
 
@@ -74,12 +76,16 @@ def first_code_block(reply: Column, fence: str = FENCE) -> Column:
     mark = re.escape(fence)
     pattern = f"(?s){mark}[^\n]*\n(.*?){mark}"
     # rlike tells "no block" from "empty block", which regexp_extract cannot.
-    return strip(F.when(reply.rlike(pattern), F.regexp_extract(reply, pattern, 1)).otherwise(reply))
+    found = F.contains(reply, F.lit(fence)) & reply.rlike(pattern)
+    return strip(F.when(found, F.regexp_extract(reply, pattern, 1)).otherwise(reply))
 
 
 def one_break(c: Column) -> Column:
     """Every line break that ``str.splitlines`` knows as a newline."""
-    return F.when(c.rlike(_RARE_BREAK), F.regexp_replace(c, LINE_BREAK, "\n")).otherwise(c)
+    rare = c.rlike(_RARE_BREAK)
+    for wide in _WIDE_BREAKS:
+        rare = rare | F.contains(c, F.lit(wide))
+    return F.when(rare, F.regexp_replace(c, LINE_BREAK, "\n")).otherwise(c)
 
 
 def header_and_implementation(
@@ -92,8 +98,8 @@ def header_and_implementation(
     over the markers, which are few, gives each stretch its part (``h``, ``i`` or none).
     Once a comment has named a part, fences no longer open or close anything.
     """
-    named_line = f"//[^\n]*(?:{re.escape(header_ext)}|{re.escape(implementation_ext)}){_INLINE_WS}*+"
-    marker = f"(?md)^{_INLINE_WS}*+(?:{re.escape(fence)}[^\n]*+|{named_line})(?:\n|\\z)"
+    named_line = f"//[^\n]*(?:{re.escape(header_ext)}|{re.escape(implementation_ext)}){_INLINE_WS}"
+    marker = f"(?md)^{_INLINE_WS}(?:{re.escape(fence)}[^\n]*+|{named_line})(?:\n|\\z)"
 
     def labels(text: Column, stretches: Column) -> Column:
         """For each marker, the part that the stretch after it belongs to."""

@@ -78,7 +78,7 @@ class FunctionProvider(Provider):
 
 def check_reply(df: DataFrame, response: str = "response") -> DataFrame:
     """A missing or empty reply becomes an error."""
-    bad = F.when(F.coalesce(F.length(response), F.lit(0)) < 1, MALFORMED)
+    bad = F.when(F.coalesce(F.col(response), F.lit("")) == "", MALFORMED)
     earlier = F.col("error") if "error" in df.columns else F.lit(None).cast("string")
     return df.withColumn("error", F.coalesce(earlier, bad))
 

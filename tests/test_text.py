@@ -146,3 +146,10 @@ def test_destination_paths(column_of):
     assert dest(snake_case=True) == ["/made/Top/Rooms/hall_lamp.gd", "/made/front_door.gd"]
     assert dest(lower_folders=True) == ["/made/top/rooms/HallLamp.gd", "/made/Front_Door.gd"]
     assert dest(camel_case=True, snake_case=True)[1] == "/made/FrontDoor.gd"
+
+
+def test_patterns_that_pass_over_whole_texts_are_looked_up_in_tables(column_of):
+    assert "-" not in T._RARE_BREAK and max(T._RARE_BREAK) < "\u0100"
+    assert T._INLINE_WS.startswith("[ \t]*+")
+    assert column_of([f"a{c}b" for c in "\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"], T.one_break) == ["a\nb"] * 9
+    assert column_of(["  \t\u3000  #if\n \u2028#x"], T.directives_to_comments) == ["//   \t\u3000  #if\n//  \u2028#x\n"]
