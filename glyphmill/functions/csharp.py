@@ -82,7 +82,11 @@ def _blanked(text: Column) -> Column:
 
 
 def _count(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
+    # Not ``translate``, which makes a string of each character.
+    rest = text
+    for char in chars:
+        rest = F.replace(rest, F.lit(char), F.lit(""))
+    return F.length(text) - F.length(rest)
 
 
 def _folded(shape: Column) -> Column:
@@ -100,7 +104,7 @@ def _folded(shape: Column) -> Column:
         ).otherwise(x)
 
     # What follows an arrow is an expression, in which angles may compare.
-    grouped = repeated(shape, "([{", _FOLDS)
+    grouped = let(shape, lambda s: repeated(s, "([{", _FOLDS))
     return let(grouped, lambda g: F.concat(
         let(F.substring_index(g, "=>", 1), lambda h: repeated(h, "<", ((_ANGLES, ""),))), F.when(F.contains(g, F.lit("=>")), F.lit("=>")).otherwise("")
     ))
