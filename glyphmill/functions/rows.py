@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Tasks for each core that ``spread`` makes of a scan.
+TASKS_PER_CORE = 4
+
+
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` evaluated once, however often ``use`` mentions it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -61,10 +65,11 @@ def explode_indexed(df: DataFrame, keep: list[str], array: Column | str, index:
 
 
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
-    """Repartition a scan with fewer partitions than the cluster has cores; otherwise leave it.
+    """Repartition a scan with fewer than ``TASKS_PER_CORE`` partitions for each core; otherwise leave it.
 
-    For work that costs far more than moving the rows. A large input has more splits than
-    cores, and then nothing is shuffled. Only for frames straight from a scan.
+    For work that costs far more than moving the rows. With few splits, some of which may hold no group
+    of rows, cores would wait for the last ones. A large input has more splits, and then nothing is shuffled. Only
+    for frames straight from a scan.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores, *keys) if scan.rdd.getNumPartitions() < cores else scan
+    tasks = TASKS_PER_CORE * scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(tasks, *keys) if scan.rdd.getNumPartitions() < tasks else scan
