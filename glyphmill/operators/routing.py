@@ -42,8 +42,9 @@ def mark_collisions(files: DataFrame, path: str = "path", dest: str = "dest_path
 
     Needs no content, so it runs on names before any file is read. The minimum is
     combined before the shuffle, and the join is on the pair, so one crowded
-    destination does not gather in a task.
+    destination does not gather in a task. Names pack well, so a table of very many may look
+    small enough to be sent through the driver; the hint keeps it from that.
     """
     firsts = files.groupBy(dest).agg(F.min(path).alias(path)).select(path, dest, F.lit(True).alias("_first"))
-    joined = files.join(firsts, [path, dest], "left")
+    joined = files.join(firsts.hint("merge"), [path, dest], "left")
     return joined.withColumn("wins", F.coalesce("_first", F.lit(False))).drop("_first")

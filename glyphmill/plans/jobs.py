@@ -145,7 +145,7 @@ def _run(spark, profile, source, destination, provider, counter, embedder, pairs
 
     trouble = written.filter(F.col("error").isNotNull()).select("dest_path", F.col("error").alias("_write_error"))
     per_file = (
-        outputs.select("path", "dest_path", "status", "error").join(trouble, "dest_path", "left")
+        outputs.select("path", "dest_path", "status", "error").join(trouble.hint("merge"), "dest_path", "left")  # all writes may have failed
         .withColumn("error", F.coalesce("error", "_write_error"))
         .groupBy("path")
         .agg(

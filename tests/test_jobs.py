@@ -249,3 +249,37 @@ def test_run_refuses_a_source_that_is_no_folder(spark, tmp_path):
 
     with pytest.raises(NotADirectoryError):
         jobs.run(spark, "godot", str(tmp_path / "none"), str(tmp_path / "out"))
+
+
+def test_neither_names_nor_contents_pass_the_driver_in_joins(spark, tmp_path, monkeypatch):
+    """Small estimates, of tables that pack well or of contents read by name, don't make the driver collect and send them."""
+    from glyphmill import scratch
+    from glyphmill.catalog import QUERIES
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    docs = [(i, f"text {i}" + "." * i, "en", "web", 6 + i) for i in range(40)]
+    said = [(1, 0, "user", "Why?"), (1, 1, "assistant", "So."), (2, 0, "user", "How?"), (2, 1, "assistant", "Thus.")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    plans, write = {}, scratch.materialize
+
+    def watched(df, label):
+        plans[label] = plan(df)
+        return write(df, label)
+
+    for place in (jobs, scratch):
+        monkeypatch.setattr(place, "materialize", watched)
+    out = QUERIES["migrate_project"](spark, str(tmp_path))
+    plans["result"] = plan(out)
+    for label in ("files", "kept", "result"):
+        assert "Join" in plans[label] and "Broadcast" not in plans[label], label
+    rows = {r.path: r for r in out.collect()}
+    taken = [i for i in range(40) if i % 7 and i % 11]
+    assert len(rows) == len(taken) and rows["Assets/foo_bar3.cs"].status == "skipped"  # FooBar3.cs comes before
+    for i in taken:
+        r = rows[f"Assets/{('FooBar' if i % 10 == 0 else 'foo_bar') + str(i // 10) if i % 10 < 2 else f'Doc{i}'}.cs"]
+        if r.status != "skipped":
+            good = i % 13 and len(docs[i][1]) % 5
+            assert (r.status, r.content) == (("ok", f"// Answer with code only.\n{docs[i][1]}\n// 4") if good else ("failed", None))
